@@ -1,0 +1,159 @@
+"""Overlapping loads: which event gets the slice, which is refused.
+
+Unlike the plain lifecycle this is sequential: a refused event holds no lease, so what an
+event meets depends on every decision before it. The per-event rule is a small Python helper;
+Spark partitions the events by source. A hot source is cut into time blocks: each block is
+run from every state it could start in (four resting states, or one of the loads that reach
+over its boundary), the outcomes are chained, and each block is run once more from its true
+start. No task ever holds more than a block of one source.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from slicelake.operators import skew
+from slicelake.operators.lifecycle import LEASE_SECONDS, SOURCE
+
+RESTING = ("ABSENT", "ACTIVE", "ERROR", "DELETED")
+SECOND = 1_000_000  # times are microseconds
+
+
+def settle(state: str, load: tuple | None, now: int) -> tuple[str, tuple | None]:
+    """A load that has ended by ``now`` decides the state."""
+    if load is not None and load[2] <= now:
+        return ("ACTIVE" if load[3] else "ERROR"), None
+    return state, load
+
+
+def decide(state: str, load: tuple | None, event: tuple, lease: int) -> tuple[str, str, tuple | None]:
+    """(decision, state, load) after one event. ``load`` and ``event``: (seq, start, end, ok[, action])."""
+    state, load = settle(state, load, event[1])
+    action = event[4]
+    if action == "DELETE":
+        if load is not None:
+            return "IN_PROGRESS", state, load
+        if state in ("ABSENT", "DELETED"):
+            return "NOOP", state, None
+        return "RETIRED", "DELETED", None
+    decision = "LOADED"
+    if load is not None:
+        if (event[1] - load[1]) // SECOND < lease:
+            return "IN_PROGRESS", state, load
+        decision, state = "TAKEOVER", "ERROR"  # the old load counts as failed
+    if action == "CREATE" and state == "ACTIVE":
+        return "ALREADY_ACTIVE", state, None
+    if action == "UPDATE" and state == "ABSENT":
+        return "NO_BATCH", state, None
+    return decision, "LOADING", event[:4]
+
+
+def _run(rows: pd.DataFrame, state: str, load: tuple | None, lease: int, keep: bool):
+    rows = rows.sort_values(["_t", "seq"])
+    out = []
+    for seq, action, ok, start, end in zip(rows["seq"], rows["action"], rows["ok"], rows["_t"], rows["_end"]):
+        decision, state, load = decide(state, load, (seq, start, end, bool(ok), action), lease)
+        if keep:
+            out.append((seq, decision, "LOADING" if load is not None else state))
+    return state, load, out
+
+
+def lease_fold(
+    events: DataFrame, lease_seconds: int = LEASE_SECONDS, min_hot_rows: int = skew.MIN_HOT_ROWS
+) -> DataFrame:
+    """Adds ``decision`` and ``state`` to events with SOURCE, ``seq``, ``action``, ``ok``,
+    ``received_at`` and ``load_ms`` (how long its load would take). Order: arrival, then seq."""
+    start = F.unix_micros(F.col("received_at").cast("timestamp"))
+    timed = events.select(
+        *SOURCE, "seq", "action", "ok", start.alias("_t"), (start + F.col("load_ms") * 1000).cast("bigint").alias("_end")
+    )
+    hot = skew.find_hot(timed, SOURCE, "_t", min_hot_rows)
+    blocks = skew.with_block(timed, hot, "_t")
+    keys = [*SOURCE, "_block"]
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    source = ", ".join(f"{k} {types[k]}" for k in SOURCE)
+    low, width = hot.low, hot.width
+
+    def boundary(block: int) -> int:
+        return low + (block - 1) * width
+
+    # loads under way at the beginning of a block
+    reach = blocks.where((F.col("_block") > 0) & (F.col("action") != "DELETE")).withColumn(
+        "_last", F.floor((F.col("_end") - low - 1) / width) + 1
+    )
+    pending = (
+        reach.where(F.col("_last") > F.col("_block"))
+        .withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, F.col("_last"))))
+        .select(*keys, "seq", "_t", "_end", "ok")
+    )
+
+    def try_all(rows: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=[*keys, "entry", "exit"])
+        next_boundary = boundary(int(rows["_block"].iloc[0]) + 1)
+        starts = [(name, name, None) for name in RESTING]
+        for load in _loads(candidates):
+            starts.append((_tag(load), "LOADING", load))
+        out = []
+        for entry, state, load in starts:
+            state, load, _ = _run(rows, state, load, lease_seconds, False)
+            state, load = settle(state, load, next_boundary)
+            out.append((*_first(rows, keys), entry, state if load is None else _tag(load)))
+        return pd.DataFrame(out, columns=[*keys, "entry", "exit"])
+
+    def walk(steps: pd.DataFrame) -> pd.DataFrame:
+        at, out = "ABSENT", []
+        for block, part in steps.groupby("_block"):
+            table = dict(zip(part["entry"], part["exit"]))
+            if at not in table:  # a load that ended in a stretch without events
+                at = "ACTIVE" if at.endswith("+") else "ERROR"
+            out.append((*_first(part, SOURCE), block, at))
+            at = table[at]
+        return pd.DataFrame(out, columns=[*keys, "entry"])
+
+    def final(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        columns = [*SOURCE, "seq", "decision", "state"]
+        if rows.empty:
+            return pd.DataFrame(columns=columns)
+        state, load = "ABSENT", None
+        if len(entry):
+            state = entry["entry"].iloc[0]
+            if state not in RESTING:
+                state, load = "LOADING", next(_loads(entry))
+        _, _, out = _run(rows, state, load, lease_seconds, True)
+        return pd.DataFrame([(*_first(rows, SOURCE), *row) for row in out], columns=columns)
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        return final(rows, pd.DataFrame())
+
+    result = f"{source}, seq bigint, decision string, state string"
+    if not hot:
+        folded = blocks.groupBy(*SOURCE).applyInPandas(alone, result)
+    else:
+        steps = (
+            blocks.where(F.col("_block") > 0)
+            .groupBy(*keys)
+            .cogroup(pending.groupBy(*keys))
+            .applyInPandas(try_all, f"{head}, entry string, exit string")
+        )
+        # a few rows per block and at most PARTS + 1 blocks of a source
+        entries = steps.groupBy(*SOURCE).applyInPandas(walk, f"{head}, entry string")
+        tag = F.concat(F.lit("L"), F.col("seq"), F.when(F.col("ok"), "+").otherwise("-"))
+        entries = entries.join(pending.withColumn("entry", tag), [*keys, "entry"], "left")
+        folded = blocks.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(final, result)
+    return events.join(folded, [*SOURCE, "seq"])
+
+
+def _first(rows: pd.DataFrame, columns: list[str]) -> list:
+    return [rows[c].iloc[0] for c in columns]
+
+
+def _loads(rows: pd.DataFrame):
+    for seq, start, end, ok in zip(rows["seq"], rows["_t"], rows["_end"], rows["ok"]):
+        yield (int(seq), int(start), int(end), bool(ok))
+
+
+def _tag(load: tuple) -> str:
+    return f"L{load[0]}{'+' if load[3] else '-'}"

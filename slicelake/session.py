@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,10 +20,28 @@ RUNTIME = {
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="slicelake-"), "slicelake"), "zip",
+        os.path.dirname(package), os.path.basename(package),
+    )
+    context.addPyFile(archive)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (UTC, ANSI, AQE) on an existing session."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -38,7 +58,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
