@@ -61,14 +61,14 @@ def safe_filename(filename: Column) -> Column:
 
 def object_path(folder: Column, filename: Column) -> Column:
     name = safe_filename(filename)
-    folder = F.trim(F.lit("/"), F.trim(F.coalesce(folder, F.lit(""))))
+    folder = F.trim(F.trim(F.coalesce(folder, F.lit(""))), F.lit("/"))
     return F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
 
 
 def object_path_findings(folder: Column, filename: Column, regex: Column) -> Column:
     """Reasons why a path may not be used with a mapping; empty array if it may."""
     folder = F.coalesce(folder, F.lit(""))
-    parts = F.split(F.trim(F.lit("/"), F.trim(folder)), "/")
+    parts = F.split(F.trim(F.trim(folder), F.lit("/")), "/")
     unsafe = folder.contains("\\") | F.exists(parts, lambda p: p.isin(".", ".."))
     name = safe_filename(filename)
     return F.array_compact(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slicelake.functions import events as ev
 from slicelake.operators.lifecycle import SOURCE, TARGET
-from slicelake.operators.skew import latest_per_key
+from slicelake.operators.skew import latest_per_key, running, seq_block
 
 TIMING = {"event_received_at": "received_at", "event_completed_at": "completed_at", "event_duration_ms": "duration_ms"}
 
@@ -216,12 +216,14 @@ def error_rows(tx: DataFrame, error_class: Column) -> DataFrame:
 
 
 def attempt_numbers(tx: DataFrame) -> DataFrame:
-    """Per object and action: how often it was tried and how many tries preceded the first success."""
-    tried = tx.groupBy("bucket_name", "resource_name", "event_action").agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.min(F.when(F.col("event_status") == "SUCCESS", F.col("id"))).alias("first_success_id"),
-        F.max("id").alias("last_id"),
-    )
-    return tried
-
+    """Each try of an object operation: its number and how many earlier tries failed.
 
+    An object may be tried any number of times, so the counts are carried over blocks of ids.
+    """
+    keys = ["bucket_name", "resource_name", "event_action"]
+    failed = F.when(F.col("event_status") == "ERROR", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    counted = running(
+        tx, keys, [F.col("id")], seq_block("id"),
+        {"attempt_no": ("sum", F.lit(1).cast("bigint")), "_failed": ("sum", failed)},
+    )
+    return counted.withColumn("failures_before", F.col("_failed") - failed).drop("_failed")

@@ -13,4 +13,9 @@ def control(spark: SparkSession, name: str, database: str = "fndb") -> DataFrame
     schema = schemas.CONTROL[name]
     if not spark.catalog.tableExists(f"{database}.{name}"):
         return spark.createDataFrame([], schema)
-    return upgrade_schema(spark.table(f"{database}.{name}"), schema, schemas.UPGRADE_DEFAULTS.get(name))
+    return upgrade(spark.table(f"{database}.{name}"), name)
+
+
+def upgrade(df: DataFrame, name: str) -> DataFrame:
+    """Rows of an older version of a control table in today's schema."""
+    return upgrade_schema(df, schemas.CONTROL[name], schemas.UPGRADE_DEFAULTS.get(name))
