@@ -353,13 +353,23 @@ SIZED = """SELECT id, event_ts, category, payload, amount, 43 + coalesce(sum(len
       + length(amount) + 5) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
     (SELECT o_orderkey AS id, '2026-07-19 12:00:00.000000' AS event_ts, concat('group-', lpad(CAST(o_orderkey % 16 AS VARCHAR), 2, '0')) AS category,
        repeat('x', 12) AS payload, concat(o_orderkey % 10000, '.25') AS amount FROM orders)""".replace("length(id)", "length(CAST(id AS VARCHAR))")
-HALF = 500_000  # a target below the size of the smallest table's rows is a real cut at every scale
 
 
-@query("S10_generated_bytes", v.sql(f"SELECT id AS record_id, event_ts, category, payload, amount FROM sized WHERE before < {HALF}", sized=SIZED))
+@query(
+    "S10_generated_bytes",
+    v.sql(
+        """SELECT id AS record_id, event_ts, category, payload, amount FROM sized
+           WHERE before < (SELECT max(before) // 2 FROM sized)""",
+        sized=SIZED,
+    ),
+)
 def generated_bytes(spark, sf_dir):
+    """Rows up to half the bytes that all of them would take."""
     ids = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return generated.limit_bytes(ids, HALF, 12)
+    size = generated.row_bytes(F.col("id"), 12)
+    last = F.max_by(size, "id")
+    half = ids.agg(F.floor((F.sum(size) - last + generated.HEADER_BYTES) / 2).alias("half")).scalar()
+    return generated.limit_bytes(ids, half, 12)
 
 
 @query("W8_running_bytes", v.sql("SELECT id, CAST(before AS BIGINT) AS bytes_before FROM sized", sized=SIZED))

@@ -64,7 +64,7 @@ def generate_bytes(spark: SparkSession, target_bytes: int, start_id: int = 1, pa
     return generate_rows(spark, rows_for_bytes(target_bytes, start_id, payload_bytes), start_id, payload_bytes, partitions)
 
 
-def limit_bytes(ids: DataFrame, target_bytes: int, payload_bytes: int = 128) -> DataFrame:
+def limit_bytes(ids: DataFrame, target_bytes: int | Column, payload_bytes: int = 128) -> DataFrame:
     """Rows for the ids of ``ids`` (``id``), in id order, while the bytes before a row are below the target.
 
     The bytes before a row come from per-block totals plus a sum inside the block.
