@@ -60,7 +60,10 @@ def _run(rows: pd.DataFrame, state: str, load: tuple | None, lease: int, keep: b
 
 
 def lease_fold(
-    events: DataFrame, lease_seconds: int = LEASE_SECONDS, min_hot_rows: int = skew.MIN_HOT_ROWS
+    events: DataFrame,
+    lease_seconds: int = LEASE_SECONDS,
+    min_hot_rows: int = skew.MIN_HOT_ROWS,
+    parts: int = skew.PARTS,
 ) -> DataFrame:
     """Adds ``decision`` and ``state`` to events with SOURCE, ``seq``, ``action``, ``ok``,
     ``received_at`` and ``load_ms`` (how long its load would take). Order: arrival, then seq."""
@@ -68,7 +71,7 @@ def lease_fold(
     timed = events.select(
         *SOURCE, "seq", "action", "ok", start.alias("_t"), (start + F.col("load_ms") * 1000).cast("bigint").alias("_end")
     )
-    hot = skew.find_hot(timed, SOURCE, "_t", min_hot_rows)
+    hot = skew.find_hot(timed, SOURCE, "_t", min_hot_rows, parts)
     blocks = skew.with_block(timed, hot, "_t")
     keys = [*SOURCE, "_block"]
     types = {f.name: f.dataType.simpleString() for f in blocks.schema}
@@ -86,7 +89,8 @@ def lease_fold(
     pending = (
         reach.where(F.col("_last") > F.col("_block"))
         .withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, F.col("_last"))))
-        .select(*keys, "seq", "_t", "_end", "ok")
+        # aliases give the columns identities of their own, as both sides come from the same rows
+        .select(*[F.col(c).alias(c) for c in (*keys, "seq", "_t", "_end", "ok")])
     )
 
     def try_all(rows: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +142,7 @@ def lease_fold(
             .cogroup(pending.groupBy(*keys))
             .applyInPandas(try_all, f"{head}, entry string, exit string")
         )
-        # a few rows per block and at most PARTS + 1 blocks of a source
+        # a few rows per block and at most ``parts`` blocks of a source
         entries = steps.groupBy(*SOURCE).applyInPandas(walk, f"{head}, entry string")
         tag = F.concat(F.lit("L"), F.col("seq"), F.when(F.col("ok"), "+").otherwise("-"))
         entries = entries.join(pending.withColumn("entry", tag), [*keys, "entry"], "left")

@@ -30,8 +30,10 @@ class HotKeys:
         return bool(self.rows)
 
 
-def find_hot(df: DataFrame, keys: list[str], seq: str, min_rows: int = MIN_HOT_ROWS) -> HotKeys:
-    """One counting job; at most PARTS keys come back, whatever the data."""
+def find_hot(
+    df: DataFrame, keys: list[str], seq: str, min_rows: int = MIN_HOT_ROWS, parts: int = PARTS
+) -> HotKeys:
+    """One counting job; at most PARTS keys come back, whatever the data. ``parts``: blocks to cut."""
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_lo"), F.max(seq).alias("_hi")
     )
@@ -40,7 +42,7 @@ def find_hot(df: DataFrame, keys: list[str], seq: str, min_rows: int = MIN_HOT_R
         return HotKeys(tuple(keys))
     low, high = min(r["_lo"] for r in top), max(r["_hi"] for r in top)
     return HotKeys(
-        tuple(keys), [tuple(r[k] for k in keys) for r in top], low, max(1, -(-(high - low + 1) // PARTS))
+        tuple(keys), [tuple(r[k] for k in keys) for r in top], low, max(1, -(-(high - low + 1) // parts))
     )
 
 

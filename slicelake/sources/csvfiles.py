@@ -156,7 +156,8 @@ def read_import_csv(
         path_key(F.col("_file")).alias("file"),
         F.col("_start").alias("block_start"),
         *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(h) for i, h in enumerate(header)],
-        "_record",
+        # Spark refuses to read the raw text alone, so it is tied to a cell
+        F.concat(F.left(F.coalesce("c0", F.lit("")), F.lit(0)), "_record").alias("_record"),
     )
 
 

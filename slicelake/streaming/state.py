@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from slicelake.operators.lifecycle import SOURCE
 
+# The stream's driver-side helper process does not see files added to the application.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = (
     "mapping_id bigint, bucket_name string, resource_name string, seq bigint, action string, "
     "prev_state string, state string, success boolean, visible_seq bigint"
