@@ -41,6 +41,33 @@ def glob_match(name: Column, regex: Column) -> Column:
     return F.rlike(name, regex)
 
 
+def glob_parts(pattern: Column) -> list[Column]:
+    """A glob as ``prefix``, ``suffix`` and ``regex``, for matching many names cheaply.
+
+    A pattern with a single ``*`` and no other wildcard is decided by its literal ends; it has
+    no ``regex``. Without wildcards ``suffix`` is NULL too, and the name must equal ``prefix``.
+    """
+    one_star = pattern.rlike(r"(?s)^[^*?\[]*\*[^*?\[]*\z")
+    literal = pattern.rlike(r"(?s)^[^*?\[]*\z")
+    return [
+        static_prefix(pattern).alias("prefix"),
+        F.when(one_star, F.substring_index(pattern, "*", -1)).when(~literal, "").alias("suffix"),
+        F.when(~one_star & ~literal, glob_regex(pattern)).alias("regex"),
+    ]
+
+
+def parts_match(name: Column, prefix: Column, suffix: Column, regex: Column) -> Column:
+    """Whether a name fits a glob given by its parts: literal ends first, the regex only where needed."""
+    ends = (
+        name.startswith(prefix)
+        & name.endswith(suffix)
+        & (F.length(name) >= F.length(prefix) + F.length(suffix))
+    )
+    return F.when(suffix.isNull(), name == prefix).when(regex.isNull(), ends).otherwise(
+        name.startswith(prefix) & glob_match(name, regex)
+    )
+
+
 def static_prefix(pattern: Column) -> Column:
     """Literal text before the first wildcard."""
     return F.regexp_extract(pattern, r"(?s)^[^*?\[]*", 0)
@@ -113,6 +140,13 @@ def is_stage_name(table: Column, stage: Column) -> Column:
     return stage.startswith(prefix) & suffix.rlike(r"^[0-9a-fA-F]{12}\z")
 
 
+# The characters Python's str.strip() removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
-    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))

@@ -22,25 +22,29 @@ def column_stats(df: DataFrame, columns: list[str], sample_rows: int | None = No
     """
     if sample_rows is not None:
         df = df.where(F.col("row_no") <= sample_rows)
+    # each cell is stripped once; the formats are then tested on the result
+    values = df.select(*[ev.non_empty(names.strip(F.col(c).cast("string"))).alias(c) for c in columns])
     structs = []
     for column in columns:
-        value = ev.non_empty(names.strip(F.col(column).cast("string")))
-        whole = value.rlike(INTEGER)
+        value = F.col(column)
         number = F.replace(value, F.lit("_"), F.lit("")).rlike(DECIMAL)
-        moment = ev.iso_timestamp(value).isNotNull()
-        day = value.rlike(r"^\d{4}-\d{2}-\d{2}\z") & value.try_cast("date").isNotNull()
+        day = F.left(value, F.lit(10)).try_cast("date").isNotNull()
+        tests = {
+            "integers": value.rlike(INTEGER),
+            "decimals": number,
+            "datetimes": value.rlike(ev.ISO_DATETIME) & day,
+            "dates": value.rlike(r"^\d{4}-\d{2}-\d{2}\z") & day,
+        }
         structs.append(
             F.struct(
                 F.lit(column).alias("column"),
                 F.count(value).alias("filled"),
-                *[
-                    F.coalesce(F.bool_and(F.when(value.isNotNull(), test)), F.lit(False)).alias(name)
-                    for name, test in (("integers", whole), ("decimals", number), ("datetimes", moment), ("dates", day))
-                ],
+                # NULL for empty cells, which the aggregate passes over
+                *[F.coalesce(F.bool_and(test), F.lit(False)).alias(name) for name, test in tests.items()],
                 F.max(F.length(value)).cast("bigint").alias("longest"),
             )
         )
-    return df.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
+    return values.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
 
 
 def inferred_type(prefer_date: bool = False) -> Column:

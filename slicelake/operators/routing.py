@@ -16,6 +16,8 @@ ROUTED = {
 }
 # Patterns of one scope that are tried row by row; above it the join form is used.
 MAX_RULES_PER_SCOPE = 2000
+# Mapping rows up to which the table is broadcast on request.
+MAX_BROADCAST_RULES = 100_000
 
 EVENT_TYPES = [  # fixed values of the feed rule
     "com.oraclecloud.objectstorage.createobject",
@@ -32,8 +34,7 @@ def rules(mappings: DataFrame) -> DataFrame:
         F.struct(
             (-F.length(pattern)).alias("rank"),
             F.col("id").cast("bigint").alias("id"),
-            names.static_prefix(pattern).alias("prefix"),
-            names.glob_regex(pattern).alias("regex"),
+            *names.glob_parts(pattern),
             "target_database",
             "target_table",
             F.coalesce("invocation_mode", F.lit("SYNC")).alias("invocation_mode"),
@@ -43,8 +44,7 @@ def rules(mappings: DataFrame) -> DataFrame:
 
 
 def _matches(name: Column, rule: Column) -> Column:
-    # the literal prefix is the cheap test; the regex runs only where it holds
-    return name.startswith(rule["prefix"]) & names.glob_match(name, rule["regex"])
+    return names.parts_match(name, rule["prefix"], rule["suffix"], rule["regex"])
 
 
 def _scope_condition(left: DataFrame, right: DataFrame, collation: str | None) -> Column:
@@ -57,10 +57,13 @@ def _scope_condition(left: DataFrame, right: DataFrame, collation: str | None) -
     return tests[0] & tests[1]
 
 
-def needs_join_form(mappings: DataFrame) -> bool:
-    """Whether some scope has more patterns than one row should be tested against in place."""
-    widest = mappings.groupBy(*SCOPE).count().agg(F.max("count")).first()[0]
-    return (widest or 0) > MAX_RULES_PER_SCOPE
+def strategy(mappings: DataFrame) -> dict[str, bool]:
+    """How ``route`` should treat this mapping table, from its row counts: one small job."""
+    sizes = mappings.groupBy(*SCOPE).count().agg(F.sum("count").alias("all"), F.max("count").alias("widest")).first()
+    return {
+        "small": (sizes["all"] or 0) <= MAX_BROADCAST_RULES,
+        "join_form": (sizes["widest"] or 0) > MAX_RULES_PER_SCOPE,
+    }
 
 
 def route(
@@ -68,15 +71,17 @@ def route(
     mappings: DataFrame,
     collation: str | None = None,
     join_form: bool = False,
+    small: bool = False,
     key: str = "object_event_id",
 ) -> DataFrame:
     """Each event once, with its winning mapping or NULLs.
 
     The usual form packs the patterns of a scope into one sorted array, joins on the
-    scope (the mapping side is tiny, so Catalyst broadcasts it from its own size
-    estimate) and takes the first match: events are never shuffled. ``join_form``
-    is for mapping tables with very many patterns per scope: matches are joined and
-    reduced per event with a combining maximum.
+    scope and takes the first match: with the mappings broadcast, events are never
+    shuffled. Catalyst broadcasts them by its own size estimate; ``small`` says that
+    ``strategy`` has counted them, for tables without an estimate. ``join_form`` is for
+    tables with very many patterns per scope: matches are joined and reduced per event
+    with a combining minimum.
     """
     ruled = rules(mappings).withColumnsRenamed({c: f"_{c}" for c in SCOPE})
     name = events["resource_name"]
@@ -86,6 +91,7 @@ def route(
         joined = events.join(winners, key, "left")
     else:
         packed = ruled.groupBy(*[f"_{c}" for c in SCOPE]).agg(F.sort_array(F.collect_list("rule")).alias("_rules"))
+        packed = F.broadcast(packed) if small else packed
         joined = events.join(packed, _scope_condition(events, packed, collation), "left").withColumn(
             "_rule", F.get(F.filter("_rules", lambda r: _matches(F.col("resource_name"), r)), F.lit(0))
         )

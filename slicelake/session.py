@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; each can be changed on a live session.
 RUNTIME = {
@@ -61,6 +61,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return prepare(spark)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A small driver-side list as a relation whose size Catalyst knows.
+
+    Rows given to ``createDataFrame`` as tuples become an RDD of unknown size, and a join with
+    it would shuffle the large side; an Arrow table keeps its exact size.
+    """
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    arrays = [pa.array([r[i] for r in rows], kinds[kind]) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 

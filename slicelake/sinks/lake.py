@@ -114,12 +114,12 @@ class Lake:
     def stage(self, rows: DataFrame, database: str, table: str, load: int) -> str:
         """Write rows (with ``batch_num``, ``attempt``) where no reader looks yet.
 
-        Files keep the scan's partitioning: nothing is shuffled, and every split writes its own
-        file. Sorting inside a task keeps a slice's rows together, so row-group statistics on
-        ``batch_num`` let later reads skip the other slices.
+        Files keep the scan's partitioning: nothing is shuffled or sorted, and every split writes
+        its own file. A split comes from one object, so the rows of a slice stay together and
+        row-group statistics on ``batch_num`` let later reads skip the other slices.
         """
         path = f"{self.target_path(database, table)}/load={load}"
-        rows.sortWithinPartitions("batch_num").write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path)
         return path
 
     def target(self, database: str, table: str, schema: T.StructType) -> DataFrame:

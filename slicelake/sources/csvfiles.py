@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from slicelake.functions import names
 from slicelake.operators import quality
+from slicelake.session import local_frame
 
 PROBE_LINES = 50
 BROADCAST_FILES = 10_000
@@ -61,6 +63,12 @@ def probe_headers(files: DataFrame, delimiter: str | None = ",", encoding: str =
     return files.select("file").mapInPandas(probe, HEADER_SCHEMA)
 
 
+def file_frame(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Paths as rows, spread over the cluster a few hundred per task at most."""
+    frame = local_frame(spark, [(p,) for p in paths], {"file": "string"})
+    return frame.repartition(min(len(paths), max(spark.sparkContext.defaultParallelism, len(paths) // 256)) or 1)
+
+
 def _keep(text, kept: list[str]):
     for line in text:
         kept.append(line)
@@ -85,11 +93,25 @@ def _scan(spark: SparkSession, paths: list[str], width: int, escape: str, delimi
             columnPruning=False,
         )
         .csv(paths)
-        .withColumn("_file", F.col("_metadata.file_path"))
-        .withColumn("_start", F.col("_metadata.file_block_start"))
+        .withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
     )
 
 
+def _with_file(scan: DataFrame) -> DataFrame:
+    """Add ``file``, the plain form of each row's path.
+
+    The forms are worked out once per file, not per row. Catalyst knows the table's size and
+    broadcasts it while it is small.
+    """
+    plain = {}
+    for found in scan.inputFiles():
+        for form in (found, unquote(found)):
+            plain[form] = re.sub(r"^file:/+", "/", unquote(found))
+    table = local_frame(scan.sparkSession, sorted(plain.items()), {"_file": "string", "file": "string"})
+    joined = scan.join(table, "_file", "left")
+    return joined.withColumn("file", F.coalesce("file", path_key(F.col("_file"))))
+
+
 def signatures(headers: DataFrame) -> list[tuple[list[str], list[str]]]:
     """Distinct headers and the files having each: as many groups as there are header shapes."""
     rows = headers.where(F.col("error").isNull()).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
@@ -119,16 +141,16 @@ def read_object_csv(
     ``splittable`` for files without line breaks inside quotes: then one file feeds many tasks.
     """
     if headers is None:
-        headers = probe_headers(spark.createDataFrame([(p,) for p in paths], "file string"))
+        headers = probe_headers(file_frame(spark, paths))
     parts = []
     for header, files in signatures(headers):
         position = bind_columns(header, columns)
         if position is None:
             continue
-        raw = _scan(spark, files, len(header), '"', ",", splittable)
+        raw = _with_file(_scan(spark, files, len(header), '"', ",", splittable))
         parts.append(
             raw.select(
-                path_key(F.col("_file")).alias("file"),
+                "file",
                 F.col("_start").alias("block_start"),
                 *[names.strip(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(c) for c, i in position.items()],
             )
@@ -151,9 +173,9 @@ def read_import_csv(
     """
     if delimiter not in quality.DELIMITERS:
         raise ValueError("Unsupported CSV delimiter.")
-    raw = _scan(spark, [path], len(header), "\\", delimiter, splittable)
+    raw = _with_file(_scan(spark, [path], len(header), "\\", delimiter, splittable))
     return raw.select(
-        path_key(F.col("_file")).alias("file"),
+        "file",
         F.col("_start").alias("block_start"),
         *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(h) for i, h in enumerate(header)],
         # Spark refuses to read the raw text alone, so it is tied to a cell
@@ -163,8 +185,6 @@ def read_import_csv(
 
 def clean_header(header: list[str]) -> list[str]:
     """Normalised names of one header record, on the driver."""
-    import re
-
     out = []
     for cell in header:
         name = re.sub(r"[^A-Za-z0-9_]+", "_", cell.lstrip("﻿").strip().lower())
@@ -175,7 +195,7 @@ def clean_header(header: list[str]) -> list[str]:
 
 def profile_csv(spark: SparkSession, path: str) -> dict:
     """Delimiter and raw header of one import file."""
-    files = spark.createDataFrame([(path,)], "file string")
+    files = local_frame(spark, [(path,)], {"file": "string"})
     lines = probe_headers(files, None, "utf-8-sig")
     delimiter = (
         quality.delimiter_profile(lines.select("file", F.explode("lines").alias("line"))).collect()
@@ -225,8 +245,6 @@ def list_objects(spark: SparkSession, root: str, pattern: str, limit: int = 500)
 
     The literal folder of the pattern becomes the listed path, so other folders are never visited.
     """
-    import re
-
     literal = re.match(r"[^*?\[]*", pattern).group(0)
     folder = literal.rsplit("/", 1)[0] + "/" if "/" in literal else ""
     base = f"{root.rstrip('/')}/"

@@ -17,7 +17,7 @@ import threading
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,6 +25,7 @@ from slicelake import schemas
 from slicelake.functions import events as ev
 from slicelake.operators import audit, lifecycle, ordering, quality, routing, skew
 from slicelake.operators.lifecycle import SOURCE, TARGET
+from slicelake.session import local_frame
 from slicelake.sinks.lake import Lake
 from slicelake.sources import csvfiles, messages
 
@@ -39,6 +40,16 @@ ROUTED_LOG = T.StructType(
         ).fields,
     ]
 )
+# An audit row as written: the control table's columns, then what later steps derive from it.
+OUTCOME = T.StructType(
+    [
+        *schemas.CONTROL["event_tx_log"].fields,
+        *schemas.schema_of(
+            "error_class string, prev_state string, state string, visible_seq bigint, attempt bigint, "
+            "slice_batch bigint, received_at timestamp_ntz"
+        ).fields,
+    ]
+)
 RESULTS = "mapping_id bigint, bucket_name string, resource_name string, attempt bigint, rows bigint, failure string, failure_class string"
 
 
@@ -78,6 +89,7 @@ class Ingest:
         self.targets = {(t.database, t.table): t for t in targets}
         self.objects_root = objects_root.rstrip("/")
         self.splittable, self.deduplicate = splittable, deduplicate
+        self.routing = routing.strategy(mappings)
 
     # ------------------------------------------------------------ streams
 
@@ -105,24 +117,28 @@ class Ingest:
             if state["batch_id"].get("intake", -1) >= batch_id:
                 return
             folder = batch_id * 2
-            self.lake.append_log("object_event", self._log_rows(batch, state["next_seq"]), folder)
+            seen = Observation()
+            detached = F.coalesce(F.col("invocation_mode") == "DETACHED", F.lit(False))
+            rows = self._log_rows(batch, state["next_seq"]).observe(
+                seen, F.count(F.lit(1)).alias("rows"), F.count_if(detached).alias("detached")
+            )
+            self.lake.append_log("object_event", rows, folder)
             # read back: ids, arrival times and routes are fixed from here on
             logged = self.spark.read.schema(ROUTED_LOG).parquet(f"{self.lake.root}/object_event/batch_id={folder}")
             now, later = split_by_mode(logged.where(F.col("reject").isNull()))
-            self.lake.append_log("handoff", later, folder)
-            top = logged.agg(F.max("id")).first()[0]
-            next_seq = state["next_seq"] if top is None else top + 1
-            self._process(now, folder, ("intake", batch_id), next_seq)
+            if seen.get["detached"]:
+                self.lake.append_log("handoff", later, folder)
+            self._process(now, folder, ("intake", batch_id), state["next_seq"] + seen.get["rows"], seen.get["rows"])
 
     def detached(self, batch: DataFrame, batch_id: int) -> None:
         with _ONE_WRITER:
             state = self.lake.current()
             if state["batch_id"].get("detached", -1) >= batch_id:
                 return
-            edge = batch.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+            edge = batch.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).first()
             done = self.lake.log("event_tx_log").where(F.col("id").between(edge["a"] or 0, edge["b"] or 0))
             fresh = batch.dropDuplicates(["id"]).join(done.select("id"), "id", "left_anti")
-            self._process(fresh, batch_id * 2 + 1, ("detached", batch_id), None)
+            self._process(fresh, batch_id * 2 + 1, ("detached", batch_id), None, edge["n"])
 
     def _log_rows(self, batch: DataFrame, next_seq: int) -> DataFrame:
         parsed = messages.parse_messages(batch, F.localtimestamp()).withColumn("received_at", F.localtimestamp())
@@ -138,7 +154,7 @@ class Ingest:
         order = [F.col("event_time"), F.col("event_id"), F.col("event_message")]
         numbered = skew.rank_rows(parsed, [], order, hour, "id").withColumn("id", F.col("id") - 1 + next_seq)
         routed = routing.route(
-            numbered, self.mappings, join_form=routing.needs_join_form(self.mappings), key="id"
+            numbered, self.mappings, key="id", **self.routing
         )
         # an unsupported type never reaches the mapping
         known = F.col("action") != "UNKNOWN"
@@ -156,18 +172,22 @@ class Ingest:
         )
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ROUTED_LOG])
 
-    def _process(self, events: DataFrame, folder: int, batch: tuple[str, int], next_seq: int | None) -> None:
+    def _process(
+        self, events: DataFrame, folder: int, batch: tuple[str, int], next_seq: int | None, size: int
+    ) -> None:
         registry = self.lake.registry()
-        specs = self.spark.createDataFrame(
-            [(t.database, t.table) for t in self.targets.values()], "target_database string, target_table string"
+        specs = local_frame(
+            self.spark, sorted(self.targets), {"target_database": "string", "target_table": "string"}
         ).withColumn("_exists", F.lit(True))
-        events = events.withColumn("seq", F.col("id"))
         # a slice stays with the target it was created in
-        owners = registry.select(*SOURCE, *[F.col(c).alias(f"_{c}") for c in TARGET], F.col("last_seq").alias("_known"))
-        events = events.join(owners, SOURCE, "left").withColumns(
-            {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in TARGET}
+        owners = registry.select(*SOURCE, *[F.col(c).alias(f"_{c}") for c in TARGET])
+        events = (
+            events.withColumn("seq", F.col("id"))
+            .join(owners, SOURCE, "left")
+            .withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in TARGET})
+            .drop(*[f"_{c}" for c in TARGET])
+            .join(specs, TARGET, "left")
         )
-        events = events.join(F.broadcast(specs), TARGET, "left").drop(*[f"_{c}" for c in TARGET])
         valid = events.where(F.col("mapping_id").isNotNull() & F.col("_exists"))
 
         batches = lifecycle.allocate_batches(valid, registry)
@@ -175,9 +195,14 @@ class Ingest:
         judged = valid.join(results, SOURCE, "left").withColumn(
             "ok", F.coalesce(F.col("failure").isNull() & F.col("rows").isNotNull(), F.lit(False))
         )
-        folded = lifecycle.with_batches(lifecycle.fold_lifecycle(judged, registry), batches)
-        self._log(events, folded, folder)
-        self.lake.commit(self._changes(folded, registry, folder), batch, next_seq)
+        # a small micro-batch has no hot source, so nothing needs counting
+        hot = skew.HotKeys(tuple(SOURCE)) if size < skew.MIN_HOT_ROWS else None
+        folded = lifecycle.with_batches(lifecycle.fold_lifecycle(judged, registry, hot), batches)
+        self.lake.append_log("event_tx_log", self._outcomes(events, folded), folder)
+        written = self.spark.read.schema(OUTCOME).parquet(f"{self.lake.root}/event_tx_log/batch_id={folder}")
+        errors = audit.error_rows(written, F.col("error_class")).withColumn("id", F.col("event_log_id"))
+        self.lake.append_log("event_errors", errors, folder)
+        self.lake.commit(self._changes(written, registry, folder), batch, next_seq)
 
     # ------------------------------------------------------------ loading
 
@@ -198,20 +223,24 @@ class Ingest:
         )
         self.lake.append_log("loads", loads, folder)
         loads = self.spark.read.schema(loads.schema).parquet(f"{self.lake.root}/loads/batch_id={folder}")
-        present = {(r[0], r[1]) for r in loads.select(*TARGET).distinct().collect()}
-        results = [self._load_target(loads, self.targets[key], folder) for key in sorted(present) if key in self.targets]
+        # one path per object of the micro-batch: Spark's readers take paths from the driver
+        paths: dict[tuple[str, str], list[str]] = {}
+        for database, table, path in loads.select(*TARGET, "file").distinct().collect():
+            paths.setdefault((database, table), []).append(path)
+        results = [
+            self._load_target(loads, self.targets[key], sorted(files), folder)
+            for key, files in sorted(paths.items())
+            if key in self.targets
+        ]
         if not results:
             return self.spark.createDataFrame([], RESULTS)
         return reduce(DataFrame.unionByName, results)
 
-    def _load_target(self, loads: DataFrame, target: Target, folder: int) -> DataFrame:
+    def _load_target(self, loads: DataFrame, target: Target, paths: list[str], folder: int) -> DataFrame:
         mine = loads.where((F.col("target_database") == target.database) & (F.col("target_table") == target.table))
-        files = mine.select("file").distinct()
         # headers are looked at twice: to check them, and to group the files by shape
-        headers = csvfiles.probe_headers(files).persist()
+        headers = csvfiles.probe_headers(csvfiles.file_frame(self.spark, paths)).persist()
         try:
-            # one path per object of the micro-batch: Spark's readers take paths from the driver
-            paths = [r["file"] for r in files.collect()]
             columns = list(target.columns)
             rows = csvfiles.read_object_csv(self.spark, paths, columns, headers, self.splittable)
             tagged = rows.join(
@@ -269,56 +298,49 @@ class Ingest:
             failure.alias("failure"), kind.alias("failure_class"),
         )
 
-    # ------------------------------------------------------------ logs and registry
+    # ------------------------------------------------------------ audit rows and registry
 
-    def _log(self, events: DataFrame, folded: DataFrame, folder: int) -> None:
-        succeeded = F.col("success")
-        done = folded.select(
-            "*",
-            F.when(succeeded, "SUCCESS").otherwise("ERROR").alias("event_status"),
-            lifecycle.outcome_message(F.col("rows"), F.coalesce("failure", F.lit("Load failed."))).alias("message"),
-        )
+    def _outcomes(self, events: DataFrame, folded: DataFrame) -> DataFrame:
+        """One audit row per event: folded ones, then those without a mapping or a target."""
+        message = lifecycle.outcome_message(F.col("rows"), F.coalesce("failure", F.lit("Load failed.")))
         refused = F.col("message").isin(lifecycle.ALREADY_ACTIVE, lifecycle.NO_BATCH)
-        done = done.withColumn(
+        done = folded.withColumns(
+            {"event_status": F.when(F.col("success"), "SUCCESS").otherwise("ERROR"), "message": message}
+        ).withColumn(
             "error_class", F.when(refused, "ValueError").otherwise(F.coalesce("failure_class", F.lit("ValueError")))
         )
-        unfit = events.where(F.col("mapping_id").isNull() | F.col("_exists").isNull())
         missing = F.concat(
             F.lit("Mapped target table "), "target_database", F.lit("."), "target_table", F.lit(" does not exist.")
         )
-        lost = unfit.select(
-            "*",
-            F.lit(None).cast("bigint").alias("batch_num"),
-            F.lit("ERROR").alias("event_status"),
-            F.when(F.col("action") == "UNKNOWN", lifecycle.UNSUPPORTED)
-            .when(F.col("mapping_id").isNull(), lifecycle.NO_MAPPING)
-            .otherwise(missing)
-            .alias("message"),
-            F.when(F.col("mapping_id").isNull(), "ValueError").otherwise("TargetTableError").alias("error_class"),
+        unmapped = F.col("mapping_id").isNull()
+        lost = events.where(unmapped | F.col("_exists").isNull()).withColumns(
+            {
+                "event_status": F.lit("ERROR"),
+                "message": F.when(F.col("action") == "UNKNOWN", lifecycle.UNSUPPORTED)
+                .when(unmapped, lifecycle.NO_MAPPING)
+                .otherwise(missing),
+                "error_class": F.when(unmapped, "ValueError").otherwise("TargetTableError"),
+            }
         )
-        columns = [
-            "id", F.col("id").alias("object_event_id"), "mapping_id", *TARGET, "batch_num",
-            F.col("action").alias("event_action"), "event_status", "bucket_name", "resource_name", "object_version",
-            "invocation_mode", "message", F.localtimestamp().alias("created_at"), "error_class",
-        ]
-        schema = T.StructType([*schemas.CONTROL["event_tx_log"].fields, T.StructField("error_class", T.StringType())])
-        rows = done.select(*columns).unionByName(lost.select(*columns))
-        self.lake.append_log("event_tx_log", rows, folder)
-        written = self.spark.read.schema(schema).parquet(f"{self.lake.root}/event_tx_log/batch_id={folder}")
-        errors = audit.error_rows(written, F.col("error_class")).withColumn("id", F.col("event_log_id"))
-        self.lake.append_log("event_errors", errors, folder)
 
-    def _changes(self, folded: DataFrame, registry: DataFrame, folder: int) -> DataFrame:
+        def shaped(rows: DataFrame) -> DataFrame:
+            source = {"object_event_id": F.col("id"), "event_action": F.col("action"), "created_at": F.localtimestamp()}
+            columns = []
+            for field in OUTCOME.fields:
+                absent = field.name not in rows.columns
+                value = source.get(field.name, F.lit(None) if absent else F.col(field.name))
+                columns.append(value.cast(field.dataType).alias(field.name))
+            return rows.select(*columns)
+
+        return shaped(done).unionByName(shaped(lost))
+
+    def _changes(self, outcomes: DataFrame, registry: DataFrame, folder: int) -> DataFrame:
         """Registry rows of the sources this micro-batch touched."""
-        accepted = ((F.col("action") == "CREATE") & (F.col("prev_state") != "ACTIVE")) | (
-            (F.col("action") == "UPDATE") & (F.col("prev_state") != "ABSENT")
-        )
-        version = F.max(F.when(accepted, F.struct("seq", "object_version"))).alias("_version")
-        last = folded.groupBy(*SOURCE).agg(
-            version,
-            F.max(
-                F.struct("seq", "state", "visible_seq", "attempt", "slice_batch", *TARGET, "received_at")
-            ).alias("_last"),
+        action, before = F.col("event_action"), F.col("prev_state")
+        accepted = ((action == "CREATE") & (before != "ACTIVE")) | ((action == "UPDATE") & (before != "ABSENT"))
+        last = outcomes.where(F.col("state").isNotNull()).groupBy(*SOURCE).agg(
+            F.max(F.when(accepted, F.struct("id", "object_version"))).alias("_version"),
+            F.max(F.struct("id", "state", "visible_seq", "attempt", "slice_batch", *TARGET, "received_at")).alias("_last"),
         )
         old = registry.select(
             *SOURCE, F.col("object_version").alias("_old_version"), F.col("visible_attempt").alias("_old_attempt"),
@@ -335,7 +357,7 @@ class Ingest:
             F.coalesce("_version.object_version", "_old_version").alias("object_version"),
             F.col("_last.state").alias("lifecycle_state"),
             F.when(kept, shown).when(shown.isNotNull(), F.col("_last.attempt")).alias("visible_attempt"),
-            F.col("_last.seq").alias("last_seq"),
+            F.col("_last.id").alias("last_seq"),
             F.col("_last.received_at").alias("updated_at"),
             F.when(kept, F.col("_old_load")).when(shown.isNotNull(), F.lit(folder)).cast("bigint").alias("visible_load"),
         )
@@ -362,7 +384,8 @@ def _cell_error(target: Target) -> Column:
     tests = []
     for column, kind in target.columns.items():
         if kind != "string":
-            bad = F.coalesce(F.col(column), F.lit("")).try_cast(kind).isNull()
+            # the very expression that gives the typed column, so it is evaluated once
+            bad = F.col(column).try_cast(kind).isNull()
             tests.append(F.when(bad, F.concat(F.lit(f"Incorrect value for column '{column}': "), F.col(column))))
         elif column in target.limits:
             tests.append(
