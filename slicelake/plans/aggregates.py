@@ -388,8 +388,8 @@ def running_bytes(spark, sf_dir):
     "X6_stale_leases",
     v.sql(
         """SELECT CAST(mapping_id AS BIGINT) AS mapping_id, bucket_name, resource_name,
-             date_diff('second', updated_at, TIMESTAMP '2024-01-30 12:00:00') AS age_seconds FROM registry
-           WHERE lifecycle_state = 'LOADING' AND date_diff('second', updated_at, TIMESTAMP '2024-01-30 12:00:00') >= 600""",
+             date_sub('second', updated_at, TIMESTAMP '2024-01-30 12:00:00') AS age_seconds FROM registry
+           WHERE lifecycle_state = 'LOADING' AND date_sub('second', updated_at, TIMESTAMP '2024-01-30 12:00:00') >= 600""",
         "registry",
     ),
 )

@@ -259,7 +259,7 @@ def pattern_conflict(spark, sf_dir):
 
 
 ORPHANS = """SELECT a.*, EXISTS (SELECT 1 FROM registry b WHERE b.target_table = a.target_table AND b.lifecycle_state = 'LOADING'
-      AND date_diff('second', b.updated_at, TIMESTAMP '2024-01-30 12:00:00') <= 43200) AS blocked
+      AND date_sub('second', b.updated_at, TIMESTAMP '2024-01-30 12:00:00') <= 43200) AS blocked
     FROM (SELECT target_database, target_table, CAST(slice_batch AS BIGINT) AS batch_num, object_event_id AS attempt
           FROM fold WHERE success AND action IN ('CREATE', 'UPDATE')) a
     ANTI JOIN registry r ON r.target_database = a.target_database AND r.target_table = a.target_table

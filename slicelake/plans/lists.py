@@ -80,7 +80,7 @@ def event_page(spark, sf_dir):
 )
 def target_page(spark, sf_dir):
     rows = audit.target_view(v.contents(spark, sf_dir), v.registry(spark, sf_dir), "mart", "all_feed")
-    chosen, _ = paging.page(rows, 2, 20, "amount", descending=False, tie="l_partkey")
+    chosen, _ = paging.page(rows, 2, 20, "amount", descending=False, tie="l_partkey", clamp=False)
     return chosen.select("l_partkey", "l_linenumber", "quantity", "amount")
 
 
