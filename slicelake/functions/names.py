@@ -15,23 +15,34 @@ def glob_regex(pattern: Column) -> Column:
     single literals; each piece is translated on its own, so the pattern may be a column.
     A ``]`` right after the opening bracket belongs to the set; an unclosed ``[`` is literal.
     """
-    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), F.lit(1))
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?+\]?+[^\]]*+\]|.)"), F.lit(1))
+
+    def escape(char: Column) -> Column:
+        # what is special inside a regex set
+        return F.regexp_replace(char, r"([\\\[\]^&\-])", r"\\$1")
+
+    def member(piece: Column) -> Column:
+        low, high = F.substring(piece, 1, 1), F.substring(piece, 3, 1)
+        return F.when(F.length(piece) == 1, escape(piece)).otherwise(
+            F.concat(escape(low), F.lit("-"), escape(high))
+        )
 
     def translate(piece: Column) -> Column:
-        body = F.substring(piece, 2, 2147483647)
-        body = F.regexp_replace(body, r"\]$", "")
+        body = F.regexp_replace(F.substring(piece, 2, 2147483647), r"\]$", "")
         negated = body.startswith("!")
         body = F.when(negated, F.substring(body, 2, 2147483647)).otherwise(body)
-        # inside a set only backslash, brackets, caret and ampersand are special to the regex engine
-        body = F.regexp_replace(body, r"([\\\[\]^&])", r"\\$1")
+        members = F.regexp_extract_all(body, F.lit(r"(?s)(.-.|.)"), F.lit(1))
+        # a range that runs backwards holds nothing
+        members = F.filter(
+            members, lambda m: (F.length(m) == 1) | (F.substring(m, 1, 1) <= F.substring(m, 3, 1))
+        )
+        inside = F.array_join(F.transform(members, member), "")
         return (
             F.when(piece == "*", ".*")
             .when(piece == "?", ".")
-            .when(
-                F.length(piece) > 1,
-                F.concat(F.when(negated, "[^").otherwise("["), body, F.lit("]")),
-            )
-            .otherwise(F.regexp_replace(piece, r"([^A-Za-z0-9_/\- ])", r"\\$1"))
+            .when(F.length(piece) == 1, F.regexp_replace(piece, r"([^A-Za-z0-9_/\- ])", r"\\$1"))
+            .when(inside == "", F.when(negated, ".").otherwise("(?!)"))
+            .otherwise(F.concat(F.when(negated, "[^").otherwise("["), inside, F.lit("]")))
         )
 
     return F.concat(F.lit("^(?s:"), F.array_join(F.transform(pieces, translate), ""), F.lit(r")\z"))

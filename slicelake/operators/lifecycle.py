@@ -214,11 +214,16 @@ def next_batch(registry: DataFrame, sequences: DataFrame | None = None) -> DataF
 
 
 def allocate_batches(
-    events: DataFrame, registry: DataFrame | None = None, block_rows: int = skew.BLOCK_ROWS
+    events: DataFrame,
+    registry: DataFrame | None = None,
+    sequences: DataFrame | None = None,
+    block_rows: int = skew.BLOCK_ROWS,
 ) -> DataFrame:
     """One row per source with its ``batch_num``: a source keeps the number of its first CREATE.
 
-    Numbers are positions of first CREATEs within the target, above the registry's highest.
+    Numbers are positions of first CREATEs within the target, from its next free number on: the
+    one in ``sequences``, or above the registry's highest. With ``sequences``, ``registry`` need
+    only hold the sources of ``events``.
     """
     fresh = (
         events.where(F.col("action") == "CREATE")
@@ -230,7 +235,8 @@ def allocate_batches(
     ranked = skew.rank_rows(fresh, TARGET, [F.col("_first")], skew.seq_block("_first", block_rows), "batch_num")
     if registry is None:
         return ranked.drop("_first")
-    offset = highest_batch(registry).withColumn("_base", F.col("next_batch_num") - 1).drop("next_batch_num")
+    following = highest_batch(registry) if sequences is None else sequences
+    offset = following.withColumn("_base", F.col("next_batch_num") - 1).drop("next_batch_num")
     numbered = ranked.join(offset, TARGET, "left").select(
         *SOURCE, *TARGET, (F.col("batch_num") + F.coalesce("_base", F.lit(0))).alias("batch_num")
     )

@@ -18,24 +18,20 @@ def lane_key(scope: str = "table") -> Column:
     raise ValueError("Lane scope must be table or mapping.")
 
 
-def _hours(column: str) -> Column:
-    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
-
-
 def lane_order(df: DataFrame) -> DataFrame:
     """Position of each entry in its lane by event time, arrival, id.
 
-    A lane can hold most of the entries, so positions are counted per hour and carried on.
+    A lane can hold most of the entries, so positions are counted per minute and carried on.
     """
     order = [F.col("event_time"), F.col("received_at"), F.col("id")]
-    return skew.rank_rows(df, ["lane"], order, _hours("event_time"), "lane_position")
+    return skew.rank_rows(df, ["lane"], order, skew.minute_block("event_time"), "lane_position")
 
 
 def grace_flags(df: DataFrame, seconds: int) -> DataFrame:
     """When an entry may run, and whether a later event had already arrived before it."""
     order = [F.col("received_at"), F.col("id")]
     seen = skew.running(
-        df, ["lane"], order, _hours("received_at"), {"_seen": ("max", F.col("event_time"))}, inclusive=False
+        df, ["lane"], order, skew.minute_block("received_at"), {"_seen": ("max", F.col("event_time"))}, inclusive=False
     )
     return seen.withColumns(
         {
@@ -49,7 +45,7 @@ def head_of_line(df: DataFrame, terminal: tuple[str, ...] = ("SUCCESS",)) -> Dat
     """Entries behind an earlier one of their lane that has not ended are blocked."""
     open_ = F.when(~F.col("status").isin(*terminal), F.lit(1)).otherwise(F.lit(0))
     order = [F.col("event_time"), F.col("received_at"), F.col("id")]
-    marked = skew.running(df, ["lane"], order, _hours("event_time"), {"_open": ("max", open_)}, inclusive=False)
+    marked = skew.running(df, ["lane"], order, skew.minute_block("event_time"), {"_open": ("max", open_)}, inclusive=False)
     return marked.withColumn("blocked", F.coalesce(F.col("_open") == 1, F.lit(False))).drop("_open")
 
 

@@ -92,8 +92,10 @@ def route(
     else:
         packed = ruled.groupBy(*[f"_{c}" for c in SCOPE]).agg(F.sort_array(F.collect_list("rule")).alias("_rules"))
         packed = F.broadcast(packed) if small else packed
-        joined = events.join(packed, _scope_condition(events, packed, collation), "left").withColumn(
-            "_rule", F.get(F.filter("_rules", lambda r: _matches(F.col("resource_name"), r)), F.lit(0))
+        first = F.slice(F.filter("_rules", lambda r: _matches(F.col("resource_name"), r)), 1, 1)
+        # generated, so that the match is evaluated once however often the rule is used
+        joined = events.join(packed, _scope_condition(events, packed, collation), "left").select(
+            *[events[c] for c in events.columns], F.explode_outer(first).alias("_rule")
         )
     return joined.select(
         *[events[c] for c in events.columns],

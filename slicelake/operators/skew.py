@@ -71,6 +71,11 @@ def seq_block(seq: str, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(seq) / F.lit(block_rows)).cast("bigint")
 
 
+def minute_block(column: str) -> Column:
+    """Block number of a time order: the minute. Ties in time stay in one block."""
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
+
+
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -85,6 +90,7 @@ def running(
     """Running sum / max / min of each key in ``order``, scanned block by block.
 
     ``block`` must not decrease along ``order``. ``inclusive=False`` leaves the row itself out.
+    Key columns must not be NULL.
     """
     staged = df.withColumn("_block", block)
     for name, (_, value) in outputs.items():

@@ -229,7 +229,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def stage_write(spark, sf_dir):
     """Staged rows per attempt, and that none of them is visible yet."""
     lake = staged_lake(spark, sf_dir)
-    staged = _union([lake.attempts("mart", t, CONTENT) for t in TABLES])
+    staged = _union([lake.attempts("mart", t) for t in TABLES])
     seen = _union([lake.visible("mart", t, CONTENT).select(F.lit(t).alias("target_table")) for t in TABLES])
     shown = seen.groupBy("target_table").agg(F.count(F.lit(1)).alias("visible"))
     return staged.join(shown, "target_table", "left").select(

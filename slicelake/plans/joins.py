@@ -10,6 +10,7 @@ from slicelake.operators import audit, lifecycle, quality, routing, skew
 from slicelake.operators.lifecycle import SOURCE, TARGET
 from slicelake.plans import views as v
 from slicelake.plans.registry import query
+from slicelake.session import work_dir
 
 FLAGSHIP = v.sql(
     """SELECT r.target_database, r.target_table, count(*) AS routed_sources,
@@ -475,7 +476,10 @@ def merge_registry(spark, sf_dir):
 
     early = events.where(F.col("seq") < half)
     first = lifecycle.with_batches(lifecycle.fold_lifecycle(early), lifecycle.allocate_batches(early))
-    registry = rows(first)
+    # committed, as an ingest would
+    folder = work_dir(spark, "registry")
+    rows(first).write.parquet(folder)
+    registry = spark.read.parquet(folder)
     late = events.where(F.col("seq") >= half)
     second = lifecycle.with_batches(
         lifecycle.fold_lifecycle(late, registry), lifecycle.allocate_batches(late, registry)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slicelake.functions import events as ev
 from slicelake.operators import lifecycle, routing
-from slicelake.session import prepare
+from slicelake.session import prepare, work_dir
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -78,6 +78,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived control table, written once per application and then read.
+
+    The audit queries read these tables several times over, as a user's would read the tables
+    an ingest has written; deriving them anew for every use would repeat the fold each time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = work_dir(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return prepare(spark).read.parquet(_STORED[key])
+
+
 def obj_event(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*EVENT_COLUMNS)
 
@@ -119,13 +136,22 @@ def lifecycle_events(spark, sf_dir) -> DataFrame:
     )
 
 
-def folded(spark, sf_dir, **kwargs) -> DataFrame:
-    rows = lifecycle.fold_lifecycle(lifecycle_events(spark, sf_dir), **kwargs)
-    return lifecycle.with_batches(rows, lifecycle.allocate_batches(lifecycle_events(spark, sf_dir)))
+def folded(spark, sf_dir) -> DataFrame:
+    """Lifecycle events with their outcome and batch number (stored)."""
+    return stored(spark, sf_dir, "folded", _folded)
+
+
+def _folded(spark, sf_dir) -> DataFrame:
+    events = lifecycle_events(spark, sf_dir)
+    return lifecycle.with_batches(lifecycle.fold_lifecycle(events), lifecycle.allocate_batches(events))
 
 
 def registry(spark, sf_dir) -> DataFrame:
-    """Last state of every source that ever had a slice. Every 17th is shown mid-load."""
+    """Last state of every source that ever had a slice; every 17th is shown mid-load (stored)."""
+    return stored(spark, sf_dir, "source_object_batches", _registry)
+
+
+def _registry(spark, sf_dir) -> DataFrame:
     last = lifecycle.last_states(folded(spark, sf_dir))
     return last.select(
         "mapping_id", "bucket_name", "resource_name", "target_database", "target_table",
@@ -140,7 +166,11 @@ def registry(spark, sf_dir) -> DataFrame:
 
 
 def tx_log(spark, sf_dir) -> DataFrame:
-    """The audit log: folded events, then unrouted and unsupported ones as errors."""
+    """The audit log: folded events, then unrouted and unsupported ones as errors (stored)."""
+    return stored(spark, sf_dir, "event_tx_log", _tx_log)
+
+
+def _tx_log(spark, sf_dir) -> DataFrame:
     done = folded(spark, sf_dir).select(
         "*",
         F.when(F.col("success"), "SUCCESS").otherwise("ERROR").alias("event_status"),

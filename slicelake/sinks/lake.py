@@ -3,6 +3,7 @@
 Layout under the lake's root::
 
     data/<database>.<table>/load=<id>/      staged rows with batch_num and attempt columns
+    attempts/<database>.<table>/load=<id>/  the attempts among them, with row counts
     registry/v=<n>/                         registry rows changed by commit n
     object_event|event_tx_log|event_errors|handoff/batch_id=<id>/
     CURRENT                                 the committed version; replaced by one rename
@@ -24,11 +25,15 @@ from pyspark.sql import types as T
 from slicelake import schemas
 from slicelake.operators import skew
 from slicelake.operators.lifecycle import SOURCE, TARGET
+from slicelake.session import local_frame
 
 REGISTRY = T.StructType(
     schemas.CONTROL["source_object_batches"].fields + [T.StructField("visible_load", T.LongType())]
 )
 COMPACT_EVERY = 32
+MAX_BROADCAST_ATTEMPTS = 2_000_000  # three numbers each
+_TAGS = schemas.schema_of("batch_num bigint, attempt bigint, load bigint").fields
+_MANIFEST = schemas.schema_of("batch_num bigint, attempt bigint, rows bigint, load bigint")
 
 
 def _filesystem(path: str):
@@ -51,7 +56,7 @@ class Lake:
             with system.open_input_stream(f"{path}/CURRENT") as stream:
                 return json.loads(stream.read())
         except FileNotFoundError:
-            return {"version": 0, "base": 0, "batch_id": {}, "next_seq": 0}
+            return {"version": 0, "base": 0, "batch_id": {}, "next_seq": 0, "sequences": {}}
 
     def _swap(self, state: dict) -> None:
         system, path = _filesystem(self.root)
@@ -63,8 +68,11 @@ class Lake:
 
     # ------------------------------------------------------------ registry
 
-    def registry(self, state: dict | None = None) -> DataFrame:
-        """Latest committed row of every source: the base snapshot and the changes after it."""
+    def registry(self, state: dict | None = None, touched: DataFrame | None = None) -> DataFrame:
+        """Latest committed row of every source: the base snapshot and the changes after it.
+
+        ``touched`` (SOURCE columns) keeps only those sources, before anything is shuffled.
+        """
         state = state or self.current()
         if state["version"] == 0:
             return self.spark.createDataFrame([], REGISTRY)
@@ -74,8 +82,18 @@ class Lake:
             .parquet(f"{self.root}/registry")
             .where(F.col("v").between(state["base"], state["version"]))
         )
+        if touched is not None:
+            rows = rows.join(touched, SOURCE, "left_semi")
         return skew.latest_per_key(rows, SOURCE, ["v"]).select(*REGISTRY.names)
 
+    def sequences(self, state: dict | None = None) -> DataFrame:
+        """Next free batch number of each target."""
+        found = (state or self.current())["sequences"]
+        rows = [(*name.split("."), number) for name, number in sorted(found.items())]
+        return local_frame(
+            self.spark, rows, {"target_database": "string", "target_table": "string", "next_batch_num": "bigint"}
+        )
+
     def commit(self, changed: DataFrame, batch: tuple[str, int] | None = None, next_seq: int | None = None) -> int:
         """Publish registry rows (publish, retire, state changes) in one step.
 
@@ -84,7 +102,13 @@ class Lake:
         state = self.current()
         version = state["version"] + 1
         columns = [changed[f.name].cast(f.dataType).alias(f.name) for f in REGISTRY.fields]
-        changed.select(*columns).write.mode("overwrite").parquet(f"{self.root}/registry/v={version}")
+        path = f"{self.root}/registry/v={version}"
+        changed.select(*columns).write.mode("overwrite").parquet(path)
+        highest = self.spark.read.schema(REGISTRY).parquet(path).groupBy(*TARGET).agg(F.max("batch_num"))
+        sequences = dict(state["sequences"])
+        for database, table, number in highest.collect():  # one row per target
+            name = f"{database}.{table}"
+            sequences[name] = max(sequences.get(name, 1), (number or 0) + 1)
         ids = dict(state["batch_id"])
         if batch is not None:
             ids[batch[0]] = batch[1]
@@ -93,6 +117,7 @@ class Lake:
             "base": state["base"] or version,
             "batch_id": ids,
             "next_seq": state["next_seq"] if next_seq is None else next_seq,
+            "sequences": sequences,
         }
         self._swap(state)
         if version - state["base"] >= COMPACT_EVERY:
@@ -120,27 +145,39 @@ class Lake:
         """
         path = f"{self.target_path(database, table)}/load={load}"
         rows.write.mode("overwrite").parquet(path)
+        tags = T.StructType(_MANIFEST.fields[:2])
+        counted = self.spark.read.schema(tags).parquet(path).groupBy("batch_num", "attempt")
+        counted.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(
+            f"{self.root}/attempts/{database}.{table}/load={load}"
+        )
         return path
 
     def target(self, database: str, table: str, schema: T.StructType) -> DataFrame:
         """Everything staged for a target, visible or not."""
-        full = T.StructType(
-            [
-                *schema.fields,
-                T.StructField("batch_num", T.LongType()),
-                T.StructField("attempt", T.LongType()),
-                T.StructField("load", T.LongType()),
-            ]
-        )
-        system, path = _filesystem(self.target_path(database, table))
+        return self._read(f"data/{database}.{table}", T.StructType([*schema.fields, *_TAGS]))
+
+    def manifest(self, database: str, table: str) -> DataFrame:
+        """Staged (slice, attempt, load) of a target with their row counts."""
+        return self._read(f"attempts/{database}.{table}", _MANIFEST)
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
         from pyarrow import fs
 
+        system, path = _filesystem(f"{self.root}/{name}")
         if system.get_file_info(path).type == fs.FileType.NotFound:
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(self.target_path(database, table))
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def visible(self, database: str, table: str, schema: T.StructType, keep_slice: bool = False) -> DataFrame:
-        """Rows a reader of the target sees. ``load`` is a partition column, so the semi join prunes folders."""
+        """Rows a reader of the target sees.
+
+        Reading must not shuffle the target. Folders none of whose attempts is shown are not
+        listed, by a filter on the partition column. From the others the attempts that are not
+        shown are taken out: these are few (replaced, failed, deleted), so they are counted and
+        broadcast, whatever the number of slices. Beyond MAX_BROADCAST_ATTEMPTS the plan is left
+        to Catalyst; ``drop_loads`` brings the number down.
+        """
+        tag = ["load", "batch_num", "attempt"]
         shown = (
             self.registry()
             .where(
@@ -150,21 +187,23 @@ class Lake:
             )
             .select(F.col("visible_load").alias("load"), "batch_num", F.col("visible_attempt").alias("attempt"))
         )
-        rows = self.target(database, table, schema).join(shown, ["load", "batch_num", "attempt"], "left_semi")
+        loads = sorted(r["load"] for r in shown.select("load").distinct().collect())  # one per micro-batch
+        live = F.col("load").isin(loads)
+        rows = self.target(database, table, schema).where(live)
+        hidden = self.manifest(database, table).where(live).join(shown, tag, "left_anti").select(*tag)
+        count = hidden.limit(MAX_BROADCAST_ATTEMPTS + 1).count()
+        if count:
+            rows = rows.join(F.broadcast(hidden) if count <= MAX_BROADCAST_ATTEMPTS else hidden, tag, "left_anti")
         return rows if keep_slice else rows.select(*schema.names)
 
-    def attempts(self, database: str, table: str, schema: T.StructType) -> DataFrame:
-        """Staged (load, slice, attempt) triples with their row counts."""
-        return (
-            self.target(database, table, schema)
-            .groupBy("load", "batch_num", "attempt")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .select(F.lit(database).alias("target_database"), F.lit(table).alias("target_table"), "*")
+    def attempts(self, database: str, table: str) -> DataFrame:
+        """The manifest with its target, as ``orphan_attempts`` takes it."""
+        return self.manifest(database, table).select(
+            F.lit(database).alias("target_database"), F.lit(table).alias("target_table"), "*"
         )
 
-    def drop_loads(self, database: str, table: str, schema: T.StructType) -> list[int]:
+    def drop_loads(self, database: str, table: str) -> list[int]:
         """Delete load folders none of whose attempts is shown; returns their ids."""
-        system, path = _filesystem(self.target_path(database, table))
         used = (
             self.registry()
             .where((F.col("target_database") == database) & (F.col("target_table") == table))
@@ -172,10 +211,12 @@ class Lake:
             .select(F.col("visible_load").alias("load"))
             .distinct()
         )
-        gone = self.target(database, table, schema).select("load").distinct().join(used, "load", "left_anti")
+        gone = self.manifest(database, table).select("load").distinct().join(used, "load", "left_anti")
         loads = sorted(r["load"] for r in gone.collect())  # one number per micro-batch
         for load in loads:
-            system.delete_dir(f"{path}/load={load}")
+            for name in ("data", "attempts"):
+                system, path = _filesystem(f"{self.root}/{name}/{database}.{table}")
+                system.delete_dir(f"{path}/load={load}")
         return loads
 
     # ------------------------------------------------------------ logs
@@ -186,12 +227,7 @@ class Lake:
 
     def log(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         schema = schema or schemas.CONTROL[name]
-        system, path = _filesystem(f"{self.root}/{name}")
-        from pyarrow import fs
-
-        if system.get_file_info(path).type == fs.FileType.NotFound:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*schema.names)
+        return self._read(name, schema).select(*schema.names)
 
 
 __all__ = ["Lake", "REGISTRY", "TARGET"]

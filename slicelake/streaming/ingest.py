@@ -150,9 +150,8 @@ class Ingest:
                 .unionByName(keyed.where(~complete))
                 .drop("version")
             )
-        hour = F.floor(F.unix_micros(F.col("event_time").cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
         order = [F.col("event_time"), F.col("event_id"), F.col("event_message")]
-        numbered = skew.rank_rows(parsed, [], order, hour, "id").withColumn("id", F.col("id") - 1 + next_seq)
+        numbered = skew.rank_rows(parsed, [], order, skew.minute_block("event_time"), "id").withColumn("id", F.col("id") - 1 + next_seq)
         routed = routing.route(
             numbered, self.mappings, key="id", **self.routing
         )
@@ -175,7 +174,9 @@ class Ingest:
     def _process(
         self, events: DataFrame, folder: int, batch: tuple[str, int], next_seq: int | None, size: int
     ) -> None:
-        registry = self.lake.registry()
+        state = self.lake.current()
+        touched = events.select(*SOURCE).distinct()
+        registry = self.lake.registry(state, touched)
         specs = local_frame(
             self.spark, sorted(self.targets), {"target_database": "string", "target_table": "string"}
         ).withColumn("_exists", F.lit(True))
@@ -190,7 +191,7 @@ class Ingest:
         )
         valid = events.where(F.col("mapping_id").isNotNull() & F.col("_exists"))
 
-        batches = lifecycle.allocate_batches(valid, registry)
+        batches = lifecycle.allocate_batches(valid, registry, self.lake.sequences(state))
         results = self._load(valid, batches, folder)
         judged = valid.join(results, SOURCE, "left").withColumn(
             "ok", F.coalesce(F.col("failure").isNull() & F.col("rows").isNotNull(), F.lit(False))
@@ -260,22 +261,30 @@ class Ingest:
             staged = self.spark.read.schema(shape).parquet(
                 f"{self.lake.target_path(target.database, target.table)}/load={folder}"
             )
-            self.lake.append_log(f"checks/{target.database}.{target.table}", self._checks(mine, headers, staged, target), folder)
+            manifest = self.lake.manifest(target.database, target.table).where(F.col("load") == folder)
+            self.lake.append_log(
+                f"checks/{target.database}.{target.table}", self._checks(mine, headers, staged, manifest, target), folder
+            )
         finally:
             headers.unpersist()
         return self.spark.read.schema(RESULTS).parquet(
             f"{self.lake.root}/checks/{target.database}.{target.table}/batch_id={folder}"
         )
 
-    def _checks(self, mine: DataFrame, headers: DataFrame, staged: DataFrame, target: Target) -> DataFrame:
+    def _checks(
+        self, mine: DataFrame, headers: DataFrame, staged: DataFrame, manifest: DataFrame, target: Target
+    ) -> DataFrame:
         """Rows loaded per attempt, or why the load failed: unreadable file, header, cell, repeated key."""
         columns = F.array(*[F.lit(c) for c in target.columns])
         wrong = quality.header_findings(headers.where(F.col("error").isNull()), columns)
         files = headers.select("file", "error").join(wrong, "file", "left")
-        counts = staged.groupBy("attempt").agg(F.count(F.lit(1)).alias("rows"), F.min("_error").alias("_error"))
+        counts = manifest.select("attempt", "rows")
+        # parquet statistics skip everything where no cell failed
+        broken = staged.where(F.col("_error").isNotNull()).groupBy("attempt").agg(F.min("_error").alias("_error"))
         found = (
             mine.join(files, "file", "left")
             .join(counts, "attempt", "left")
+            .join(broken, "attempt", "left")
             .withColumn("_double", F.lit(None).cast("bigint"))
         )
         if target.keys:

@@ -58,6 +58,7 @@ def test_iso_time_matches_python(spark):
 GLOBS = [
     "feed/*", "feed/eu/*.csv", "feed/US/user-?.csv", "feed/[eU]*/*1*.csv", "[!a]*", "[]x]*", "[!]x]y", "a[b", "*", "?", "", "a.c",
     "a+b*", "[a-c]?*", "x{1}", "**", "a**b", "(a|b)", "[^a]*", "a\\b*", "feed/*/x*y", "*a", "a*", "a*a", "[&&a]*", "é*",
+    "[z-a]", "[!z-a]*", "[a-c-e]*", "[-a]*", "[a-]*", "[b-a]b", "[!b-a]b", "[--a]*", "[a-cz-x]bc", "[", "[]", "[!]", "a]",
 ]
 NAMES = [
     "feed/eu/user-1.csv", "feed/US/user-1.csv", "feed/US/user-12.csv", "feed/", "a", "b", "", "a.c", "abc", "a+bc", "a[b", "]", "xy", "]y",

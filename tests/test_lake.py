@@ -46,7 +46,7 @@ def test_publish_replace_retire(spark, tmp_path, rows):
     lake.commit(entry(spark, 13, 3))
     lake.commit(entry(spark, None, None, "DELETED"))
     assert seen() == []
-    orphans = lake.attempts("mart", "t", SCHEMA)
+    orphans = lake.attempts("mart", "t")
     assert sorted(r["attempt"] for r in orphans.collect()) == [10, 11, 13]
 
 
@@ -71,7 +71,7 @@ def test_compaction_and_cleanup(spark, tmp_path, rows):
     before = rows(lake.registry())
     lake.compact()
     assert lake.current()["base"] == lake.current()["version"] and rows(lake.registry()) == before
-    assert lake.drop_loads("mart", "t", SCHEMA) == [1]
+    assert lake.drop_loads("mart", "t") == [1]
     assert rows(lake.visible("mart", "t", SCHEMA)) == [(0, "x"), (2, "x")]
 
 
