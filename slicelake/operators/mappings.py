@@ -49,11 +49,16 @@ def change_outcomes(mappings: DataFrame, changes: DataFrame) -> DataFrame:
     """Whether each change hit a row: an unknown or already deleted id does not."""
     known = mappings.select("id", F.lit(True).alias("_known"))
     gone = _edits(changes).select("id", "deleted_at")
-    late = F.col("deleted_at") < F.col("change_no")
-    hit = F.when(F.col("op") == "insert", F.lit(True)).otherwise(
-        F.coalesce("_known", F.lit(False)) & ~F.coalesce(late, F.lit(False))
+    late = F.coalesce(F.col("deleted_at") < F.col("change_no"), F.lit(False))
+    edits = (
+        changes.where(F.col("op") != "insert")
+        .join(known, "id", "left")
+        .join(gone, "id", "left")
+        .select("change_no", "op", (F.coalesce("_known", F.lit(False)) & ~late).alias("affected"))
     )
-    return changes.join(known, "id", "left").join(gone, "id", "left").select("change_no", "op", hit.alias("affected"))
+    # inserts carry no id, so they take no part in the joins
+    inserts = changes.where(F.col("op") == "insert").select("change_no", "op", F.lit(True).alias("affected"))
+    return edits.unionByName(inserts)
 
 
 def upgrade_schema(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
