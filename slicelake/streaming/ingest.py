@@ -14,12 +14,14 @@ is replayed after a failure rewrites its own folders; one that was committed is
 from __future__ import annotations
 
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.util import inheritable_thread_target
 
 from slicelake import schemas
 from slicelake.functions import events as ev
@@ -29,6 +31,8 @@ from slicelake.session import local_frame
 from slicelake.sinks.lake import Lake
 from slicelake.sources import csvfiles, messages
 
+PARALLEL_TARGETS = 8
+REMEMBER = "7 days"  # how long a delivery key is kept
 _ONE_WRITER = threading.Lock()
 
 ROUTED_LOG = T.StructType(
@@ -101,6 +105,8 @@ class Ingest:
 
     def start_intake(self, events_path: str, checkpoint: str, max_files: int | None = None, **trigger) -> StreamingQuery:
         stream = messages.read_messages(self.spark, events_path, True, max_files)
+        if self.deduplicate:
+            stream = _first_deliveries(stream)
         writer = stream.writeStream.foreachBatch(self.intake).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -138,7 +144,13 @@ class Ingest:
             edge = batch.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).first()
             done = self.lake.log("event_tx_log").where(F.col("id").between(edge["a"] or 0, edge["b"] or 0))
             fresh = batch.dropDuplicates(["id"]).join(done.select("id"), "id", "left_anti")
-            self._process(fresh, batch_id * 2 + 1, ("detached", batch_id), None, edge["n"])
+            folder = batch_id * 2 + 1
+            self._process(self._fixed("detached", fresh, folder), folder, ("detached", batch_id), None, edge["n"])
+
+    def _fixed(self, name: str, rows: DataFrame, folder: int) -> DataFrame:
+        """``rows`` written to a log and read back, for what several later steps use."""
+        self.lake.append_log(name, rows, folder)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.lake.root}/{name}/batch_id={folder}")
 
     def _log_rows(self, batch: DataFrame, next_seq: int) -> DataFrame:
         parsed = messages.parse_messages(batch, F.localtimestamp()).withColumn("received_at", F.localtimestamp())
@@ -175,8 +187,9 @@ class Ingest:
         self, events: DataFrame, folder: int, batch: tuple[str, int], next_seq: int | None, size: int
     ) -> None:
         state = self.lake.current()
-        touched = events.select(*SOURCE).distinct()
-        registry = self.lake.registry(state, touched)
+        registry = self.lake.registry(state, events.select(*SOURCE).distinct())
+        if state["version"]:
+            registry = self._fixed("registry_before", registry, folder)
         specs = local_frame(
             self.spark, sorted(self.targets), {"target_database": "string", "target_table": "string"}
         ).withColumn("_exists", F.lit(True))
@@ -191,8 +204,10 @@ class Ingest:
         )
         valid = events.where(F.col("mapping_id").isNotNull() & F.col("_exists"))
 
-        batches = lifecycle.allocate_batches(valid, registry, self.lake.sequences(state))
-        results = self._load(valid, batches, folder)
+        numbers = lifecycle.allocate_batches(valid, registry, self.lake.sequences(state))
+        sources = self._fixed("sources", self._sources(valid, numbers), folder)
+        batches = sources.select(*SOURCE, "batch_num")
+        results = self._load(sources.where(F.col("file").isNotNull()), folder)
         judged = valid.join(results, SOURCE, "left").withColumn(
             "ok", F.coalesce(F.col("failure").isNull() & F.col("rows").isNotNull(), F.lit(False))
         )
@@ -207,34 +222,36 @@ class Ingest:
 
     # ------------------------------------------------------------ loading
 
-    def _load(self, valid: DataFrame, batches: DataFrame, folder: int) -> DataFrame:
-        """Stage the current contents of every object that was created or updated.
+    def _sources(self, valid: DataFrame, numbers: DataFrame) -> DataFrame:
+        """Every source with a slice: its batch number, and the object to read if it was created or updated.
 
         All load events of an object in one micro-batch see the same file, so it is read
-        once; the last event's id names the attempt. One result row per source.
+        once; the last event's id names the attempt.
         """
         newest = (
             valid.where(F.col("action") != "DELETE")
             .groupBy(*SOURCE)
             .agg(F.max(F.struct("seq", "object_name")).alias("_last"))
         )
-        loads = batches.join(newest, SOURCE).select(
+        path = F.concat_ws("/", F.lit(self.objects_root), "bucket_name", "_last.object_name")
+        return numbers.join(newest, SOURCE, "left").select(
             *SOURCE, *TARGET, "batch_num", F.col("_last.seq").alias("attempt"),
-            F.concat_ws("/", F.lit(self.objects_root), "bucket_name", "_last.object_name").alias("file"),
+            F.when(F.col("_last").isNotNull(), path).alias("file"),
         )
-        self.lake.append_log("loads", loads, folder)
-        loads = self.spark.read.schema(loads.schema).parquet(f"{self.lake.root}/loads/batch_id={folder}")
+
+    def _load(self, loads: DataFrame, folder: int) -> DataFrame:
+        """Stage the current contents of the objects in ``loads``; one result row per source."""
         # one path per object of the micro-batch: Spark's readers take paths from the driver
         paths: dict[tuple[str, str], list[str]] = {}
         for database, table, path in loads.select(*TARGET, "file").distinct().collect():
             paths.setdefault((database, table), []).append(path)
-        results = [
-            self._load_target(loads, self.targets[key], sorted(files), folder)
-            for key, files in sorted(paths.items())
-            if key in self.targets
-        ]
-        if not results:
+        work = [(self.targets[key], sorted(files)) for key, files in sorted(paths.items()) if key in self.targets]
+        if not work:
             return self.spark.createDataFrame([], RESULTS)
+        # targets do not depend on each other: their jobs share the cluster
+        load = inheritable_thread_target(self.spark)(lambda item: self._load_target(loads, *item, folder))
+        with ThreadPoolExecutor(min(len(work), PARALLEL_TARGETS)) as pool:
+            results = list(pool.map(load, work))
         return reduce(DataFrame.unionByName, results)
 
     def _load_target(self, loads: DataFrame, target: Target, paths: list[str], folder: int) -> DataFrame:
@@ -377,6 +394,22 @@ class Ingest:
         return self.lake.visible(database, table, self.targets[(database, table)].schema)
 
 
+def _first_deliveries(stream: DataFrame) -> DataFrame:
+    """Messages whose delivery key has not been seen for REMEMBER.
+
+    The watermark runs on arrival, not on the event's own time, so that no message is ever too late.
+    """
+    parsed = messages.parse_messages(stream, F.localtimestamp())
+    keyed = parsed.select(
+        "event_message",
+        F.coalesce("event_id", "event_message").alias("event_id"),
+        F.col("object_version").alias("version"),
+        "action",
+        F.current_timestamp().alias("arrived"),
+    )
+    return ordering.dedup_events(keyed, ("arrived", REMEMBER)).select("event_message")
+
+
 def completed_events(raw: DataFrame, tx: DataFrame) -> DataFrame:
     """Raw events with completion time and duration of their last transaction."""
     ends = tx.groupBy(F.col("object_event_id").alias("id")).agg(F.max("created_at").alias("_end"))

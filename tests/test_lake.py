@@ -215,6 +215,11 @@ def test_deduplicated_deliveries(spark, tmp_path):
     world.send(("create", "feed/a.csv", 1), ("create", "feed/a.csv", 1))
     world.run()
     assert [r[2] for r in world.audit()] == ["SUCCESS"]
+    # delivered once more, in a later micro-batch, next to something older than all before
+    world.put("feed/b.csv", "id,name,amount\n1,A,1\n")
+    world.send(("create", "feed/a.csv", 1), ("create", "feed/b.csv", 0))
+    world.run()
+    assert [(r[0], r[2]) for r in world.audit()] == [("feed/a.csv", "SUCCESS"), ("feed/b.csv", "SUCCESS")]
 
 
 def test_one_batch_or_many(spark, tmp_path, rows):
