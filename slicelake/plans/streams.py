@@ -11,6 +11,7 @@ from slicelake.operators import lease
 from slicelake.operators.lifecycle import SOURCE, TARGET
 from slicelake.plans import views as v
 from slicelake.plans.registry import query
+from slicelake.paths import filesystem
 from slicelake.session import ROCKSDB, work_dir
 from slicelake.sinks.lake import Lake
 from slicelake.streaming.ingest import Ingest, Target
@@ -27,9 +28,6 @@ def write_objects(rows: DataFrame, path: str, columns: list[str]) -> int:
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system = fs.LocalFileSystem()
         current, stream = None, None
         for batch in batches:
             done = []
@@ -37,8 +35,9 @@ def write_objects(rows: DataFrame, path: str, columns: list[str]) -> int:
                 if name != current:
                     if stream is not None:
                         stream.close()
-                    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                    current, stream = name, system.open_output_stream(name)
+                    system, inner = filesystem(name)
+                    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    current, stream = name, system.open_output_stream(inner)
                     stream.write((",".join(columns) + "\n").encode())
                     done.append(name)
                 stream.write(part[columns].to_csv(header=False, index=False).encode())

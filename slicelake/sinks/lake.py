@@ -17,7 +17,6 @@ folders. One writer per lake.
 from __future__ import annotations
 
 import json
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 from slicelake import schemas
 from slicelake.operators import skew
 from slicelake.operators.lifecycle import SOURCE, TARGET
+from slicelake.paths import exists, filesystem
 from slicelake.session import local_frame
 
 REGISTRY = T.StructType(
@@ -36,14 +36,6 @@ _TAGS = schemas.schema_of("batch_num bigint, attempt bigint, load bigint").field
 _MANIFEST = schemas.schema_of("batch_num bigint, attempt bigint, rows bigint, load bigint")
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    if urlparse(path).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(path).path
-    return fs.FileSystem.from_uri(path)
-
-
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -51,7 +43,7 @@ class Lake:
     # ------------------------------------------------------------ pointer
 
     def current(self) -> dict:
-        system, path = _filesystem(self.root)
+        system, path = filesystem(self.root)
         try:
             with system.open_input_stream(f"{path}/CURRENT") as stream:
                 return json.loads(stream.read())
@@ -59,7 +51,7 @@ class Lake:
             return {"version": 0, "base": 0, "batch_id": {}, "next_seq": 0, "sequences": {}}
 
     def _swap(self, state: dict) -> None:
-        system, path = _filesystem(self.root)
+        system, path = filesystem(self.root)
         system.create_dir(path, recursive=True)
         temporary = f"{path}/CURRENT.{state['version']}"
         with system.open_output_stream(temporary) as stream:
@@ -161,10 +153,7 @@ class Lake:
         return self._read(f"attempts/{database}.{table}", _MANIFEST)
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        from pyarrow import fs
-
-        system, path = _filesystem(f"{self.root}/{name}")
-        if system.get_file_info(path).type == fs.FileType.NotFound:
+        if not exists(f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
@@ -215,7 +204,7 @@ class Lake:
         loads = sorted(r["load"] for r in gone.collect())  # one number per micro-batch
         for load in loads:
             for name in ("data", "attempts"):
-                system, path = _filesystem(f"{self.root}/{name}/{database}.{table}")
+                system, path = filesystem(f"{self.root}/{name}/{database}.{table}")
                 system.delete_dir(f"{path}/load={load}")
         return loads
 

@@ -6,7 +6,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from slicelake.functions import names
 from slicelake.operators import quality
+from slicelake.paths import filesystem
 from slicelake.session import local_frame
 
 PROBE_LINES = 50
@@ -21,17 +22,6 @@ BROADCAST_FILES = 10_000
 HEADER_SCHEMA = "file string, header array<string>, lines array<string>, error string"
 
 
-def open_file(path: str):
-    """A binary stream for a path or URI, through Arrow's file systems."""
-    from pyarrow import fs
-
-    parsed = urlparse(path)
-    if parsed.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_stream(unquote(parsed.path) if parsed.scheme else path)
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(inner)
-
-
 def probe_headers(files: DataFrame, delimiter: str | None = ",", encoding: str = "utf-8") -> DataFrame:
     """Header record and first lines of each file (``file``), read on the executors.
 
@@ -45,7 +35,8 @@ def probe_headers(files: DataFrame, delimiter: str | None = ",", encoding: str =
             for path in batch["file"]:
                 header, lines, error = [], [], None
                 try:
-                    with open_file(path) as stream:
+                    system, inner = filesystem(path)
+                    with system.open_input_stream(inner) as stream:
                         text = io.TextIOWrapper(stream, encoding=encoding, newline="")
                         kept: list[str] = []
                         source = _keep(text, kept)
