@@ -19,11 +19,13 @@ from slicelake.session import local_frame
 
 PROBE_LINES = 50
 BROADCAST_FILES = 10_000
-HEADER_SCHEMA = "file string, header array<string>, lines array<string>, error string"
+# Files from this size on are looked through for line breaks inside quotes, to be split if there are none.
+SPLIT_BYTES = 128 * 1024 * 1024
+HEADER_SCHEMA = "file string, size bigint, header array<string>, lines array<string>, error string"
 
 
 def probe_headers(files: DataFrame, delimiter: str | None = ",", encoding: str = "utf-8") -> DataFrame:
-    """Header record and first lines of each file (``file``), read on the executors.
+    """Header record, first lines and size of each file (``file``), read on the executors.
 
     Only the start of a file is fetched. A file that cannot be opened or decoded comes back
     with ``error``. ``delimiter=None`` returns the lines and leaves the header empty.
@@ -33,9 +35,10 @@ def probe_headers(files: DataFrame, delimiter: str | None = ",", encoding: str =
         for batch in batches:
             out = []
             for path in batch["file"]:
-                header, lines, error = [], [], None
+                header, lines, error, size = [], [], None, 0
                 try:
                     system, inner = filesystem(path)
+                    size = system.get_file_info(inner).size or 0
                     with system.open_input_stream(inner) as stream:
                         text = io.TextIOWrapper(stream, encoding=encoding, newline="")
                         kept: list[str] = []
@@ -48,8 +51,8 @@ def probe_headers(files: DataFrame, delimiter: str | None = ",", encoding: str =
                             lines = [line.rstrip("\r\n") for line in kept if line.strip("\r\n")]
                 except Exception as problem:  # noqa: BLE001 - reported as the file's load error
                     error = f"{type(problem).__name__}: {problem}"
-                out.append((path, header, lines, error))
-            yield pd.DataFrame(out, columns=["file", "header", "lines", "error"])
+                out.append((path, size, header, lines, error))
+            yield pd.DataFrame(out, columns=["file", "size", "header", "lines", "error"])
 
     return files.select("file").mapInPandas(probe, HEADER_SCHEMA)
 
@@ -97,16 +100,49 @@ def _with_file(scan: DataFrame) -> DataFrame:
     plain = {}
     for found in scan.inputFiles():
         for form in (found, unquote(found)):
-            plain[form] = re.sub(r"^file:/+", "/", unquote(found))
+            plain[form] = plain_path(found)
     table = local_frame(scan.sparkSession, sorted(plain.items()), {"_file": "string", "file": "string"})
     joined = scan.join(table, "_file", "left")
     return joined.withColumn("file", F.coalesce("file", path_key(F.col("_file"))))
 
 
-def signatures(headers: DataFrame) -> list[tuple[list[str], list[str]]]:
-    """Distinct headers and the files having each: as many groups as there are header shapes."""
-    rows = headers.where(F.col("error").isNull()).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    return [(list(r["header"]), sorted(r["files"])) for r in rows]
+def signatures(headers: DataFrame) -> list[tuple[list[str], dict[str, int]]]:
+    """Distinct headers and the sizes of the files having each: as many groups as there are header shapes."""
+    rows = (
+        headers.where(F.col("error").isNull())
+        .groupBy("header")
+        .agg(F.collect_list(F.struct("file", "size")).alias("files"))
+        .collect()
+    )
+    return [(list(r["header"]), dict(sorted(tuple(f) for f in r["files"]))) for r in rows]
+
+
+def plain_path(path: str) -> str:
+    return re.sub(r"^file:/+", "/", unquote(path) if path.startswith("file:") else path)
+
+
+def broken_lines(spark: SparkSession, paths: list[str]) -> set[str]:
+    """The files (plain paths) with line breaks inside quotes, or quotes that look so.
+
+    Up to a line break inside quotes a record has an odd number of them, so a file without such a
+    line can be cut at any line end. The check reads the text in splits and returns file names only.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = spark.read.text(paths).where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file"))
+    return {form for r in odd.distinct().collect() for form in (plain_path(r["file"]), re.sub(r"^file:/+", "/", r["file"]))}
+
+
+def scan_groups(spark: SparkSession, sizes: dict[str, int], splittable: bool | None) -> list[tuple[list[str], bool]]:
+    """(paths, may be split) for the scans of files with one header."""
+    if splittable is not None:
+        return [(list(sizes), splittable)]
+    large = [path for path, size in sizes.items() if size >= SPLIT_BYTES]
+    if not large:
+        return [(list(sizes), False)]
+    broken = broken_lines(spark, large)
+    split = [path for path in large if plain_path(path) not in broken]
+    whole = [path for path in sizes if path not in set(split)]
+    return [(paths, may) for paths, may in ((whole, False), (split, True)) if paths]
 
 
 def bind_columns(header: list[str], columns: list[str]) -> dict[str, int] | None:
@@ -123,29 +159,26 @@ def read_object_csv(
     paths: list[str],
     columns: list[str],
     headers: DataFrame | None = None,
-    splittable: bool = False,
+    splittable: bool | None = None,
 ) -> DataFrame:
     """Rows of loader CSVs as text columns plus ``file``; files with other headers are left out.
 
     Columns are found by name in any letter case and order, cells are stripped, missing cells
-    are ``''``, surplus cells are ignored. Files sharing a header are one scan. Set
-    ``splittable`` for files without line breaks inside quotes: then one file feeds many tasks.
+    are ``''``, surplus cells are ignored. Files sharing a header are one scan. A file with line
+    breaks inside quotes is one task; large files are checked for them and otherwise split.
+    ``splittable`` True or False says so without a check.
     """
     if headers is None:
         headers = probe_headers(file_frame(spark, paths))
     parts = []
-    for header, files in signatures(headers):
+    for header, sizes in signatures(headers):
         position = bind_columns(header, columns)
         if position is None:
             continue
-        raw = _with_file(_scan(spark, files, len(header), '"', ",", splittable))
-        parts.append(
-            raw.select(
-                "file",
-                F.col("_start").alias("block_start"),
-                *[names.strip(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(c) for c, i in position.items()],
-            )
-        )
+        cells = [names.strip(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(c) for c, i in position.items()]
+        for files, split in scan_groups(spark, sizes, splittable):
+            raw = _with_file(_scan(spark, files, len(header), '"', ",", split))
+            parts.append(raw.select("file", F.col("_start").alias("block_start"), *cells))
     if not parts:
         fields = ", ".join(["file string", "block_start bigint", *[f"`{c}` string" for c in columns]])
         return spark.createDataFrame([], fields)

@@ -86,7 +86,7 @@ class Ingest:
         mappings: DataFrame,
         targets: list[Target],
         objects_root: str,
-        splittable: bool = False,
+        splittable: bool | None = None,
         deduplicate: bool = False,
     ):
         self.spark, self.lake, self.mappings = spark, lake, mappings
@@ -157,11 +157,9 @@ class Ingest:
         if self.deduplicate:
             complete = F.col("event_id").isNotNull()
             keyed = parsed.withColumn("version", F.col("object_version"))
-            parsed = (
-                ordering.dedup_events(keyed.where(complete))
-                .unionByName(keyed.where(~complete))
-                .drop("version")
-            )
+            # the choice among deliveries is fixed by their text: ids are counted in two passes
+            first = skew.latest_per_key(keyed.where(complete), ordering.IDEMPOTENCY, ["event_message"])
+            parsed = first.unionByName(keyed.where(~complete)).drop("version")
         order = [F.col("event_time"), F.col("event_id"), F.col("event_message")]
         numbered = skew.rank_rows(parsed, [], order, skew.minute_block("event_time"), "id").withColumn("id", F.col("id") - 1 + next_seq)
         routed = routing.route(

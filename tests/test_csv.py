@@ -89,6 +89,28 @@ def test_row_numbers_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_large_files_are_split_unless_lines_break(spark, tmp_path, rows, monkeypatch):
+    text = "id,note\n" + "".join(f'{i},"say ""{i}"", ok"\n' for i in range(3000))
+    plain = put(tmp_path, "pl ain%20.csv", text)
+    broken = put(tmp_path, "broken.csv", text + '3000,"two\nlines"\n')
+    small = put(tmp_path, "small.csv", "id,note\n1,x\n")
+    monkeypatch.setattr(csvfiles, "SPLIT_BYTES", 1000)
+    monkeypatch.setattr(csvfiles, "_with_file", lambda scan, f=csvfiles._with_file: seen.append(scan) or f(scan))
+    seen = []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        frame = csvfiles.read_object_csv(spark, [plain, broken, small], ["id", "note"])
+        assert sorted(len(s.inputFiles()) for s in seen) == [1, 2]
+        assert [s.rdd.getNumPartitions() > 3 for s in seen if len(s.inputFiles()) == 1] == [True]
+        got = rows(frame.select("file", "id", "note"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(plain, str(i), f'say "{i}", ok') for i in range(3000)]
+    want += [(broken, str(i), f'say "{i}", ok') for i in range(3000)] + [(broken, "3000", "two\nlines"), (small, "1", "x")]
+    assert got == sorted(want, key=repr)
+
+
 def test_profile_and_delimiter(spark, tmp_path):
     path = put(tmp_path, "a.csv", "﻿First Name;Age\nAda;36\n\"a;b\";41\n")
     assert csvfiles.profile_csv(spark, path) == {
