@@ -60,23 +60,34 @@ class Lake:
 
     # ------------------------------------------------------------ registry
 
-    def registry(self, state: dict | None = None, touched: DataFrame | None = None) -> DataFrame:
+    def registry(
+        self,
+        state: dict | None = None,
+        touched: DataFrame | None = None,
+        target: tuple[str, str] | None = None,
+        columns: list[str] | None = None,
+    ) -> DataFrame:
         """Latest committed row of every source: the base snapshot and the changes after it.
 
-        ``touched`` (SOURCE columns) keeps only those sources, before anything is shuffled.
+        ``touched`` (SOURCE columns) keeps only those sources, ``target`` only those of one target (a
+        source never changes its target), ``columns`` only these: all before anything is shuffled.
         """
+        names = [f for f in REGISTRY.names if columns is None or f in columns]
         state = state or self.current()
         if state["version"] == 0:
-            return self.spark.createDataFrame([], REGISTRY)
+            return self.spark.createDataFrame([], REGISTRY).select(*names)
         schema = T.StructType([*REGISTRY.fields, T.StructField("v", T.LongType())])
         rows = (
             self.spark.read.schema(schema)
             .parquet(f"{self.root}/registry")
             .where(F.col("v").between(state["base"], state["version"]))
         )
+        if target is not None:
+            rows = rows.where((F.col("target_database") == target[0]) & (F.col("target_table") == target[1]))
         if touched is not None:
             rows = rows.join(touched, SOURCE, "left_semi")
-        return skew.latest_per_key(rows, SOURCE, ["v"]).select(*REGISTRY.names)
+        rows = rows.select(*SOURCE, "v", *[n for n in names if n not in SOURCE])
+        return skew.latest_per_key(rows, SOURCE, ["v"]).select(*names)
 
     def sequences(self, state: dict | None = None) -> DataFrame:
         """Next free batch number of each target."""
@@ -167,15 +178,7 @@ class Lake:
         to Catalyst; ``drop_loads`` brings the number down.
         """
         tag = ["load", "batch_num", "attempt"]
-        shown = (
-            self.registry()
-            .where(
-                (F.col("target_database") == database)
-                & (F.col("target_table") == table)
-                & F.col("visible_attempt").isNotNull()
-            )
-            .select(F.col("visible_load").alias("load"), "batch_num", F.col("visible_attempt").alias("attempt"))
-        )
+        shown = self._shown(database, table)
         loads = sorted(r["load"] for r in shown.select("load").distinct().collect())  # one per micro-batch
         live = F.col("load").isin(loads)
         rows = self.target(database, table, schema).where(live)
@@ -185,6 +188,15 @@ class Lake:
             rows = rows.join(F.broadcast(hidden) if count <= MAX_BROADCAST_ATTEMPTS else hidden, tag, "left_anti")
         return rows if keep_slice else rows.select(*schema.names)
 
+    def _shown(self, database: str, table: str) -> DataFrame:
+        """(load, slice, attempt) of the slices that show rows."""
+        kept = ["batch_num", "visible_attempt", "visible_load"]
+        return (
+            self.registry(target=(database, table), columns=kept)
+            .where(F.col("visible_attempt").isNotNull())
+            .select(F.col("visible_load").alias("load"), "batch_num", F.col("visible_attempt").alias("attempt"))
+        )
+
     def attempts(self, database: str, table: str) -> DataFrame:
         """The manifest with its target, as ``orphan_attempts`` takes it."""
         return self.manifest(database, table).select(
@@ -193,13 +205,7 @@ class Lake:
 
     def drop_loads(self, database: str, table: str) -> list[int]:
         """Delete load folders none of whose attempts is shown; returns their ids."""
-        used = (
-            self.registry()
-            .where((F.col("target_database") == database) & (F.col("target_table") == table))
-            .where(F.col("visible_load").isNotNull())
-            .select(F.col("visible_load").alias("load"))
-            .distinct()
-        )
+        used = self._shown(database, table).select("load").distinct()
         gone = self.manifest(database, table).select("load").distinct().join(used, "load", "left_anti")
         loads = sorted(r["load"] for r in gone.collect())  # one number per micro-batch
         for load in loads:
