@@ -12,6 +12,7 @@ TARGET = ["target_database", "target_table"]
 LEASE_SECONDS = 120
 STALE_LOADING_SECONDS = 600
 
+# The texts the audit log shows.
 ALREADY_ACTIVE = "This object already has an active batch; use the update scenario for a replacement."
 NO_BATCH = "No batch exists for this object; run the create scenario first."
 ABSENT_DELETE = "Object batch already absent."

@@ -130,9 +130,10 @@ def detached_processes(spark, sf_dir):
     return audit.detached_processes(v.tx_log(spark, sf_dir), v.mapping(spark))
 
 
-ACTIVITY = """SELECT m.target_database, m.target_table, count(DISTINCT m.id) AS mapping_count, count(DISTINCT t.id) AS event_count,
-    max(t.created_at) AS last_event_at FROM mapping m LEFT JOIN tx t ON t.target_database = m.target_database
-    AND t.target_table = m.target_table GROUP BY m.target_database, m.target_table ORDER BY last_event_at DESC, 1, 2"""
+ACTIVITY = """SELECT target_database, target_table, mapping_count, coalesce(n, 0) AS event_count, newest AS last_event_at FROM
+    (SELECT target_database, target_table, count(*) AS mapping_count FROM mapping GROUP BY ALL)
+    LEFT JOIN (SELECT target_database, target_table, count(DISTINCT id) AS n, max(created_at) AS newest FROM tx GROUP BY ALL)
+    USING (target_database, target_table)"""
 
 
 @query("A1_registered_tables", v.sql(ACTIVITY, "tx", "mapping"))

@@ -207,28 +207,19 @@ def read_import_csv(
     )
 
 
-def clean_header(header: list[str]) -> list[str]:
-    """Normalised names of one header record, on the driver."""
-    out = []
-    for cell in header:
-        name = re.sub(r"[^A-Za-z0-9_]+", "_", cell.lstrip("﻿").strip().lower())
-        name = re.sub(r"_+", "_", name).strip("_")
-        out.append("column" if not name else f"column_{name}" if name[0].isdigit() else name)
-    return out
-
-
 def profile_csv(spark: SparkSession, path: str) -> dict:
-    """Delimiter and raw header of one import file."""
+    """Delimiter, raw and normalised header of one import file."""
     files = local_frame(spark, [(path,)], {"file": "string"})
     lines = probe_headers(files, None, "utf-8-sig")
     delimiter = (
         quality.delimiter_profile(lines.select("file", F.explode("lines").alias("line"))).collect()
     )
     chosen = delimiter[0]["delimiter"] if delimiter else ","
-    found = probe_headers(files, chosen, "utf-8-sig").first()
+    probed = probe_headers(files, chosen, "utf-8-sig")
+    found = probed.select("error", "header", F.transform("header", names.sanitize_header).alias("clean")).first()
     if found["error"] or not found["header"]:
         raise ValueError(found["error"] or "CSV must contain a header row.")
-    return {"delimiter": chosen, "raw_header": list(found["header"]), "header": clean_header(found["header"])}
+    return {"delimiter": chosen, "raw_header": list(found["header"]), "header": list(found["clean"])}
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_no", first: int = 2, files: int | None = None) -> DataFrame:

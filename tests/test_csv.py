@@ -25,10 +25,10 @@ def put(folder, name, text):
 
 
 def loader_rows(text, columns):
-    """The loader's reading of a file, said in Python."""
-    reader = csv.DictReader(io.StringIO(text, newline=""))
-    by_name = {h.casefold(): h for h in reader.fieldnames}
-    return [tuple((row.get(by_name[c]) or "").strip() for c in columns) for row in reader]
+    """The loader's reading of a file, said with Python's reader."""
+    head, *body = csv.reader(io.StringIO(text, newline=""))
+    places = [[h.lower() for h in head].index(c) for c in columns]
+    return [tuple(line[i].strip() if i < len(line) else "" for i in places) for line in body if line]
 
 
 def test_object_csv_matches_python(spark, tmp_path, rows):

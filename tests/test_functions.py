@@ -142,25 +142,31 @@ def test_export_guard(spark):
     assert column(spark, ["=1", "+1", "-1", "@x", " =", "x", None, ""], export.guard) == ["'=1", "'+1", "'-1", "'@x", " =", "x", "", ""]
 
 
-def python_type(values):
-    """The inference rule, said in Python."""
-    full = [v.strip() for v in values if v.strip()]
-    if not full:
-        return "TEXT"
-    if all(re.fullmatch(r"[-+]?\d+", v) for v in full):
-        return "BIGINT"
-
-    def accepts(parse):
+def fits(parse):
+    def test(text):
         try:
-            return all(parse(v) is not None for v in full)
-        except (ValueError, decimal.InvalidOperation):
+            parse(text)
+        except (ValueError, ArithmeticError):
             return False
+        return True
+
+    return test
+
 
-    if accepts(decimal.Decimal):
-        return "DECIMAL(38, 10)"
-    if accepts(datetime.datetime.fromisoformat):
-        return "DATETIME"
-    longest = max(map(len, full))
+# the inference rule, said in Python: the first kind all cells fit
+KINDS = {
+    "BIGINT": re.compile(r"[-+]?\d+").fullmatch,
+    "DECIMAL(38, 10)": fits(decimal.Decimal),
+    "DATETIME": fits(datetime.datetime.fromisoformat),
+}
+
+
+def python_type(values):
+    cells = list(filter(None, map(str.strip, values)))
+    for kind, test in KINDS.items():
+        if cells and all(map(test, cells)):
+            return kind
+    longest = max(map(len, cells), default=9999)
     return f"VARCHAR({longest})" if longest <= 1024 else "TEXT"
 
 
