@@ -37,21 +37,34 @@ def load_rates(df: DataFrame) -> DataFrame:
 def invocation_summary(log: DataFrame, limit: int | None = 100) -> DataFrame:
     """One row per request: when it started and ended, and its other messages in time order.
 
-    A request's own messages end up in one text cell, so they are ordered within the
-    request; start, end and the rest come from combining aggregates.
+    Messages are first sorted and joined per request and minute, then per request, so that a request
+    with very many records is not sorted in one place; only the finished texts meet.
     """
-    flat = F.regexp_replace(F.coalesce("message", F.lit("")), r"[\t\r\n]+", " ")
-    start, end = F.col("message") == RECEIVED, F.col("message").startswith(SERVED)
-    when = F.coalesce("time", F.lit(""))
-    other = F.when(~(start | end), F.struct(when.alias("time"), flat.alias("message")))
-    summary = log.withColumn("message", F.coalesce("message", F.lit(""))).groupBy("request_id").agg(
-        F.coalesce(F.min(F.when(start, when)), F.lit("")).alias("started"),
-        F.coalesce(F.min(F.when(end, when)), F.lit("")).alias("completed"),
-        F.coalesce(F.min(F.when(start, flat)), F.lit("")).alias("received_message"),
-        F.coalesce(F.min(F.when(end, F.struct(when, flat.alias("m"))))["m"], F.lit("")).alias("completion_message"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(other)), lambda x: x["message"]), " | ").alias(
-            "function_output"
-        ),
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    flat = log.select(
+        "request_id",
+        text("time").alias("time"),
+        text("message").alias("raw"),
+        F.regexp_replace(text("message"), r"[\t\r\n]+", " ").alias("message"),
+    )
+    start, end = F.col("raw") == RECEIVED, F.col("raw").startswith(SERVED)
+    entry = F.struct("time", "message")
+    joined = lambda entries: F.array_join(F.transform(F.sort_array(entries), lambda x: x["message"]), " | ")
+    parts = flat.groupBy("request_id", F.left("time", F.lit(16)).alias("minute")).agg(
+        F.min(F.when(start, entry)).alias("start"),
+        F.min(F.when(end, entry)).alias("end"),
+        F.collect_list(F.when(~(start | end), entry)).alias("others"),
+    )
+    piece = F.when(F.size("others") > 0, F.struct(F.col("minute").alias("time"), joined("others").alias("message")))
+    summary = parts.groupBy("request_id").agg(
+        F.min("start").alias("s"), F.min("end").alias("e"), joined(F.collect_list(piece)).alias("function_output")
+    ).select(
+        "request_id",
+        text("s.time").alias("started"),
+        text("e.time").alias("completed"),
+        text("s.message").alias("received_message"),
+        text("e.message").alias("completion_message"),
+        "function_output",
     )
     if limit is None:
         return summary
