@@ -32,6 +32,7 @@ from slicelake.sinks.lake import Lake
 from slicelake.sources import csvfiles, messages
 
 PARALLEL_TARGETS = 8
+MAX_FILES = 1000  # message files of one micro-batch
 REMEMBER = "7 days"  # how long a delivery key is kept
 _ONE_WRITER = threading.Lock()
 
@@ -97,21 +98,22 @@ class Ingest:
 
     # ------------------------------------------------------------ streams
 
-    def run(self, events_path: str, checkpoint: str, max_files: int | None = None) -> None:
-        """Work off everything that has arrived, then return."""
+    def run(self, events_path: str, checkpoint: str, max_files: int = MAX_FILES) -> None:
+        """Work off everything that has arrived, in micro-batches of ``max_files`` files, then return."""
         self.start_intake(events_path, f"{checkpoint}/intake", max_files).awaitTermination()
         if self.lake.log("handoff", ROUTED_LOG).limit(1).count():
-            self.start_detached(f"{checkpoint}/detached").awaitTermination()
+            self.start_detached(f"{checkpoint}/detached", max_files).awaitTermination()
 
-    def start_intake(self, events_path: str, checkpoint: str, max_files: int | None = None, **trigger) -> StreamingQuery:
+    def start_intake(self, events_path: str, checkpoint: str, max_files: int = MAX_FILES, **trigger) -> StreamingQuery:
         stream = messages.read_messages(self.spark, events_path, True, max_files)
         if self.deduplicate:
             stream = _first_deliveries(stream)
         writer = stream.writeStream.foreachBatch(self.intake).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-    def start_detached(self, checkpoint: str, **trigger) -> StreamingQuery:
-        stream = self.spark.readStream.schema(ROUTED_LOG).parquet(f"{self.lake.root}/handoff")
+    def start_detached(self, checkpoint: str, max_files: int = MAX_FILES, **trigger) -> StreamingQuery:
+        reader = self.spark.readStream.schema(ROUTED_LOG).option("maxFilesPerTrigger", max_files)
+        stream = reader.parquet(f"{self.lake.root}/handoff")
         writer = stream.writeStream.foreachBatch(self.detached).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -133,7 +135,8 @@ class Ingest:
             logged = self.spark.read.schema(ROUTED_LOG).parquet(f"{self.lake.root}/object_event/batch_id={folder}")
             now, later = split_by_mode(logged.where(F.col("reject").isNull()))
             if seen.get["detached"]:
-                self.lake.append_log("handoff", later, folder)
+                # a source's events stay in one file, so that no trigger of the other query parts them
+                self.lake.append_log("handoff", later.repartition(*SOURCE), folder)
             self._process(now, folder, ("intake", batch_id), state["next_seq"] + seen.get["rows"], seen.get["rows"])
 
     def detached(self, batch: DataFrame, batch_id: int) -> None:

@@ -239,3 +239,20 @@ def test_one_batch_or_many(spark, tmp_path, rows):
         state = world.lake.registry().select("resource_name", "batch_num", "lifecycle_state", "object_version")
         results.append((rows(state), rows(world.ingest.table("mart", "t").select("name")), world.audit()))
     assert results[0] == results[1]
+
+
+def test_detached_events_keep_their_order(spark, tmp_path, rows):
+    """One message file per trigger, and one hand-off file per trigger of the other query."""
+    world = World(spark, tmp_path / "o")
+    for name in "ab":
+        world.put(f"det/{name}.csv", f"id,name,amount\n1,{name},1\n")
+    for group in (
+        [("create", "det/a.csv", 1), ("create", "det/b.csv", 2), ("delete", "det/a.csv", 3)],
+        [("update", "det/a.csv", 4), ("delete", "det/b.csv", 5)],
+        [("delete", "det/a.csv", 6), ("update", "det/b.csv", 7)],
+    ):
+        world.send(*group)
+        os.utime(f"{world.root}/events/{world.files}.json", (1_700_000_000 + world.files,) * 2)
+    world.ingest.run(f"{world.root}/events", f"{world.root}/checkpoint", max_files=1)
+    assert [r[2] for r in world.audit()] == ["SUCCESS"] * 7
+    assert rows(world.ingest.table("mart", "t").select("name")) == [("b",)]
