@@ -170,10 +170,6 @@ def overlapping_records(spark, sf_dir):
     return quality.overlapping_records(shown, ["l_partkey"])
 
 
-CATALOG = """SELECT 'mart' AS target_database, concat('t_', p_partkey) AS target_table, c.column_name, p_partkey % 4 <> 0 OR c.column_name <> 'batch_num' AS ok_hidden, p_partkey
-    FROM part, (VALUES ('id'), ('code'), ('batch_num')) c(column_name) WHERE p_partkey % 10 <> 0"""
-
-
 @query(
     "Q10_target_contract",
     v.sql(

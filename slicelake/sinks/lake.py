@@ -223,6 +223,3 @@ class Lake:
     def log(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         schema = schema or schemas.CONTROL[name]
         return self._read(name, schema).select(*schema.names)
-
-
-__all__ = ["Lake", "REGISTRY", "TARGET"]
