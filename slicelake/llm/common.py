@@ -63,3 +63,72 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[slice]:
         total += size
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+class HashedPairs:
+    """(first, second) -> value for non-negative ints, open addressing in numpy, whole arrays at a time."""
+
+    EMPTY = -1
+
+    def __init__(self, bits: int = 12):
+        self._reset(bits)
+
+    def _reset(self, bits: int) -> None:
+        self.bits, self.size = bits, 0
+        self.keys = np.full(1 << bits, self.EMPTY, np.int64)
+        self.values = np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    @staticmethod
+    def key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (first.astype(np.int64) << 16) | second
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of ``keys``, -1 where there is none."""
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.values[slots], -1)
+        left = np.flatnonzero((found != keys) & (found != self.EMPTY))
+        slots = slots[left]
+        while len(left):
+            slots = (slots + 1) & (len(self.keys) - 1)
+            found = self.keys[slots]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slots[hit]]
+            more = ~hit & (found != self.EMPTY)
+            left, slots = left[more], slots[more]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not in the table yet."""
+        if (self.size + len(keys)) * 3 > len(self.keys):
+            old, kept = self.keys[self.keys != self.EMPTY], self.values[self.keys != self.EMPTY]
+            bits = self.bits
+            while (self.size + len(keys)) * 3 > 1 << bits:
+                bits += 1
+            self._reset(bits)
+            self.put(old, kept)
+        self.size += len(keys)
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] == self.EMPTY)
+            _, first = np.unique(slots[free], return_index=True)
+            mine = free[first]
+            self.keys[slots[mine]], self.values[slots[mine]] = keys[mine], values[mine]
+            rest = np.ones(len(keys), bool)
+            rest[mine] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & (len(self.keys) - 1)
+
+
+def texts_of(array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string column and its n + 1 offsets into them; NULL is empty."""
+    import pyarrow as pa
+
+    array = array.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+    data = array.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole, offsets

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import line_dedup, quality_rules
+from slicelake.llm import byte_bpe, line_dedup, quality_rules, token_counts
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +28,7 @@ def query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    return quality_rules.judge(docs, rules).select("row.doc_id", "judged.*")
 
 
 @query(
@@ -56,3 +55,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.mark_lines(docs).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), PATTERN, with_ids=False)
+    return encoded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, vocabulary("word_bpe_49k.json"))
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
