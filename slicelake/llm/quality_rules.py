@@ -1,6 +1,6 @@
 """Quality rules: a decision list learned by sequential covering, emitted as one Spark expression.
 
-``text_stats`` measures a text with built-in functions only. ``learn_rules`` grows conjunctions of
+``stats_of`` measures a text with built-in functions only. ``learn_rules`` grows conjunctions of
 thresholds on two thirds of the labelled rows, prunes each on the last third, keeps those precise
 enough, takes out what they cover and goes on. ``RuleList.verdict`` is the ordered ``CASE WHEN``.
 
@@ -64,41 +64,43 @@ def repeated_words(words: Column) -> Column:
     )
 
 
-def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row`` (the document) and its statistics, one row each, without a shuffle."""
-    body = F.coalesce(column(text), F.lit(""))
+def stats_of(text: Column) -> Column:
+    """All statistics of a text as one struct."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
-    bare = F.translate(body, SPACES, "")
     counted = let(
         words_of(body),
-        lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
+        lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated_words(w).alias("repeat")),
+    )
+    return let(
+        counted,
+        lambda c: F.struct(
+            c["n"].alias("n_words"),
+            F.length(F.translate(body, SPACES, "")).cast("bigint").alias("word_chars"),
+            (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"),
+            c["repeat"].alias("n_repeat_words"),
+        ),
     )
-    return docs.select(
-        whole_row(docs),
-        counted.alias("counted"),
-        F.length(bare).cast("bigint").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"),
-    ).select("row", "counted.n_words", "word_chars", "n_symbols", "n_dup_lines", "counted.n_repeat_words")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(s: Column) -> Column:
+    return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-# What the rules may test, over the columns of text_stats.
+# What the rules may test, over the struct of stats_of.
 FEATURES = {
-    "words": lambda: F.col("n_words").cast("double"),
-    "word_length": lambda: _ratio(F.col("word_chars"), F.col("n_words")),
-    "symbol_share": lambda: _ratio(F.col("n_symbols"), F.col("word_chars")),
-    "symbols_per_word": lambda: _ratio(F.col("n_symbols"), F.col("n_words")),
-    "dup_lines": lambda: F.col("n_dup_lines").cast("double"),
-    "dup_lines_per_word": lambda: _ratio(F.col("n_dup_lines"), F.col("n_words")),
-    "repeat_share": lambda: _ratio(F.col("n_repeat_words"), F.col("n_words")),
+    "words": lambda s: s["n_words"].cast("double"),
+    "word_length": lambda s: _ratio(s["word_chars"], s["n_words"]),
+    "symbol_share": lambda s: _ratio(s["n_symbols"], s["word_chars"]),
+    "symbols_per_word": lambda s: _ratio(s["n_symbols"], s["n_words"]),
+    "dup_lines": lambda s: s["n_dup_lines"].cast("double"),
+    "dup_lines_per_word": lambda s: _ratio(s["n_dup_lines"], s["n_words"]),
+    "repeat_share": lambda s: _ratio(s["n_repeat_words"], s["n_words"]),
 }
 
 
@@ -108,13 +110,13 @@ class RuleList:
 
     rules: tuple[tuple[tuple[str, bool, float], ...], ...] = ()
 
-    def verdict(self) -> Column:
-        """True where no rule rejects; the first rule that holds decides."""
+    def verdict(self, s: Column) -> Column:
+        """True where no rule rejects the statistics ``s``; the first rule that holds decides."""
         out = F
         for rule in self.rules:
             holds = F.lit(True)
             for feature, upper, at in rule:
-                value = FEATURES[feature]()
+                value = FEATURES[feature](s)
                 holds = holds & (value <= at if upper else value > at)
             out = out.when(holds, F.lit(False))
         return F.lit(True) if out is F else out.otherwise(F.lit(True))
@@ -204,30 +206,38 @@ def learn_rules(
     )
     # at most max_labelled rows of two numbers are broadcast
     wanted = docs.select(column(id).alias("doc"), column(text).alias("text")).join(F.broadcast(chosen), "doc")
-    measured = text_stats(wanted).where(~base_failed())
     names = list(FEATURES)
+    features = let(  # measured once: a filter or a second column would measure again
+        stats_of(F.col("text")),
+        lambda s: F.when(~base_failed(s), F.array(*[FEATURES[n](s) for n in names])),
+    )
     rows = (
-        measured.select(
-            F.col("row.doc").alias("doc"), F.col("row.label").alias("label"), *[FEATURES[n]().alias(n) for n in names]
-        )
-        .orderBy(F.xxhash64("doc"), *names, "label")
+        wanted.select("label", F.xxhash64("doc").alias("at"), features.alias("features"))
+        .orderBy("at", "features", "label")
         .limit(2 * max_labelled)  # repeated ids can add rows; the bound holds all the same
         .collect()
     )
+    rows = [r for r in rows if r["features"] is not None]
     if not rows:
         return RuleList()
-    data = np.array([[float(v) for v in r[1:]] for r in rows])
-    return cover(data[:, 1:], data[:, 0] > 0, names, **options)
+    data, good = np.array([r["features"] for r in rows]), np.array([r["label"] == 1 for r in rows])
+    return cover(data, good, names, **options)
+
+
+def passes(s: Column, rules: RuleList) -> Column:
+    return ~base_failed(s) & rules.verdict(s)
 
 
 def judge(docs: DataFrame, rules: RuleList, text: str = "text") -> DataFrame:
-    """``row``, the statistics, ``base_failed`` and ``kept`` of every document."""
-    return text_stats(docs, text).withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & rules.verdict()
+    """``row`` and, in ``judged``, the statistics, ``base_failed`` and ``kept`` of every document."""
+    judged = let(
+        stats_of(column(text)),
+        lambda s: s.withField("base_failed", base_failed(s)).withField("kept", passes(s, rules)),
     )
+    return docs.select(whole_row(docs), judged.alias("judged"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that pass the base and the learned rules, with their own columns."""
     rules = learn_rules(docs, labels, id, text, **options)
-    return judge(docs, rules, text).where("kept").select("row.*")
+    return docs.where(let(stats_of(column(text)), lambda s: passes(s, rules)))
