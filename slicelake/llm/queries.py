@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import byte_bpe, line_dedup, quality_rules, token_counts
+from slicelake.llm import byte_bpe, line_dedup, quality_rules, sharding, token_counts, token_files, warc
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, vocabulary("word_bpe_49k.json"))
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = token_files.token_files(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_files.digests(read).withColumnRenamed("doc", "doc_id")
+
+
+@query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs, 24).select(
+        F.col("doc").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_archives(warc.write_archives(pages), with_payload=False)
