@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import byte_bpe, line_dedup, quality_rules, sharding, token_counts, token_files, warc
+from slicelake.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, token_counts, token_files, warc
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.read_archives(warc.write_archives(pages), with_payload=False)
+
+
+@query("op5_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words=4).select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept"
+    )
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score")
