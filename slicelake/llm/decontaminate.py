@@ -24,7 +24,7 @@ from slicelake.llm.common import column, stored, whole_row
 
 GRAM, SPAN = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, 1
-MIN_SCORE = 0.5           # of a full copy's score
+MIN_SCORE = 0.4           # of a full copy's score; chance alignments stay under 0.25
 BITS = 24                 # the bitmap has 2 ** BITS bits
 ENDS = b".,;:!?\"'()[]{}*#$%&|<>"
 ALIGN_CELLS = 1 << 22     # words of padded passages aligned at once
@@ -91,8 +91,9 @@ def item_grams(items: DataFrame, id: str, text: str) -> DataFrame:
 def bitmap(hashes: DataFrame):
     """A broadcast bitmap of the hashes' low bits: 2 ** BITS bits, whatever the number of hashes."""
     slot = F.pmod("hash", F.lit(1 << BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
     rows = (
-        hashes.select(F.floor(slot / 64).cast("int").alias("at"), F.shiftleft(F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+        hashes.select(F.floor(slot / 64).cast("int").alias("at"), bit.alias("bit"))
         .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()  # at most 2 ** BITS / 64 rows
     )
     out = np.zeros((1 << BITS) // 64, np.int64)
