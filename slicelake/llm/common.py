@@ -11,6 +11,7 @@ from slicelake.session import prepare, work_dir
 
 SPACES = " \t\n\x0b\x0c\r"            # the white space of all word and line rules here
 WORD_BREAK = "[ \\t-\\r]+"
+BITS = 24                              # a bitmap has 2 ** BITS bits
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -132,3 +133,23 @@ def texts_of(array) -> tuple[np.ndarray, np.ndarray]:
     data = array.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole, offsets
+
+
+def bitmap(hashes: DataFrame):
+    """A broadcast bitmap of the hashes' low bits: 2 ** BITS bits, whatever the number of hashes."""
+    slot = F.pmod("hash", F.lit(1 << BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    rows = (
+        hashes.select(F.floor(slot / 64).cast("int").alias("at"), bit.alias("bit"))
+        .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()  # at most 2 ** BITS / 64 rows
+    )
+    out = np.zeros((1 << BITS) // 64, np.int64)
+    for row in rows:
+        out[row["at"]] = row["bits"]
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def marked(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the n-grams whose bit is set."""
+    low = grams & ((1 << BITS) - 1)
+    return np.flatnonzero((bits[low >> 6] >> (low & 63)) & 1)

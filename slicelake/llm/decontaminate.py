@@ -20,12 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from slicelake.llm.byte_bpe import Pieces
-from slicelake.llm.common import column, stored, whole_row
+from slicelake.llm.common import bitmap, column, marked, stored, whole_row
 
 GRAM, SPAN = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 MIN_SCORE = 0.4           # of a full copy's score; chance alignments stay under 0.25
-BITS = 24                 # the bitmap has 2 ** BITS bits
 ENDS = b".,;:!?\"'()[]{}*#$%&|<>"
 ALIGN_CELLS = 1 << 22     # words of padded passages aligned at once
 MAX_WORDS = 1_000_000     # distinct words whose hashes a worker remembers
@@ -88,26 +87,6 @@ def item_grams(items: DataFrame, id: str, text: str) -> DataFrame:
     return staged.mapInArrow(run, "item bigint, n_words bigint, words binary, grams array<bigint>")
 
 
-def bitmap(hashes: DataFrame):
-    """A broadcast bitmap of the hashes' low bits: 2 ** BITS bits, whatever the number of hashes."""
-    slot = F.pmod("hash", F.lit(1 << BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
-    rows = (
-        hashes.select(F.floor(slot / 64).cast("int").alias("at"), bit.alias("bit"))
-        .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()  # at most 2 ** BITS / 64 rows
-    )
-    out = np.zeros((1 << BITS) // 64, np.int64)
-    for row in rows:
-        out[row["at"]] = row["bits"]
-    return hashes.sparkSession.sparkContext.broadcast(out)
-
-
-def marked(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of the n-grams whose bit is set."""
-    low = grams & ((1 << BITS) - 1)
-    return np.flatnonzero((bits[low >> 6] >> (low & 63)) & 1)
-
-
 def rare_seeds(docs: DataFrame, grams: DataFrame, id: str, text: str) -> DataFrame:
     """``hash``, ``item`` of the chosen n-grams, by the number of documents that hold them."""
     import pyarrow as pa

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, token_counts, token_files, warc
+from slicelake.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, warc
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score")
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repeats = suffix_dedup.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeats.select(
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
+        (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_doc_id"),
+    )
