@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from slicelake.llm.common import bitmap, column, marked, stored
 from slicelake.llm.byte_bpe import Pieces
 
-MIN_WORDS, GRAM, WINDOW = 50, 10, 17
+MIN_WORDS, GRAM, WINDOW = 50, 10, 36
 RUN = MIN_WORDS - WINDOW + 1      # words behind the first place of a passage
-LEFT, RIGHT = 20, 60
+LEFT, RIGHT = 40, 50
 NEIGHBOURS = 8                    # suffixes of other documents compared on either side
 MAX_WORDS = 1_000_000             # distinct words whose hashes a worker remembers
 
@@ -106,21 +106,22 @@ def suffixes(staged: DataFrame, runs: DataFrame) -> DataFrame:
     def run(batches):
         cut, filter_ = places(), bits.value
         for batch in batches:
-            rows = []
+            columns: dict = {name: [] for name in shape.names}
             for doc, t in zip(batch.column("doc").to_pylist(), batch.column("text")):
                 words, at, hashes = cut.of(t.as_py() or "")
-                for k in marked(hashes, filter_).tolist():
-                    p = int(at[k])
-                    rows.append({
-                        "hash": int(hashes[k]), "suffix": b" ".join(words[p : p + RIGHT]),
-                        "before": b" ".join(words[max(0, p - LEFT) : p]), "doc": doc, "at": p,
-                    })
-                if len(rows) >= 5_000:
-                    yield pa.RecordBatch.from_pylist(rows, shape)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, shape)
+                chosen = marked(hashes, filter_)
+                starts = at[chosen].tolist()
+                columns["hash"] += hashes[chosen].tolist()
+                columns["suffix"] += [b" ".join(words[p : p + RIGHT]) for p in starts]
+                columns["before"] += [b" ".join(words[max(0, p - LEFT) : p]) for p in starts]
+                columns["doc"] += [doc] * len(starts)
+                columns["at"] += starts
+                if len(columns["at"]) >= 20_000:
+                    yield pa.RecordBatch.from_pydict(columns, shape)
+                    columns = {name: [] for name in shape.names}
+            yield pa.RecordBatch.from_pydict(columns, shape)
 
-    return staged.mapInArrow(run, "hash bigint, suffix binary, before binary, doc bigint, at bigint").distinct()
+    return staged.mapInArrow(run, "hash bigint, suffix binary, before binary, doc bigint, at bigint")
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
@@ -133,11 +134,11 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def compare(rows: list[dict], own: list[int], min_words: int) -> list[dict]:
+def compare(rows: list[dict], own: range, min_words: int) -> list[dict]:
     """What the sorted neighbours in other documents share with each row in ``own``, if long enough."""
     out = []
     right = [r["suffix"].split(b" ") for r in rows]
-    left = [r["before"].split(b" ")[::-1] if r["before"] else [] for r in rows]
+    left = [r["before"].split(b" ")[::-1] if r["before"] else [] for r in rows]     # nearest word first
     for i in own:
         before, behind, other = 0, 0, None
         for step in (-1, 1):
@@ -147,7 +148,8 @@ def compare(rows: list[dict], own: list[int], min_words: int) -> list[dict]:
                     break
                 if rows[j]["doc"] != rows[i]["doc"]:
                     seen += 1
-                    a, b = common(left[i], left[j]), common(right[i], right[j])
+                    b = len(right[i]) if rows[j]["suffix"] == rows[i]["suffix"] else common(right[i], right[j])
+                    a = len(left[i]) if rows[j]["before"] == rows[i]["before"] else common(left[i], left[j])
                     if a + b >= min_words:
                         if a + b > before + behind or other is None:
                             other = (rows[j]["doc"],)
@@ -169,38 +171,35 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     runs = stored(repeated_runs(staged), "runs")
     order = ["hash", "suffix", "before", "doc", "at"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    array = stored(
-        suffixes(staged, runs).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .withColumn("part", F.spark_partition_id()), "suffixes",
-    )
-    ends = []
-    for direction in (F.asc, F.desc):
-        nearest = Window.partitionBy("part").orderBy(*[direction(c) for c in order])
-        ends.append(array.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEIGHBOURS).drop("k"))
-    first, last = ends       # a few rows of each range; they also go to the range beside it
-    borrowed = first.withColumn("part", F.col("part") - 1).union(last.withColumn("part", F.col("part") + 1))
-    whole = array.withColumn("own", F.lit(True)).unionByName(borrowed.withColumn("own", F.lit(False)))
-    shape = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64())])
-    # ranges stay whole, each in one task, as they were cut by size
-    dealt = whole.repartition(parts, "part").sortWithinPartitions("part", *order)
+    sparse = stored(suffixes(staged, runs), "suffixes")
+    array = sparse.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64())
+    edge = ("hash", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("at", pa.int64())
+    shape = pa.schema([*found, *edge])
+    near = 2 * NEIGHBOURS
 
     def run(batches):
-        carry: list[dict] = []      # the last rows, whose neighbours are still to come
-        done = 0                    # rows of the carry that have been compared already
+        """Matches inside a range; then its first and last rows, whose neighbours may be in another range."""
+        held, done, first = [], 0, []      # the last rows, and how many of them have been compared
         for batch in batches:
-            rows = carry + batch.to_pylist()
-            stop = len(rows)
-            while stop and rows[stop - 1]["hash"] == rows[-1]["hash"] and len(rows) - stop < 64 * NEIGHBOURS:
-                stop -= 1
-            yield pa.RecordBatch.from_pylist(compared(rows, range(done, stop)), shape)
-            keep = max(0, stop - 64 * NEIGHBOURS)
-            carry, done = rows[keep:], stop - keep
-        yield pa.RecordBatch.from_pylist(compared(carry, range(done, len(carry))), shape)
-
-    def compared(rows, some):
-        return compare(rows, [i for i in some if rows[i]["own"]], min_words)
-
-    matches = dealt.mapInArrow(run, "doc bigint, start bigint, end bigint, other bigint")
+            rows = held + batch.to_pylist()
+            first = first or rows[:near]
+            stop = max(done, len(rows) - near)
+            yield pa.RecordBatch.from_pylist(compare(rows, range(done, stop), min_words), shape)
+            keep = max(0, stop - near)
+            held, done = rows[keep:], stop - keep
+        yield pa.RecordBatch.from_pylist(compare(held, range(done, len(held)), min_words), shape)
+        yield pa.RecordBatch.from_pylist(first + held[-near:], shape)
+
+    def again(batches):
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(compare(rows, range(len(rows)), min_words), pa.schema(found))
+
+    kinds = "doc bigint, start bigint, end bigint, other bigint"
+    compared = stored(array.mapInArrow(run, kinds + ", hash bigint, suffix binary, before binary, at bigint"), "matches")
+    # a few rows of each range, so as many as there are ranges
+    edges = compared.where("hash IS NOT NULL").select(*order).distinct().repartition(1).sortWithinPartitions(*order)
+    matches = compared.where("hash IS NULL").select("doc", "start", "end", "other").union(edges.mapInArrow(again, kinds))
     in_order = Window.partitionBy("doc").orderBy("start", "end")      # the passages of one document
     reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     opened = matches.withColumn("opens", F.when(F.col("start") < reached, 0).otherwise(1))
