@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased (A-Z) and freed of punctuation at their ends. Of every ``SPAN`` neighbouring n-grams of an item the
-one that the fewest documents hold is a seed, so every unedited run of ``GRAM + SPAN - 1`` words has
+one that the fewest documents hold, if any, is a seed, so every unedited run of ``GRAM + SPAN - 1`` words has
 one, and an item that very many documents copy keeps its seeds. Document counts come from the whole corpus.
 
 Documents are scanned twice against a bitmap of fixed size: once to count the items' n-grams, once to find the seeds. A
@@ -106,8 +106,8 @@ def rare_seeds(docs: DataFrame, grams: DataFrame, id: str, text: str) -> DataFra
 
     held = docs.select(column(text).alias("text")).mapInArrow(run, "hash bigint, n bigint")
     frequency = held.groupBy("hash").agg(F.sum("n").alias("n"))
-    known = placed.join(frequency, "hash", "left").select("item", "at", "hash", F.coalesce("n", F.lit(0)).alias("n"))
-    # every window of SPAN n-grams gives its rarest; an item shorter than that is one window
+    known = placed.join(frequency, "hash").select("item", "at", "hash", "n")
+    # every window of SPAN n-grams gives its rarest that occurs at all; an item shorter than that is one window
     windows = known.join(grams.select(F.col("item").alias("i"), F.size("grams").alias("m")).distinct(), F.col("item").eqNullSafe(F.col("i")))
     last = F.greatest(F.col("m") - SPAN, F.lit(0))
     first = F.greatest(F.col("at") - SPAN + 1, F.lit(0))

@@ -56,12 +56,23 @@ class Places:
         if len(h) < MIN_WORDS:
             return words, none, none
         grams = rolled(h, GRAM)
-        least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(1)
-        at = np.unique(least + np.arange(len(least)))
+        # a place is chosen if it is the least of any window it lies in (equal hashes all are)
+        least = sliding(grams, np.minimum)
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), np.maximum) == grams)
         at = at[at + RUN <= len(h)]
         return words, at, rolled(h, RUN)[at].view(np.int64)
 
 
+def sliding(values: np.ndarray, best) -> np.ndarray:
+    """np.minimum or np.maximum over every WINDOW neighbours, by doubling."""
+    width = 1
+    while 2 * width <= WINDOW:
+        values, width = best(values[:-width], values[width:]), 2 * width
+    rest = WINDOW - width
+    return best(values[: len(values) - rest], values[rest:])
+
+
 def rolled(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` neighbouring values."""
     out = np.zeros(len(h) - width + 1, np.uint64)
