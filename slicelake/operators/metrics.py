@@ -167,7 +167,7 @@ def monitor_summary(samples: DataFrame, start: str, end: str) -> DataFrame:
     plain = window.groupBy("metric").agg(
         F.count(F.lit(1)).alias("samples"), F.avg("value").alias("average"), F.max("value").alias("peak")
     )
-    return plain.join(exact_percentile(window, ["metric"], "value", 0.95, "p95"), "metric")
+    return plain.join(exact_percentile(window, ["metric"], "value", 0.95, "p95"), "metric", "left")
 
 
 def final_state(visible: DataFrame, orphans: DataFrame, registry: DataFrame, raw: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ def export_rows(df: DataFrame) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     export_rows(df).write.mode("overwrite").options(
-        header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8"
+        header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8",
+        # the writer's own stripping would let a guarded cell lose the blank before a formula
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
 
