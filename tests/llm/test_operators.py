@@ -251,7 +251,7 @@ def test_leaks(spark, documents):
     assert set(got) == {(1, 1), (2, 2), *((100 + i, 4) for i in range(30))}
     assert got[1, 1] == 1.0 and 0.6 < got[2, 2] < 1
     left = decontaminate.drop_leaks(documents(rows), bench)
-    assert left.columns == ["doc_id", "text", "row", "doc", "n_chars"] and left.count() == len(rows) - 32
+    assert left.columns == ["doc_id", "text", "row", "doc", "n_chars"] and left.count() == len(rows) - 34  # two odd rows share ids 1 and 2
     assert decontaminate.find_leaks(documents([]), bench).count() == 0
     assert decontaminate.find_leaks(documents(rows), bench.where("item_id < 0")).count() == 0
 
