@@ -271,7 +271,7 @@ def test_alignment_against_a_plain_table():
 def test_repeats_against_brute_force(documents):
     random.seed(8)
     passage = words(0, 55)
-    rows = [(i, f"{words(1000 * (i + 1), 20 + i)} {passage.upper() if i % 2 else passage} {words(1000 * (i + 1) + 500, 30)}") for i in range(12)]
+    rows = [(100 + i, f"{words(1000 * (i + 1), 20 + i)} {passage.upper() if i % 2 else passage} {words(1000 * (i + 1) + 500, 30)}") for i in range(12)]
     rows += [(50, words(0, 49) + " end"), (51, words(99_000, 200)), (52, words(99_100, 120)), (53, words(200_000, 70) + " " + words(200_000, 70)), *ODD]
     found = {i: (t or "").lower().split() for i, t in rows if i is not None}
     holders = {}
