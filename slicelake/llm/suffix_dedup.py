@@ -10,7 +10,12 @@ Matches of ``MIN_WORDS`` words or more are joined into maximal passages per docu
 Documents are scanned twice: once for the hashes of the places, once, against a bitmap of fixed size, for
 the suffixes that repeat, each cut to ``RIGHT`` words with ``LEFT`` words before it. A longer passage has further places
 that carry it on. Sorting is by range, so a passage that very many documents hold spreads over tasks; the
-first and last ``NEIGHBOURS`` suffixes of a range also go to the ranges beside it.
+first and last suffixes of a range also go to the ranges beside it.
+
+A suffix is compared with ``NEIGHBOURS`` suffixes on either side. Those further away share at most as many words to the right
+as the last one compared, but may share more to the left. So where more follow, every window of ``MIN_WORDS`` words
+round the place that could still be shared and lies outside what was found is looked up by its hash among the windows of all
+documents: no match is lost to the number of neighbours, and a window that many documents hold is one row after map-side combine.
 
 Defined cases: words are compared with A-Z lower-cased; NULL texts have none. NULL ids count as one document.
 Repeated rows with one id are no repeat (a passage must occur in two documents). Empty tables give empty
@@ -28,7 +33,7 @@ from slicelake.llm.byte_bpe import Pieces
 MIN_WORDS, GRAM, WINDOW = 50, 10, 36
 RUN = MIN_WORDS - WINDOW + 1      # words behind the first place of a passage
 LEFT, RIGHT = 40, 50
-NEIGHBOURS = 8                    # suffixes of other documents compared on either side
+NEIGHBOURS = 8                    # suffixes compared directly on either side; the rest by window hashes
 MAX_WORDS = 1_000_000             # distinct words whose hashes a worker remembers
 
 
@@ -123,7 +128,7 @@ def suffixes(staged: DataFrame, runs: DataFrame) -> DataFrame:
                 chosen = marked(hashes, filter_)
                 starts = at[chosen].tolist()
                 columns["hash"] += hashes[chosen].tolist()
-                columns["suffix"] += [b" ".join(words[p : p + RIGHT]) for p in starts]
+                columns["suffix"] += [b" ".join(words[p : p + RIGHT]) + b" " for p in starts]
                 columns["before"] += [b" ".join(words[max(0, p - LEFT) : p]) for p in starts]
                 columns["doc"] += [doc] * len(starts)
                 columns["at"] += starts
@@ -145,36 +150,90 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def compare(rows: list[dict], own: range, min_words: int) -> list[dict]:
-    """What the sorted neighbours in other documents share with each row in ``own``, if long enough."""
+def compare(rows: list[dict], own: range) -> list[dict]:
+    """What each row in ``own`` shares with its sorted neighbours in other documents, and the windows left to look up."""
     out = []
-    right = [r["suffix"].split(b" ") for r in rows]
+    # every word of a suffix ends in a blank, so suffixes that begin with the same words are next to each other
+    right = [r["suffix"].split(b" ")[:-1] for r in rows]
     left = [r["before"].split(b" ")[::-1] if r["before"] else [] for r in rows]     # nearest word first
     for i in own:
-        before, behind, other = 0, 0, None
+        row, before, behind, other, bound = rows[i], 0, 0, None, 0
         for step in (-1, 1):
-            j, seen = i + step, 0
-            while 0 <= j < len(rows) and seen < NEIGHBOURS and rows[j]["hash"] == rows[i]["hash"]:
-                if before == len(left[i]) and behind == len(right[i]):
+            j = i
+            for _ in range(NEIGHBOURS):
+                j += step
+                if not 0 <= j < len(rows) or rows[j]["hash"] != row["hash"]:
                     break
-                if rows[j]["doc"] != rows[i]["doc"]:
-                    seen += 1
-                    b = len(right[i]) if rows[j]["suffix"] == rows[i]["suffix"] else common(right[i], right[j])
-                    a = len(left[i]) if rows[j]["before"] == rows[i]["before"] else common(left[i], left[j])
-                    if a + b >= min_words:
+                b = len(right[i]) if rows[j]["suffix"] == row["suffix"] else common(right[i], right[j])
+                if rows[j]["doc"] != row["doc"]:
+                    a = len(left[i]) if rows[j]["before"] == row["before"] else common(left[i], left[j])
+                    if a + b >= MIN_WORDS:
                         if a + b > before + behind or other is None:
                             other = (rows[j]["doc"],)
                         before, behind = max(a, before), max(b, behind)
+                        if before == len(left[i]) and behind == len(right[i]):
+                            break
+            else:
                 j += step
+                if not 0 <= j < len(rows) or rows[j]["hash"] == row["hash"]:
+                    bound = max(bound, b)      # words that rows further away may share to the right
         if other:
-            out.append({"doc": rows[i]["doc"], "start": rows[i]["at"] - before, "end": rows[i]["at"] + behind, "other": other[0]})
+            out.append({"doc": row["doc"], "start": row["at"] - before, "end": row["at"] + behind, "other": other[0]})
+        if bound and (before < len(left[i]) or behind < len(right[i])):
+            longest = min(WINDOW - 1, len(left[i]))
+            for k in range(max(0, MIN_WORDS - bound), longest + 1):
+                if k > before or MIN_WORDS - k > behind:
+                    words = left[i][:k][::-1] + right[i][: MIN_WORDS - k]
+                    out.append({
+                        "doc": row["doc"], "start": row["at"] - k, "end": row["at"] - k + MIN_WORDS, "hash": row["hash"],
+                        "window": window_hash(words),
+                    })
     return out
 
 
+def window_hash(words: list[bytes]) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def shared_windows(sparse: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc``, ``start``, ``end``, ``other`` of the ``wanted`` windows that another document has, too."""
+    import pyarrow as pa
+
+    places_, windows = bitmap(wanted.select("hash")), bitmap(wanted.select(F.col("window").alias("hash")))
+    shape = pa.schema([("window", pa.int64()), ("holder", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            chosen = marked(batch.column("hash").to_numpy(), places_.value)
+            for some in np.array_split(chosen, max(1, len(chosen) // 500)):      # at most 18,000 windows or so a time
+                part = batch.take(pa.array(some))
+                holders, hashes = [], []
+                for doc, suffix, before in zip(*(part.column(c).to_pylist() for c in ("doc", "suffix", "before"))):
+                    words = (before.split(b" ") if before else []) + suffix.split(b" ")[:-1]
+                    place = before.count(b" ") + 1 if before else 0
+                    first, last = max(0, place - WINDOW + 1), min(place, len(words) - MIN_WORDS)
+                    hashes += [window_hash(words[s : s + MIN_WORDS]) for s in range(first, last + 1)]
+                    holders += [doc] * max(0, last + 1 - first)
+                held = np.array(hashes, np.int64)
+                at = marked(held, windows.value)
+                yield pa.RecordBatch.from_arrays([pa.array(held[at]), pa.array(holders, pa.int64()).take(pa.array(at))], schema=shape)
+
+    held = sparse.select("hash", "suffix", "before", "doc").mapInArrow(run, "window bigint, holder bigint")
+    nobody = F.count_if(F.col("holder").isNull())
+    sides = held.groupBy("window").agg(F.min("holder").alias("x"), F.max("holder").alias("y"), nobody.alias("z"))
+    two = sides.where("x <> y OR (z > 0 AND x IS NOT NULL)")
+    # the other document: the one of the two that the row is not, NULL if that is the document without id
+    met = wanted.join(two, "window")
+    other = F.when(F.col("doc").isNull() | (F.col("x") != F.col("doc")), F.col("x")).when(F.col("y") != F.col("doc"), F.col("y"))
+    return met.select("doc", "start", "end", other.alias("other"))
+
+
 def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc``, ``start``, ``end`` (words, end excluded), ``other`` (a document that has some of it) of every passage.
 
-    ``min_words`` may be ``MIN_WORDS`` or more.
+    Passages are joined from matches of ``MIN_WORDS`` words or more; those of fewer than ``min_words`` words are left out.
     """
     import pyarrow as pa
 
@@ -185,36 +244,39 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     sparse = stored(suffixes(staged, runs), "suffixes")
     array = sparse.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64())
-    edge = ("hash", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("at", pa.int64())
+    edge = ("hash", pa.int64()), ("window", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("at", pa.int64())
     shape = pa.schema([*found, *edge])
     near = 2 * NEIGHBOURS
 
     def run(batches):
-        """Matches inside a range; then its first and last rows, whose neighbours may be in another range."""
+        """Matches and open windows inside a range; then its first and last rows, whose neighbours may be in another range."""
         held, done, first = [], 0, []      # the last rows, and how many of them have been compared
         for batch in batches:
             rows = held + batch.to_pylist()
             first = first or rows[:near]
             stop = max(done, len(rows) - near)
-            yield pa.RecordBatch.from_pylist(compare(rows, range(done, stop), min_words), shape)
+            yield pa.RecordBatch.from_pylist(compare(rows, range(done, stop)), shape)
             keep = max(0, stop - near)
             held, done = rows[keep:], stop - keep
-        yield pa.RecordBatch.from_pylist(compare(held, range(done, len(held)), min_words), shape)
+        yield pa.RecordBatch.from_pylist(compare(held, range(done, len(held))), shape)
         yield pa.RecordBatch.from_pylist(first + held[-near:], shape)
 
     def again(batches):
         rows = [row for batch in batches for row in batch.to_pylist()]
-        yield pa.RecordBatch.from_pylist(compare(rows, range(len(rows)), min_words), pa.schema(found))
+        yield pa.RecordBatch.from_pylist(compare(rows, range(len(rows))), shape)
 
-    kinds = "doc bigint, start bigint, end bigint, other bigint"
-    compared = stored(array.mapInArrow(run, kinds + ", hash bigint, suffix binary, before binary, at bigint"), "matches")
+    kinds = "doc bigint, start bigint, end bigint, other bigint, hash bigint, window bigint, suffix binary, before binary, at bigint"
+    compared = stored(array.mapInArrow(run, kinds), "matches")
     # a few rows of each range, so as many as there are ranges
-    edges = compared.where("hash IS NOT NULL").select(*order).distinct().repartition(1).sortWithinPartitions(*order)
-    matches = compared.where("hash IS NULL").select("doc", "start", "end", "other").union(edges.mapInArrow(again, kinds))
+    edges = compared.where("suffix IS NOT NULL").select(*order).distinct().repartition(1).sortWithinPartitions(*order)
+    compared = compared.where("suffix IS NULL").union(stored(edges.mapInArrow(again, kinds), "edges"))
+    passage = ["doc", "start", "end", "other"]
+    wanted = compared.where("window IS NOT NULL").select("doc", "start", "end", "hash", "window")
+    matches = compared.where("window IS NULL").select(*passage).union(shared_windows(sparse, wanted))
     in_order = Window.partitionBy("doc").orderBy("start", "end")      # the passages of one document
     reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     opened = matches.withColumn("opens", F.when(F.col("start") < reached, 0).otherwise(1))
     chained = opened.withColumn("passage", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     return chained.groupBy("doc", "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")
-    ).drop("passage")
+    ).where(F.col("end") - F.col("start") >= min_words).drop("passage")
