@@ -9,7 +9,8 @@ Matches of ``MIN_WORDS`` words or more are joined into maximal passages per docu
 
 Documents are scanned twice: once for the hashes of the places, once, against a bitmap of fixed size, for
 the suffixes that repeat, each cut to ``RIGHT`` words with ``LEFT`` words before it. A longer passage has further places
-that carry it on. Sorting is by range, so a passage that very many documents hold spreads over tasks; the
+that carry it on. Equal places of several documents are one row of the array, found by an aggregate with map-side combine and joined
+back at the end. Sorting is by range, so a beginning that very many documents share spreads over tasks; the
 first and last suffixes of a range also go to the ranges beside it.
 
 A suffix is compared with ``NEIGHBOURS`` suffixes on either side. Those further away share at most as many words to the right
@@ -24,6 +25,9 @@ results. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -113,7 +117,10 @@ def repeated_runs(staged: DataFrame) -> DataFrame:
 
 
 def suffixes(staged: DataFrame, runs: DataFrame) -> DataFrame:
-    """``hash``, ``suffix``, ``before``, ``doc``, ``at`` of the places whose run may repeat."""
+    """``hash``, ``suffix``, ``before`` (nearest word first), ``doc``, ``at`` of the places whose run may repeat.
+
+    Every word ends in a blank, so sorting puts those that begin with the same words next to each other.
+    """
     import pyarrow as pa
 
     bits = bitmap(runs)
@@ -128,8 +135,8 @@ def suffixes(staged: DataFrame, runs: DataFrame) -> DataFrame:
                 chosen = marked(hashes, filter_)
                 starts = at[chosen].tolist()
                 columns["hash"] += hashes[chosen].tolist()
-                columns["suffix"] += [b" ".join(words[p : p + RIGHT]) + b" " for p in starts]
-                columns["before"] += [b" ".join(words[max(0, p - LEFT) : p]) for p in starts]
+                columns["suffix"] += [b" ".join([*words[p : p + RIGHT], b""]) for p in starts]
+                columns["before"] += [b" ".join([*words[max(0, p - LEFT) : p][::-1], b""]) for p in starts]
                 columns["doc"] += [doc] * len(starts)
                 columns["at"] += starts
                 if len(columns["at"]) >= 20_000:
@@ -151,25 +158,33 @@ def common(a: list[bytes], b: list[bytes]) -> int:
 
 
 def compare(rows: list[dict], own: range) -> list[dict]:
-    """What each row in ``own`` shares with its sorted neighbours in other documents, and the windows left to look up."""
+    """What each row in ``own`` shares with another document, and the windows of it that are left to look up.
+
+    ``before`` and ``behind`` are the words shared on either side of the place.
+    """
     out = []
-    # every word of a suffix ends in a blank, so suffixes that begin with the same words are next to each other
     right = [r["suffix"].split(b" ")[:-1] for r in rows]
-    left = [r["before"].split(b" ")[::-1] if r["before"] else [] for r in rows]     # nearest word first
+    left = [r["left"].split(b" ")[:-1] for r in rows]
     for i in own:
         row, before, behind, other, bound = rows[i], 0, 0, None, 0
+        found = {"hash": row["hash"], "place": row["place"]}
+        if row["many"]:
+            if len(left[i]) + len(right[i]) >= MIN_WORDS:
+                out.append(found | {"before": len(left[i]), "behind": len(right[i]), "x": row["x"], "y": row["y"]})
+            continue
         for step in (-1, 1):
             j = i
             for _ in range(NEIGHBOURS):
                 j += step
                 if not 0 <= j < len(rows) or rows[j]["hash"] != row["hash"]:
                     break
-                b = len(right[i]) if rows[j]["suffix"] == row["suffix"] else common(right[i], right[j])
-                if rows[j]["doc"] != row["doc"]:
-                    a = len(left[i]) if rows[j]["before"] == row["before"] else common(left[i], left[j])
+                near = rows[j]
+                b = len(right[i]) if near["suffix"] == row["suffix"] else common(right[i], right[j])
+                if near["many"] or near["x"] != row["x"]:
+                    a = len(left[i]) if near["left"] == row["left"] else common(left[i], left[j])
                     if a + b >= MIN_WORDS:
                         if a + b > before + behind or other is None:
-                            other = (rows[j]["doc"],)
+                            other = near
                         before, behind = max(a, before), max(b, behind)
                         if before == len(left[i]) and behind == len(right[i]):
                             break
@@ -178,16 +193,12 @@ def compare(rows: list[dict], own: range) -> list[dict]:
                 if not 0 <= j < len(rows) or rows[j]["hash"] == row["hash"]:
                     bound = max(bound, b)      # words that rows further away may share to the right
         if other:
-            out.append({"doc": row["doc"], "start": row["at"] - before, "end": row["at"] + behind, "other": other[0]})
+            out.append(found | {"before": before, "behind": behind, "x": other["x"], "y": other["y"]})
         if bound and (before < len(left[i]) or behind < len(right[i])):
-            longest = min(WINDOW - 1, len(left[i]))
-            for k in range(max(0, MIN_WORDS - bound), longest + 1):
+            for k in range(max(0, MIN_WORDS - bound), min(WINDOW - 1, len(left[i])) + 1):
                 if k > before or MIN_WORDS - k > behind:
                     words = left[i][:k][::-1] + right[i][: MIN_WORDS - k]
-                    out.append({
-                        "doc": row["doc"], "start": row["at"] - k, "end": row["at"] - k + MIN_WORDS, "hash": row["hash"],
-                        "window": window_hash(words),
-                    })
+                    out.append(found | {"before": k, "behind": MIN_WORDS - k, "x": row["x"], "window": window_hash(words)})
     return out
 
 
@@ -197,37 +208,39 @@ def window_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def shared_windows(sparse: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc``, ``start``, ``end``, ``other`` of the ``wanted`` windows that another document has, too."""
+def shared_windows(array: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``hash``, ``place``, ``before``, ``behind``, ``x``, ``y`` of the ``wanted`` windows that another document has, too."""
     import pyarrow as pa
 
     places_, windows = bitmap(wanted.select("hash")), bitmap(wanted.select(F.col("window").alias("hash")))
-    shape = pa.schema([("window", pa.int64()), ("holder", pa.int64())])
+    shape = pa.schema([("window", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("many", pa.bool_())])
 
     def run(batches):
         for batch in batches:
             chosen = marked(batch.column("hash").to_numpy(), places_.value)
             for some in np.array_split(chosen, max(1, len(chosen) // 500)):      # at most 18,000 windows or so a time
                 part = batch.take(pa.array(some))
-                holders, hashes = [], []
-                for doc, suffix, before in zip(*(part.column(c).to_pylist() for c in ("doc", "suffix", "before"))):
-                    words = (before.split(b" ") if before else []) + suffix.split(b" ")[:-1]
-                    place = before.count(b" ") + 1 if before else 0
-                    first, last = max(0, place - WINDOW + 1), min(place, len(words) - MIN_WORDS)
-                    hashes += [window_hash(words[s : s + MIN_WORDS]) for s in range(first, last + 1)]
-                    holders += [doc] * max(0, last + 1 - first)
+                hashes, owner = [], []
+                for n, (suffix, left) in enumerate(zip(part.column("suffix").to_pylist(), part.column("left").to_pylist())):
+                    lead, words = left.split(b" ")[:-1][::-1], suffix.split(b" ")[:-1]
+                    for k in range(max(0, MIN_WORDS - len(words)), min(WINDOW - 1, len(lead)) + 1):
+                        hashes.append(window_hash(lead[len(lead) - k :] + words[: MIN_WORDS - k]))
+                        owner.append(n)
                 held = np.array(hashes, np.int64)
                 at = marked(held, windows.value)
-                yield pa.RecordBatch.from_arrays([pa.array(held[at]), pa.array(holders, pa.int64()).take(pa.array(at))], schema=shape)
-
-    held = sparse.select("hash", "suffix", "before", "doc").mapInArrow(run, "window bigint, holder bigint")
-    nobody = F.count_if(F.col("holder").isNull())
-    sides = held.groupBy("window").agg(F.min("holder").alias("x"), F.max("holder").alias("y"), nobody.alias("z"))
-    two = sides.where("x <> y OR (z > 0 AND x IS NOT NULL)")
-    # the other document: the one of the two that the row is not, NULL if that is the document without id
-    met = wanted.join(two, "window")
-    other = F.when(F.col("doc").isNull() | (F.col("x") != F.col("doc")), F.col("x")).when(F.col("y") != F.col("doc"), F.col("y"))
-    return met.select("doc", "start", "end", other.alias("other"))
+                own = part.select(["x", "y", "many"]).take(pa.array(np.array(owner, np.int64)[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(held[at]), *own.columns], schema=shape)
+
+    kinds = "window bigint, x bigint, y bigint, many boolean"
+    held = array.select("hash", "suffix", "left", "x", "y", "many").mapInArrow(run, kinds)
+    two = held.groupBy("window").agg(*documents_of(F.min("x"), F.max("y"), F.count_if(F.col("x").isNull()), F.max("many"))).where("many")
+    return wanted.drop("x", "y").join(two, "window").select("hash", "place", "before", "behind", "x", "y")
+
+
+def documents_of(x, y, without_id, *many) -> list:
+    """Least and greatest document of a group, and whether it has more than one (all rows without id being one)."""
+    several = F.coalesce(x != y, F.lit(False)) | ((without_id > 0) & x.isNotNull())
+    return [x.alias("x"), y.alias("y"), reduce(or_, many, several).alias("many")]
 
 
 def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -239,13 +252,16 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
 
     staged = docs.select(column(id).cast("bigint").alias("doc"), column(text).alias("text"))
     runs = stored(repeated_runs(staged), "runs")
-    order = ["hash", "suffix", "before", "doc", "at"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sparse = stored(suffixes(staged, runs), "suffixes")
-    array = sparse.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64())
-    edge = ("hash", pa.int64()), ("window", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("at", pa.int64())
-    shape = pa.schema([*found, *edge])
+    sparse = stored(suffixes(staged, runs).withColumn("place", F.xxhash64("suffix", "before")), "suffixes")
+    alike = sparse.groupBy("hash", "suffix", F.col("before").alias("left"), "place")
+    array = stored(alike.agg(*documents_of(F.min("doc"), F.max("doc"), F.count_if(F.col("doc").isNull()))), "array")
+    order = ["hash", "suffix", "left"]
+    kinds = "hash bigint, place bigint, before bigint, behind bigint, x bigint, y bigint, window bigint, suffix binary, left binary, many boolean"
+    shape = pa.schema(
+        [(n, pa.int64()) for n in ("hash", "place", "before", "behind", "x", "y", "window")]
+        + [("suffix", pa.binary()), ("left", pa.binary()), ("many", pa.bool_())]
+    )
     near = 2 * NEIGHBOURS
 
     def run(batches):
@@ -253,7 +269,7 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
         held, done, first = [], 0, []      # the last rows, and how many of them have been compared
         for batch in batches:
             rows = held + batch.to_pylist()
-            first = first or rows[:near]
+            first = first + rows[len(held) :][: near - len(first)]
             stop = max(done, len(rows) - near)
             yield pa.RecordBatch.from_pylist(compare(rows, range(done, stop)), shape)
             keep = max(0, stop - near)
@@ -265,14 +281,19 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
         rows = [row for batch in batches for row in batch.to_pylist()]
         yield pa.RecordBatch.from_pylist(compare(rows, range(len(rows))), shape)
 
-    kinds = "doc bigint, start bigint, end bigint, other bigint, hash bigint, window bigint, suffix binary, before binary, at bigint"
-    compared = stored(array.mapInArrow(run, kinds), "matches")
+    sorted_ = array.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    compared = stored(sorted_.mapInArrow(run, kinds), "matches")
     # a few rows of each range, so as many as there are ranges
-    edges = compared.where("suffix IS NOT NULL").select(*order).distinct().repartition(1).sortWithinPartitions(*order)
-    compared = compared.where("suffix IS NULL").union(stored(edges.mapInArrow(again, kinds), "edges"))
-    passage = ["doc", "start", "end", "other"]
-    wanted = compared.where("window IS NOT NULL").select("doc", "start", "end", "hash", "window")
-    matches = compared.where("window IS NULL").select(*passage).union(shared_windows(sparse, wanted))
+    edges = compared.where("suffix IS NOT NULL").distinct().repartition(1).sortWithinPartitions(*order)
+    compared = compared.where("suffix IS NULL").union(stored(edges.mapInArrow(again, kinds), "edges")).drop("suffix", "left", "many")
+    direct = compared.where("window IS NULL").drop("window")
+    shares = direct.union(shared_windows(array, compared.where("window IS NOT NULL")))
+    widest = shares.groupBy("hash", "place").agg(F.max("before").alias("before"), F.max("behind").alias("behind"), F.min("x").alias("x"), F.max("y").alias("y"))
+    # a document of the two that the row is not itself, NULL if that is the document without id
+    other = F.when(F.col("doc").isNull() | (F.col("x") != F.col("doc")), F.col("x")).when(F.col("y") != F.col("doc"), F.col("y"))
+    matches = sparse.select("hash", "place", "doc", "at").join(widest, ["hash", "place"]).select(
+        "doc", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("behind")).alias("end"), other.alias("other")
+    )
     in_order = Window.partitionBy("doc").orderBy("start", "end")      # the passages of one document
     reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     opened = matches.withColumn("opens", F.when(F.col("start") < reached, 0).otherwise(1))

@@ -284,16 +284,15 @@ def test_repeats_against_brute_force(documents):
     assert suffix_dedup.find_repeats(documents([])).count() == 0
 
 
-def test_repeats_beyond_the_neighbours(documents, monkeypatch):
-    """A core that many documents hold sorts the two whose words before it agree far apart."""
-    monkeypatch.setattr(suffix_dedup, "NEIGHBOURS", 2)
-    draw, core = np.random.default_rng(5), words(0, 30)
-    rows = []
-    for i in range(120):
-        lead = words(10_000 + 100 * (i % 40), 32) if i % 40 < 30 else words(20_000 + 100 * i, 32)
+def test_repeats_beyond_the_neighbours(documents):
+    """Cores that many documents hold sort the two whose words before them agree far apart."""
+    draw, rows = np.random.default_rng(5), []
+    for i in range(400):
+        core, alone = words(1000 * (i % 5), 30), i % 80 >= 60
+        lead = words(20_000 + 100 * i if alone else 100_000 + 100 * (i % 80), 20)
         tail = " ".join(f"t{x}" for x in draw.integers(0, 10**6, 60))
-        rows.append((i, f"{words(50_000 + 100 * i, 40)} {lead} {core} {tail}"))
-    rows += [(200, " ".join([core] * 8)), (None, f"{words(10_000, 32)} {core} no id"), (201, words(20_000 + 100 * 35, 32) + " " + core)]
+        rows.append((i, f"{words(200_000 + 100 * i, 40)} {lead} {core} {tail}"))
+    rows += [(500, " ".join([words(0, 30)] * 8)), (None, f"{words(100_000, 20)} {words(0, 30)} no id")]
     windows = {}
     for i, t in rows:
         w = t.split()
@@ -307,4 +306,4 @@ def test_repeats_beyond_the_neighbours(documents, monkeypatch):
                 want |= {(i, p) for p in range(k, k + 50)}
     found = suffix_dedup.find_repeats(documents(rows)).collect()
     assert {(r["doc"], k) for r in found for k in range(r["start"], r["end"])} == want
-    assert all(r["doc"] != r["other"] for r in found) and len(found) > 90
+    assert all(r["doc"] != r["other"] for r in found) and len(found) > 250
