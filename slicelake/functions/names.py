@@ -118,6 +118,12 @@ def object_path_findings(folder: Column, filename: Column, regex: Column) -> Col
     )
 
 
+def fold(name: Column) -> Column:
+    """The form in which names are compared: lower case, with the small letters that have another small form replaced."""
+    lowered = F.translate(F.lower(name), "\u017f\u03c2", "s\u03c3")
+    return F.replace(lowered, F.lit("\u00df"), F.lit("ss"))
+
+
 def sanitize_header(header: Column) -> Column:
     name = F.regexp_replace(F.lower(strip(header)), r"[^A-Za-z0-9_]+", "_")
     name = F.regexp_replace(F.regexp_replace(name, r"_+", "_"), r"^_+|_+$", "")

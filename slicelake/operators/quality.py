@@ -12,10 +12,10 @@ DELIMITERS = (",", ";", "\t", "|")
 
 def header_diff(header: Column, expected: Column) -> Column:
     """struct(missing, unknown): names compared without regard to case."""
-    fold = lambda names_: F.transform(names_, F.lower)
+    fold = lambda names_: F.transform(names_, names.fold)
     return F.struct(
-        F.filter(expected, lambda e: ~F.array_contains(fold(header), F.lower(e))).alias("missing"),
-        F.filter(header, lambda h: ~F.array_contains(fold(expected), F.lower(h))).alias("unknown"),
+        F.filter(expected, lambda e: ~F.array_contains(fold(header), names.fold(e))).alias("missing"),
+        F.filter(header, lambda h: ~F.array_contains(fold(expected), names.fold(h))).alias("unknown"),
     )
 
 
@@ -32,7 +32,7 @@ def first_repeat(folded: Column) -> Column:
 
 def header_findings(headers: DataFrame, expected: Column) -> DataFrame:
     """Loader headers (``file``, ``header``): repeated names, else missing and unknown ones."""
-    folded = F.transform("header", F.lower)
+    folded = F.transform("header", names.fold)
     diff = header_diff(F.col("header"), expected)
     checked = headers.withColumns({"_repeat": first_repeat(folded), "_diff": diff})
     earlier = F.array_position(folded, F.try_element_at(folded, F.col("_repeat"))).cast("int")
@@ -117,7 +117,9 @@ def blank_key_findings(df: DataFrame, keys: list[str], group: str = "file") -> D
 
 
 def _per_column(df: DataFrame, keep: list[str], tests: dict[str, Column]) -> DataFrame:
-    """One row per (row, column) whose test is true."""
+    """One row per (row, column) whose test is true; none for no tests."""
+    if not tests:
+        return df.select(*keep, F.lit("").alias("column"), F.lit("").alias("value")).where(F.lit(False))
     found = F.filter(
         F.array(
             *[

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 PARTS = 1024            # a key is hot above 1/PARTS of all rows, so there are at most PARTS hot keys
 MIN_HOT_ROWS = 2_000_000  # below this one task copes whatever the share
 BLOCK_ROWS = 1 << 20    # rows of a block when the order is a dense unique number
+FIRST_BLOCK = -(1 << 63)  # the block of rows whose order is NULL; they sort first
 
 
 @dataclass(frozen=True)
@@ -89,10 +90,10 @@ def running(
 ) -> DataFrame:
     """Running sum / max / min of each key in ``order``, scanned block by block.
 
-    ``block`` must not decrease along ``order``. ``inclusive=False`` leaves the row itself out.
-    Key columns must not be NULL.
+    ``block`` must not decrease along ``order``, where it is NULL the row comes first.
+    ``inclusive=False`` leaves the row itself out. NULL keys are one key.
     """
-    staged = df.withColumn("_block", block)
+    staged = df.withColumn("_block", F.coalesce(block, F.lit(FIRST_BLOCK)))
     for name, (_, value) in outputs.items():
         staged = staged.withColumn(f"_v_{name}", value)
 
@@ -100,9 +101,9 @@ def running(
         *[_MERGE[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in outputs.items()]
     )
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = [*keys, "_block"]
     carry = totals.select(
-        *keys,
-        "_block",
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(parts)],
         *[_MERGE[kind](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in outputs.items()],
     )
 
@@ -111,7 +112,8 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    scanned = staged.join(carry, [*keys, "_block"])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(parts)]
+    scanned = staged.join(carry, same)
     for name, (kind, _) in outputs.items():
         local = _MERGE[kind](f"_v_{name}").over(inside)
         carried = F.col(f"_c_{name}")
@@ -121,7 +123,7 @@ def running(
             merged = (F.greatest if kind == "max" else F.least)(local, carried)
         scanned = scanned.withColumn(name, merged)
     spare = [f"_{p}_{name}" for name in outputs for p in "vc"]
-    return scanned.drop("_block", *spare)
+    return scanned.drop("_block", *[f"_k{i}" for i in range(len(parts))], *spare)
 
 
 def rank_rows(

@@ -81,19 +81,20 @@ def create_target(spark: SparkSession, spec: ImportSpec) -> str:
     return name
 
 
-def import_rows(rows: DataFrame, spec: ImportSpec) -> DataFrame:
-    """Text rows as typed rows of the target; slice 0, empty cells NULL."""
+def import_rows(rows: DataFrame, spec: ImportSpec, last_id: int = 0) -> DataFrame:
+    """Text rows as typed rows of the target; slice 0, empty cells NULL. Generated ids follow ``last_id``."""
     typed = [F.col(c).cast(t).alias(c) for c, t in spec.spark_types.items()]
     out = csvfiles.with_row_id(rows) if spec.add_row_id else rows
-    head = [F.col("ROW_ID")] if spec.add_row_id else []
+    head = [(F.col("ROW_ID") + last_id).alias("ROW_ID")] if spec.add_row_id else []
     tail = [F.lit(0).cast("bigint").alias("batch_num")] if spec.partition_by_batch else []
     return out.select(*head, *typed, *tail)
 
 
 def import_findings(rows: DataFrame, spec: ImportSpec) -> DataFrame:
-    """Everything that makes an import fail: surplus cells, blank keys, values that do not fit.
+    """Everything that makes an import fail: surplus cells, blank keys, missing or unfit values, repeated keys.
 
-    ``rows``: what ``read_import_csv`` gives, with ``row_no``.
+    ``rows``: what ``read_import_csv`` gives, with ``row_no``. Keys are compared as values of their type, all files
+    of an import together.
     """
     keep = ["file", "row_no"]
     shape = ["file", "row_no", "finding"]
@@ -111,13 +112,22 @@ def import_findings(rows: DataFrame, spec: ImportSpec) -> DataFrame:
                 *keep, F.concat(F.lit("value too long in "), "column").alias("finding")
             )
         )
+    needed = [c for c in spec.columns if c not in spec.nullable and c not in spec.primary_key]
+    blank = {c: F.coalesce(F.trim(c) == "", F.lit(True)) for c in needed}
+    found = found.unionByName(
+        quality._per_column(rows, keep, blank).select(*keep, F.concat(F.lit("no value in "), "column").alias("finding"))
+    )
     if spec.primary_key and not spec.add_row_id:
         found = found.unionByName(
             quality.blank_key_findings(rows, spec.primary_key).select(
                 "file", "row_no", F.col("message").alias("finding")
             )
         )
-        keys = quality.duplicate_keys(rows, spec.primary_key, ["file"])
+        typed = rows.select("file", *[F.col(c).try_cast(spec.spark_types[c]).alias(c) for c in spec.primary_key])
+        keys = (
+            typed.dropna(subset=spec.primary_key).groupBy(*spec.primary_key)
+            .agg(F.count(F.lit(1)).alias("copies"), F.min("file").alias("file")).where("copies > 1")
+        )
         found = found.unionByName(
             keys.select("file", F.lit(None).cast("bigint").alias("row_no"), F.lit("duplicate primary-key value").alias("finding"))
         )
@@ -127,7 +137,7 @@ def import_findings(rows: DataFrame, spec: ImportSpec) -> DataFrame:
 def import_csv(spark: SparkSession, path: str, spec: ImportSpec) -> int:
     """Check the file, create the target and append the rows; returns their number.
 
-    The first finding, in row order, fails the import before anything is written.
+    The first finding, in row order, fails the import before anything is written; so does a key that the target has.
     """
     scan = csvfiles.read_import_csv(spark, path, list(spec.columns), spec.delimiter)
     rows = csvfiles.with_row_numbers(scan, files=len(scan.inputFiles()))
@@ -135,7 +145,14 @@ def import_csv(spark: SparkSession, path: str, spec: ImportSpec) -> int:
     if worst:
         raise ValueError(f"Import failed: {worst[0]['finding']} (row {worst[0]['row_no']}).")
     name = create_target(spark, spec)
-    out = import_rows(rows, spec)
+    stored = spark.table(name)
+    last_id = 0
+    if spec.add_row_id:
+        last_id = stored.agg(F.max("ROW_ID")).first()[0] or 0
+    elif spec.primary_key:
+        if not import_rows(rows, spec).join(stored.select(*spec.primary_key), spec.primary_key, "left_semi").isEmpty():
+            raise ValueError("Import failed: a primary-key value is in the target already.")
+    out = import_rows(rows, spec, last_id)
     from pyspark.sql import Observation
 
     seen = Observation()

@@ -190,3 +190,27 @@ def test_generated_bytes(spark, target, start, payload):
     frame = generated.generate_bytes(spark, target, start, payload)
     size = frame.agg(F.sum(F.length(F.concat_ws(",", *frame.columns)) + 1)).first()[0] or 0
     assert size + 43 == written
+
+
+def test_import_keeps_the_constraints(spark, tmp_path, rows):
+    """Missing values, keys equal as numbers, and a second import into the same table."""
+    database = f"twice_{os.getpid()}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{tmp_path / 'wh'}'")
+    keyed = imports.ImportSpec(database, "keyed", {"id": "BIGINT", "name": "TEXT"}, ["id"])
+    good = put(tmp_path, "good.csv", "id,name\n1,A\n2,B\n")
+    for name, body, problem in (("gap", "1,A\n2,\n", "no value in name"), ("same", "1,A\n01,B\n", "duplicate primary-key")):
+        with pytest.raises(ValueError, match=problem):
+            imports.import_csv(spark, put(tmp_path, f"{name}.csv", "id,name\n" + body), keyed)
+    assert imports.import_csv(spark, good, keyed) == 2
+    with pytest.raises(ValueError, match="in the target already"):
+        imports.import_csv(spark, put(tmp_path, "more.csv", "id,name\n3,C\n2,B\n"), keyed)
+    assert spark.table(f"{database}.keyed").count() == 2
+    numbered = imports.ImportSpec(database, "numbered", {"name": "TEXT"}, add_row_id=True)
+    for _ in range(2):
+        assert imports.import_csv(spark, put(tmp_path, "text.csv", "name\nx\ny\n"), numbered) == 2
+    assert rows(spark.table(f"{database}.numbered").select("ROW_ID").orderBy("ROW_ID")) == [(1,), (2,), (3,), (4,)]
+
+
+def test_headers_are_folded(spark):
+    found = spark.range(1).select(quality.header_diff(F.array(F.lit("STRASSE")), F.array(F.lit("straße"))).alias("d")).first()["d"]
+    assert found["missing"] == [] and found["unknown"] == []

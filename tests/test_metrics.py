@@ -92,3 +92,17 @@ def test_manifest(spark):
     outcomes = spark.createDataFrame([("a", "SUCCESS", 5), ("b", "SUCCESS", 6)], "resource_name string, event_status string, loaded_rows int")
     found = {r["dataset"]: r["complete"] for r in ordering.manifest_status(manifest, outcomes).collect()}
     assert found == {"d": True, "e": False, "f": False}
+
+
+def test_running_keeps_null_keys_and_times(spark):
+    """NULL keys are one key; NULL times come first and are a block of their own."""
+    import datetime
+
+    from slicelake.operators import ordering
+
+    noon = datetime.datetime(2024, 1, 1, 12)
+    given = [(1, "a", noon), (2, "a", None), (3, None, noon), (4, None, None), (5, None, noon + datetime.timedelta(hours=1))]
+    df = spark.createDataFrame([(i, lane, t, t) for i, lane, t in given], "id bigint, lane string, event_time timestamp, received_at timestamp")
+    assert {r["id"]: r["lane_position"] for r in ordering.lane_order(df).collect()} == {1: 2, 2: 1, 3: 2, 4: 1, 5: 3}
+    assert ordering.grace_flags(df, 5).count() == 5
+    assert ordering.head_of_line(df.withColumn("status", F.lit("RECEIVED"))).where("blocked").count() == 3
