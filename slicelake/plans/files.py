@@ -86,7 +86,7 @@ def _ordered_files(spark, sf_dir) -> tuple[list[str], list[str]]:
 @query("W5_row_numbers", "SELECT count(*) AS rows, count(*) AS in_order, CAST(2 AS BIGINT) AS first FROM orders")
 def row_numbers(spark, sf_dir):
     paths, columns = _ordered_files(spark, sf_dir)
-    rows = csvfiles.with_row_numbers(csvfiles.read_object_csv(spark, paths, columns), files=len(paths))
+    rows = csvfiles.with_row_numbers(csvfiles.read_object_csv(spark, paths, columns))
     # keys ascend inside a file, so numbers must be consecutive in key order
     position = F.row_number().over(Window.partitionBy("file").orderBy(F.col("o_orderkey").cast("bigint"))) + 1
     return rows.withColumn("_p", position).agg(
@@ -98,7 +98,7 @@ def row_numbers(spark, sf_dir):
 @query("W6_row_id", "SELECT count(*) AS rows, count(*) AS distinct_ids, CAST(min(1) AS BIGINT) AS lowest, count(*) AS highest FROM orders")
 def row_id(spark, sf_dir):
     paths, columns = _ordered_files(spark, sf_dir)
-    rows = csvfiles.with_row_numbers(csvfiles.read_object_csv(spark, paths, columns, splittable=True))
+    rows = csvfiles.with_row_numbers(csvfiles.read_object_csv(spark, paths, columns))
     return csvfiles.with_row_id(rows).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("ROW_ID").alias("distinct_ids"),
         F.min("ROW_ID").alias("lowest"), F.max("ROW_ID").alias("highest"),

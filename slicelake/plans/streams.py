@@ -1,4 +1,4 @@
-"""Queries that run a stream to its end, and the lease fold."""
+"""Queries that run a stream to its end."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from slicelake.operators import lease
-from slicelake.operators.lifecycle import SOURCE, TARGET
+from slicelake.operators.lifecycle import SOURCE
 from slicelake.plans import views as v
 from slicelake.plans.registry import query
 from slicelake.paths import filesystem
@@ -96,7 +95,7 @@ def ingest_stream(spark, sf_dir):
     root = work_dir(spark, "ingest")
     write_objects(object_texts(spark, sf_dir, f"{root}/objects"), "path", list(COLUMNS))
     event_messages(spark, sf_dir).write.text(f"{root}/events")
-    ingest = Ingest(spark, Lake(spark, f"{root}/lake"), v.mapping(spark), TARGETS, f"{root}/objects", splittable=True)
+    ingest = Ingest(spark, Lake(spark, f"{root}/lake"), v.mapping(spark), TARGETS, f"{root}/objects")
     ingest.run(f"{root}/events", f"{root}/checkpoint")
     shown = None
     for target in TARGETS:
@@ -140,54 +139,3 @@ def keyed_state(spark, sf_dir):
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(f"{root}/out").select("seq", "action", "prev_state", "state", "success", "visible_seq")
-
-
-def overlapping(spark, sf_dir) -> DataFrame:
-    """Events whose loads take hours, so that the loads of a source overlap."""
-    return v.lifecycle_events(spark, sf_dir).withColumn("load_ms", F.col("duration_ms") * 60_000)
-
-
-LEASE = 6 * 3600
-# The same rule as a recursion over each source's events in arrival order.
-DECIDED = f"""e AS (SELECT mapping_id, bucket_name, resource_name, target_database, target_table, seq, action, ok,
-      epoch_us(received_at) AS t, epoch_us(received_at) + duration_ms * 60000000 AS t_end,
-      row_number() OVER (PARTITION BY mapping_id, bucket_name, resource_name ORDER BY received_at, seq) AS n FROM lc),
-    r AS (SELECT DISTINCT mapping_id, bucket_name, resource_name, CAST(NULL AS VARCHAR) AS target_database, CAST(NULL AS VARCHAR) AS target_table,
-        CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, '' AS action, '' AS decision, 'ABSENT' AS state,
-        CAST(NULL AS BIGINT) AS l_start, CAST(NULL AS BIGINT) AS l_end, CAST(NULL AS BOOLEAN) AS l_ok FROM e
-      UNION ALL
-      SELECT mapping_id, bucket_name, resource_name, target_database, target_table, n, seq, action, decision,
-        CASE WHEN decision IN ('LOADED', 'TAKEOVER', 'IN_PROGRESS') THEN 'LOADING' WHEN decision = 'RETIRED' THEN 'DELETED' ELSE eff END,
-        CASE WHEN decision IN ('LOADED', 'TAKEOVER') THEN t WHEN decision = 'IN_PROGRESS' THEN l_start END,
-        CASE WHEN decision IN ('LOADED', 'TAKEOVER') THEN t_end WHEN decision = 'IN_PROGRESS' THEN l_end END,
-        CASE WHEN decision IN ('LOADED', 'TAKEOVER') THEN ok WHEN decision = 'IN_PROGRESS' THEN l_ok END
-      FROM (SELECT *, CASE WHEN action = 'DELETE' THEN CASE WHEN busy THEN 'IN_PROGRESS' WHEN eff IN ('ABSENT', 'DELETED') THEN 'NOOP' ELSE 'RETIRED' END
-              WHEN busy AND (t - l_start) // 1000000 < {LEASE} THEN 'IN_PROGRESS'
-              WHEN busy THEN 'TAKEOVER'
-              WHEN action = 'CREATE' AND eff = 'ACTIVE' THEN 'ALREADY_ACTIVE' WHEN action = 'UPDATE' AND eff = 'ABSENT' THEN 'NO_BATCH'
-              ELSE 'LOADED' END AS decision
-            FROM (SELECT e.*, r.l_start, r.l_end, r.l_ok, coalesce(r.l_end > e.t, false) AS busy,
-                    CASE WHEN r.l_end <= e.t THEN CASE WHEN r.l_ok THEN 'ACTIVE' ELSE 'ERROR' END ELSE r.state END AS eff
-                  FROM r JOIN e ON e.mapping_id = r.mapping_id AND e.bucket_name = r.bucket_name
-                    AND e.resource_name = r.resource_name AND e.n = r.n + 1)))"""
-
-
-def _lease_sql(body: str) -> str:
-    views = v.sql("", "lc").rstrip()
-    return f"WITH RECURSIVE {views.removeprefix('WITH ')}, {DECIDED} {body}"
-
-
-@query("X5_lease_fold", _lease_sql("SELECT seq, action, decision, state FROM r WHERE n > 0"))
-def lease_fold(spark, sf_dir):
-    folded = lease.lease_fold(overlapping(spark, sf_dir), LEASE)
-    return folded.select("seq", "action", "decision", "state")
-
-
-@query(
-    "X5_lease_fold_hot_sources",
-    _lease_sql("SELECT target_database, target_table, decision, count(*) AS events FROM r WHERE n > 0 GROUP BY ALL"),
-)
-def lease_fold_hot(spark, sf_dir):
-    """Decisions per target, with busier sources cut into time blocks."""
-    folded = lease.lease_fold(overlapping(spark, sf_dir), LEASE, min_hot_rows=60, parts=8)
-    return folded.groupBy(*TARGET, "decision").agg(F.count(F.lit(1)).alias("events"))

@@ -140,7 +140,7 @@ def import_csv(spark: SparkSession, path: str, spec: ImportSpec) -> int:
     The first finding, in row order, fails the import before anything is written; so does a key that the target has.
     """
     scan = csvfiles.read_import_csv(spark, path, list(spec.columns), spec.delimiter)
-    rows = csvfiles.with_row_numbers(scan, files=len(scan.inputFiles()))
+    rows = csvfiles.with_row_numbers(scan)
     worst = import_findings(rows, spec).orderBy(F.asc_nulls_last("row_no"), "finding").limit(1).collect()
     if worst:
         raise ValueError(f"Import failed: {worst[0]['finding']} (row {worst[0]['row_no']}).")

@@ -48,6 +48,9 @@ class Lake:
             with system.open_input_stream(f"{path}/CURRENT") as stream:
                 return json.loads(stream.read())
         except FileNotFoundError:
+            # a writer that died in its first commit leaves version 1 only
+            if exists(f"{self.root}/registry/v=2"):
+                raise RuntimeError(f"{self.root} has commits but no pointer; it is being replaced or was lost.") from None
             return {"version": 0, "base": 0, "batch_id": {}, "next_seq": 0, "sequences": {}}
 
     def _swap(self, state: dict) -> None:
@@ -221,5 +224,14 @@ class Lake:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
 
     def log(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+        """Rows of committed micro-batches; those of one under way, or of a writer that died, are not read.
+
+        Folders of the intake have even numbers, those of the detached query odd ones.
+        """
         schema = schema or schemas.CONTROL[name]
-        return self._read(name, schema).select(*schema.names)
+        ids = self.current()["batch_id"]
+        number = F.col("batch_id")
+        intake = (number % 2 == 0) & (number <= 2 * ids.get("intake", -1))
+        detached = (number % 2 == 1) & (number <= 2 * ids.get("detached", -1) + 1)
+        folders = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+        return self._read(name, folders).where(intake | detached).select(*schema.names)

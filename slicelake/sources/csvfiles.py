@@ -18,9 +18,6 @@ from slicelake.paths import filesystem
 from slicelake.session import local_frame
 
 PROBE_LINES = 50
-BROADCAST_FILES = 10_000
-# Files from this size on are looked through for line breaks inside quotes, to be split if there are none.
-SPLIT_BYTES = 128 * 1024 * 1024
 HEADER_SCHEMA = "file string, size bigint, header array<string>, lines array<string>, error string"
 
 
@@ -106,43 +103,57 @@ def _with_file(scan: DataFrame) -> DataFrame:
     return joined.withColumn("file", F.coalesce("file", path_key(F.col("_file"))))
 
 
-def signatures(headers: DataFrame) -> list[tuple[list[str], dict[str, int]]]:
-    """Distinct headers and the sizes of the files having each: as many groups as there are header shapes."""
+def signatures(headers: DataFrame) -> list[tuple[list[str], bool, list[str]]]:
+    """Distinct headers of ``checked_headers`` and the files having each, those that must be read whole apart."""
     rows = (
         headers.where(F.col("error").isNull())
-        .groupBy("header")
-        .agg(F.collect_list(F.struct("file", "size")).alias("files"))
+        .groupBy("header", "whole")
+        .agg(F.collect_list("file").alias("files"))
         .collect()
     )
-    return [(list(r["header"]), dict(sorted(tuple(f) for f in r["files"]))) for r in rows]
+    return [(list(r["header"]), r["whole"], sorted(r["files"])) for r in rows]
 
 
 def plain_path(path: str) -> str:
     return re.sub(r"^file:/+", "/", unquote(path) if path.startswith("file:") else path)
 
 
-def broken_lines(spark: SparkSession, paths: list[str]) -> set[str]:
-    """The files (plain paths) with line breaks inside quotes, or quotes that look so.
+def inspect_files(spark: SparkSession, paths: list[str], escape: str = '"') -> dict[str, tuple[bool, bool]]:
+    """(must be read whole, is not UTF-8) of the files (plain paths) of which either holds; the text is read in splits.
 
-    Up to a line break inside quotes a record has an odd number of them, so a file without such a
-    line can be cut at any line end. The check reads the text in splits and returns file names only.
+    Cut at line ends or parsed whole, a file gives the same rows unless a line has an odd number of
+    quotes (up to a line break inside quotes a record has), a quote that neither opens nor closes a cell,
+    an escape character before one, only white space (the line parser skips such a row), or a bare
+    carriage return.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = spark.read.text(paths).where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file"))
-    return {form for r in odd.distinct().collect() for form in (plain_path(r["file"]), re.sub(r"^file:/+", "/", r["file"]))}
+    line = F.regexp_replace("value", r"\r$", "")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    whole = (quotes % 2 == 1) | line.rlike(r'^[\x00-\x20]+$|[\w ]"[\w ]') | line.contains("\r")
+    if escape != '"':
+        whole = whole | line.contains(f'{escape}"')
+    marks = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("file"), whole.alias("whole"), (~F.is_valid_utf8("value")).alias("invalid")
+    )
+    found = marks.where("whole OR invalid").groupBy("file").agg(F.bool_or("whole"), F.bool_or("invalid"))
+    out = {}
+    for file, *flags in found.collect():  # of the paths given, so no more than came from the driver
+        for form in (plain_path(file), re.sub(r"^file:/+", "/", file), unquote(file)):
+            out[form] = tuple(flags)
+    return out
 
 
-def scan_groups(spark: SparkSession, sizes: dict[str, int], splittable: bool | None) -> list[tuple[list[str], bool]]:
-    """(paths, may be split) for the scans of files with one header."""
-    if splittable is not None:
-        return [(list(sizes), splittable)]
-    large = [path for path, size in sizes.items() if size >= SPLIT_BYTES]
-    if not large:
-        return [(list(sizes), False)]
-    broken = broken_lines(spark, large)
-    split = [path for path in large if plain_path(path) not in broken]
-    whole = [path for path in sizes if path not in set(split)]
-    return [(paths, may) for paths, may in ((whole, False), (split, True)) if paths]
+def checked_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``probe_headers``, with an error for files that are not UTF-8 anywhere, and ``whole`` (see ``inspect_files``)."""
+    probed = probe_headers(file_frame(spark, paths))
+    good = [r["file"] for r in probed.where(F.col("error").isNull()).select("file").collect()]
+    found = inspect_files(spark, good) if good else {}
+    marks = [(path, *found[plain_path(path)]) for path in good if plain_path(path) in found]
+    flags = local_frame(spark, marks, {"file": "string", "whole": "boolean", "invalid": "boolean"})
+    invalid = F.when(F.col("invalid"), F.lit("UnicodeDecodeError: the file is not valid UTF-8"))
+    return probed.join(flags, "file", "left").select(
+        "file", "size", "header", "lines", F.coalesce("error", invalid).alias("error"),
+        F.coalesce("whole", F.lit(False)).alias("whole"),
+    )
 
 
 def bind_columns(header: list[str], columns: list[str]) -> dict[str, int] | None:
@@ -159,26 +170,24 @@ def read_object_csv(
     paths: list[str],
     columns: list[str],
     headers: DataFrame | None = None,
-    splittable: bool | None = None,
 ) -> DataFrame:
     """Rows of loader CSVs as text columns plus ``file``; files with other headers are left out.
 
     Columns are found by name in any letter case and order, cells are stripped, missing cells
-    are ``''``, surplus cells are ignored. Files sharing a header are one scan. A file with line
-    breaks inside quotes is one task; large files are checked for them and otherwise split.
-    ``splittable`` True or False says so without a check.
+    are ``''``, surplus cells are ignored. Files sharing a header are one scan, split at line ends; files
+    that would then give other rows (line breaks inside quotes, rows of white space) are one task each. ``headers``:
+    what ``checked_headers`` gives; files with an error there, such as invalid UTF-8, are left out, too.
     """
     if headers is None:
-        headers = probe_headers(file_frame(spark, paths))
+        headers = checked_headers(spark, paths)
     parts = []
-    for header, sizes in signatures(headers):
+    for header, whole, files in signatures(headers):
         position = bind_columns(header, columns)
         if position is None:
             continue
         cells = [names.strip(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(c) for c, i in position.items()]
-        for files, split in scan_groups(spark, sizes, splittable):
-            raw = _with_file(_scan(spark, files, len(header), '"', ",", split))
-            parts.append(raw.select("file", F.col("_start").alias("block_start"), *cells))
+        raw = _with_file(_scan(spark, files, len(header), '"', ",", not whole))
+        parts.append(raw.select("file", F.col("_start").alias("block_start"), *cells))
     if not parts:
         fields = ", ".join(["file string", "block_start bigint", *[f"`{c}` string" for c in columns]])
         return spark.createDataFrame([], fields)
@@ -188,16 +197,17 @@ def read_object_csv(
     return out
 
 
-def read_import_csv(
-    spark: SparkSession, path: str, header: list[str], delimiter: str = ",", splittable: bool = False
-) -> DataFrame:
+def read_import_csv(spark: SparkSession, path: str, header: list[str], delimiter: str = ",") -> DataFrame:
     """Rows of an import CSV under its normalised column names; empty cells are NULL.
 
-    ``_record`` keeps the raw text of rows with too many or too few cells.
+    ``_record`` keeps the raw text of rows with too many or too few cells. Text that is not UTF-8 is refused.
     """
     if delimiter not in quality.DELIMITERS:
         raise ValueError("Unsupported CSV delimiter.")
-    raw = _with_file(_scan(spark, [path], len(header), "\\", delimiter, splittable))
+    found = inspect_files(spark, [path], "\\").values()
+    if any(invalid for _, invalid in found):
+        raise ValueError("CSV must be valid UTF-8.")
+    raw = _with_file(_scan(spark, [path], len(header), "\\", delimiter, not any(whole for whole, _ in found)))
     return raw.select(
         "file",
         F.col("_start").alias("block_start"),
@@ -222,19 +232,16 @@ def profile_csv(spark: SparkSession, path: str) -> dict:
     return {"delimiter": chosen, "raw_header": list(found["header"]), "header": list(found["clean"])}
 
 
-def with_row_numbers(df: DataFrame, name: str = "row_no", first: int = 2, files: int | None = None) -> DataFrame:
+def with_row_numbers(df: DataFrame, name: str = "row_no", first: int = 2) -> DataFrame:
     """Number the rows of each file in file order; call it right on a CSV scan.
 
     The generated id rises within a split, so a row's number is its distance from the split's
-    first row plus the rows of earlier splits. No rows are sorted. ``files`` is the number of
-    files read when each is one split: up to BROADCAST_FILES the split table is broadcast.
+    first row plus the rows of earlier splits. No rows are sorted.
     """
     tagged = df.withColumn("_id", F.monotonically_increasing_id())
     splits = tagged.groupBy("file", "block_start").agg(F.min("_id").alias("_begin"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    if files is not None and files <= BROADCAST_FILES:
-        placed = F.broadcast(placed)
     return (
         tagged.join(placed, ["file", "block_start"])
         .withColumn(name, F.col("_id") - F.col("_begin") + F.col("_before") + first)

@@ -87,13 +87,12 @@ class Ingest:
         mappings: DataFrame,
         targets: list[Target],
         objects_root: str,
-        splittable: bool | None = None,
         deduplicate: bool = False,
     ):
         self.spark, self.lake, self.mappings = spark, lake, mappings
         self.targets = {(t.database, t.table): t for t in targets}
         self.objects_root = objects_root.rstrip("/")
-        self.splittable, self.deduplicate = splittable, deduplicate
+        self.deduplicate = deduplicate
         self.routing = routing.strategy(mappings)
 
     # ------------------------------------------------------------ streams
@@ -258,10 +257,10 @@ class Ingest:
     def _load_target(self, loads: DataFrame, target: Target, paths: list[str], folder: int) -> DataFrame:
         mine = loads.where((F.col("target_database") == target.database) & (F.col("target_table") == target.table))
         # headers are looked at twice: to check them, and to group the files by shape
-        headers = csvfiles.probe_headers(csvfiles.file_frame(self.spark, paths)).persist()
+        headers = csvfiles.checked_headers(self.spark, paths).persist()
         try:
             columns = list(target.columns)
-            rows = csvfiles.read_object_csv(self.spark, paths, columns, headers, self.splittable)
+            rows = csvfiles.read_object_csv(self.spark, paths, columns, headers)
             tagged = rows.join(
                 mine.select(csvfiles.path_key(F.col("file")).alias("file"), "batch_num", "attempt"), "file"
             )

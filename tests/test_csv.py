@@ -79,22 +79,19 @@ def test_row_numbers_over_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        for splittable in (True, False):
-            frame = csvfiles.read_object_csv(spark, paths, ["k", "v"], splittable=splittable)
-            numbered = csvfiles.with_row_numbers(frame)
-            assert numbered.where(F.col("row_no") != F.col("v").cast("bigint") + 2).count() == 0
-            ids = csvfiles.with_row_id(numbered).agg(F.countDistinct("ROW_ID"), F.min("ROW_ID"), F.max("ROW_ID")).first()
-            assert tuple(ids) == (8001, 1, 8001)
+        numbered = csvfiles.with_row_numbers(csvfiles.read_object_csv(spark, paths, ["k", "v"]))
+        assert numbered.where(F.col("row_no") != F.col("v").cast("bigint") + 2).count() == 0
+        ids = csvfiles.with_row_id(numbered).agg(F.countDistinct("ROW_ID"), F.min("ROW_ID"), F.max("ROW_ID")).first()
+        assert tuple(ids) == (8001, 1, 8001)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_large_files_are_split_unless_lines_break(spark, tmp_path, rows, monkeypatch):
+def test_files_are_split_unless_lines_break(spark, tmp_path, rows, monkeypatch):
     text = "id,note\n" + "".join(f'{i},"say ""{i}"", ok"\n' for i in range(3000))
     plain = put(tmp_path, "pl ain%20.csv", text)
     broken = put(tmp_path, "broken.csv", text + '3000,"two\nlines"\n')
     small = put(tmp_path, "small.csv", "id,note\n1,x\n")
-    monkeypatch.setattr(csvfiles, "SPLIT_BYTES", 1000)
     monkeypatch.setattr(csvfiles, "_with_file", lambda scan, f=csvfiles._with_file: seen.append(scan) or f(scan))
     seen = []
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -102,7 +99,7 @@ def test_large_files_are_split_unless_lines_break(spark, tmp_path, rows, monkeyp
     try:
         frame = csvfiles.read_object_csv(spark, [plain, broken, small], ["id", "note"])
         assert sorted(len(s.inputFiles()) for s in seen) == [1, 2]
-        assert [s.rdd.getNumPartitions() > 3 for s in seen if len(s.inputFiles()) == 1] == [True]
+        assert [s.rdd.getNumPartitions() > 3 for s in seen if len(s.inputFiles()) == 2] == [True]
         got = rows(frame.select("file", "id", "note"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -111,6 +108,38 @@ def test_large_files_are_split_unless_lines_break(spark, tmp_path, rows, monkeyp
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("split", ["4096", "1g"])
+def test_one_result_for_all_split_sizes(spark, tmp_path, split):
+    body = "".join(f"{i},v{i}\n" for i in range(2000))
+    texts = {
+        "blank": "k,v\n" + body + "   \n" + body + "2,b\n",
+        "quoted": "k,v\n" + body + '1,"a\nb"\n' + body,
+        "crlf": "k,v\r\n" + body.replace("\n", "\r\n"),
+        "stray": 'k,v\nx"y,"two\nlines"\n' + body,
+        "plain": "k,v\n" + body,
+    }
+    paths = [put(tmp_path, f"{name}.csv", text) for name, text in texts.items()]
+    wrong = tmp_path / "wrong.csv"
+    wrong.write_bytes(b"k,v\n" + body.encode() + b"1,\xff\n")
+    paths.append(str(wrong))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        headers = csvfiles.checked_headers(spark, paths).cache()
+        errors = {r["file"]: r["error"] for r in headers.collect() if r["error"]}
+        assert list(errors) == [str(wrong)] and "UTF-8" in errors[str(wrong)]
+        rows = csvfiles.with_row_numbers(csvfiles.read_object_csv(spark, paths, ["k", "v"], headers))
+        counts = {r["file"].rsplit("/", 1)[1][:-4]: r["n"] for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect()}
+        assert counts == {"blank": 4002, "quoted": 4001, "crlf": 2000, "stray": 2001, "plain": 2000}
+        # the row of white space counts, the rows behind it keep their numbers
+        last = rows.where("k = '2' AND v = 'b'").select("row_no").collect()
+        assert [r["row_no"] for r in last] == [4003]
+        with pytest.raises(ValueError, match="UTF-8"):
+            csvfiles.read_import_csv(spark, str(wrong), ["k", "v"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_profile_and_delimiter(spark, tmp_path):
     path = put(tmp_path, "a.csv", "﻿First Name;Age\nAda;36\n\"a;b\";41\n")
     assert csvfiles.profile_csv(spark, path) == {

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from slicelake import schemas
-from slicelake.operators import lease, lifecycle, skew
+from slicelake.operators import lifecycle, skew
 from slicelake.operators.lifecycle import SOURCE
 from slicelake.streaming.state import step
 
@@ -104,45 +104,6 @@ def test_batch_numbers_are_dense_per_target(spark):
             assert numbers == list(range(1, len(numbers) + 1))
 
 
-def lease_history(seed, events=400):
-    rng = random.Random(seed)
-    base, t, out = datetime.datetime(2024, 1, 1), 0.0, []
-    for seq in range(events):
-        t += rng.choice([0, 1, 5, 40, 300, 2000])
-        s = 0 if rng.random() < 0.5 else rng.randrange(6)
-        out.append(
-            (1, "b", f"f{s}", seq, rng.choice(["CREATE", "UPDATE", "UPDATE", "DELETE"]), rng.random() < 0.7,
-             base + datetime.timedelta(seconds=t), rng.choice([1, 1000, 90_000, 400_000, 5_000_000]))
-        )
-    return out
-
-
-def lease_model(events, seconds):
-    states, out = {}, {}
-    for _, _, name, seq, action, ok, at, ms in events:
-        state, load = states.get(name, ("ABSENT", None))
-        start = int((at - datetime.datetime(1970, 1, 1)) / datetime.timedelta(microseconds=1))
-        decision, state, load = lease.decide(state, load, (seq, start, start + ms * 1000, ok, action), seconds)
-        states[name] = (state, load)
-        out[seq] = (decision, "LOADING" if load else state)
-    return out
-
-
-def test_lease_fold_matches_model(spark):
-    schema = (
-        "mapping_id bigint, bucket_name string, resource_name string, seq bigint, action string, ok boolean, "
-        "received_at timestamp_ntz, load_ms bigint"
-    )
-    for seed in (1, 2):
-        events = lease_history(seed)
-        frame = spark.createDataFrame(events, schema)
-        want = lease_model(events, 120)
-        assert {"IN_PROGRESS", "TAKEOVER", "LOADED", "RETIRED"} <= {d for d, _ in want.values()}
-        for options in ({}, {"min_hot_rows": 100, "parts": 9}, {"min_hot_rows": 100, "parts": 40}):
-            got = lease.lease_fold(frame, 120, **options).select("seq", "decision", "state").collect()
-            assert {r["seq"]: (r["decision"], r["state"]) for r in got} == want
-
-
 def test_running_equals_window(spark):
     from pyspark.sql import Window
 
