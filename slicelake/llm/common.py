@@ -38,7 +38,7 @@ def whole_row(df: DataFrame) -> Column:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write once to the shared folder and read back: a lost executor then costs a read, not the lineage."""
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ Matches of ``MIN_WORDS`` words or more are joined into maximal passages per docu
 Documents are scanned twice: once for the hashes of the places, once, against a bitmap of fixed size, for
 the suffixes that repeat, each cut to ``RIGHT`` words with ``LEFT`` words before it. A longer passage has further places
 that carry it on. Equal places of several documents are one row of the array, found by an aggregate with map-side combine and joined
-back at the end. Sorting is by range, so a beginning that very many documents share spreads over tasks; the
+back at the end, the rows of one place dealt to ``SALTS`` parts. Sorting is by range, so a beginning that very many documents share spreads over tasks; the
 first and last suffixes of a range also go to the ranges beside it.
 
 A suffix is compared with ``NEIGHBOURS`` suffixes on either side. Those further away share at most as many words to the right
@@ -36,9 +36,10 @@ from slicelake.llm.byte_bpe import Pieces
 
 MIN_WORDS, GRAM, WINDOW = 50, 10, 36
 RUN = MIN_WORDS - WINDOW + 1      # words behind the first place of a passage
-LEFT, RIGHT = 40, 50
+LEFT, RIGHT = WINDOW, MIN_WORDS    # a passage's first place lies WINDOW - 1 words behind its start at most
 NEIGHBOURS = 8                    # suffixes compared directly on either side; the rest by window hashes
 MAX_WORDS = 1_000_000             # distinct words whose hashes a worker remembers
+SALTS = 64                        # parts into which the rows of one place are dealt when results are joined back
 
 
 class Places:
@@ -167,7 +168,7 @@ def compare(rows: list[dict], own: range) -> list[dict]:
     left = [r["left"].split(b" ")[:-1] for r in rows]
     for i in own:
         row, before, behind, other, bound = rows[i], 0, 0, None, 0
-        found = {"hash": row["hash"], "place": row["place"]}
+        found = {"hash": row["hash"], "place": row["place"], "salts": row["salts"]}
         if row["many"]:
             if len(left[i]) + len(right[i]) >= MIN_WORDS:
                 out.append(found | {"before": len(left[i]), "behind": len(right[i]), "x": row["x"], "y": row["y"]})
@@ -209,7 +210,7 @@ def window_hash(words: list[bytes]) -> int:
 
 
 def shared_windows(array: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``hash``, ``place``, ``before``, ``behind``, ``x``, ``y`` of the ``wanted`` windows that another document has, too."""
+    """``hash``, ``place``, ``salts``, ``before``, ``behind``, ``x``, ``y`` of the ``wanted`` windows that another document has, too."""
     import pyarrow as pa
 
     places_, windows = bitmap(wanted.select("hash")), bitmap(wanted.select(F.col("window").alias("hash")))
@@ -234,7 +235,7 @@ def shared_windows(array: DataFrame, wanted: DataFrame) -> DataFrame:
     kinds = "window bigint, x bigint, y bigint, many boolean"
     held = array.select("hash", "suffix", "left", "x", "y", "many").mapInArrow(run, kinds)
     two = held.groupBy("window").agg(*documents_of(F.min("x"), F.max("y"), F.count_if(F.col("x").isNull()), F.max("many"))).where("many")
-    return wanted.drop("x", "y").join(two, "window").select("hash", "place", "before", "behind", "x", "y")
+    return wanted.drop("x", "y").join(two, "window").select("hash", "place", "salts", "before", "behind", "x", "y")
 
 
 def documents_of(x, y, without_id, *many) -> list:
@@ -255,11 +256,14 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sparse = stored(suffixes(staged, runs).withColumn("place", F.xxhash64("suffix", "before")), "suffixes")
     alike = sparse.groupBy("hash", "suffix", F.col("before").alias("left"), "place")
-    array = stored(alike.agg(*documents_of(F.min("doc"), F.max("doc"), F.count_if(F.col("doc").isNull()))), "array")
+    # the parts that hold rows of the place, as bits: a place of few rows is not copied to all parts
+    salt = F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")
+    salts = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), salt)).alias("salts")
+    array = stored(alike.agg(*documents_of(F.min("doc"), F.max("doc"), F.count_if(F.col("doc").isNull())), salts), "array")
     order = ["hash", "suffix", "left"]
-    kinds = "hash bigint, place bigint, before bigint, behind bigint, x bigint, y bigint, window bigint, suffix binary, left binary, many boolean"
+    kinds = "hash bigint, place bigint, before bigint, behind bigint, x bigint, y bigint, window bigint, salts bigint, suffix binary, left binary, many boolean"
     shape = pa.schema(
-        [(n, pa.int64()) for n in ("hash", "place", "before", "behind", "x", "y", "window")]
+        [(n, pa.int64()) for n in ("hash", "place", "before", "behind", "x", "y", "window", "salts")]
         + [("suffix", pa.binary()), ("left", pa.binary()), ("many", pa.bool_())]
     )
     near = 2 * NEIGHBOURS
@@ -287,11 +291,14 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     edges = compared.where("suffix IS NOT NULL").distinct().repartition(1).sortWithinPartitions(*order)
     compared = compared.where("suffix IS NULL").union(stored(edges.mapInArrow(again, kinds), "edges")).drop("suffix", "left", "many")
     direct = compared.where("window IS NULL").drop("window")
-    shares = direct.union(shared_windows(array, compared.where("window IS NOT NULL")))
-    widest = shares.groupBy("hash", "place").agg(F.max("before").alias("before"), F.max("behind").alias("behind"), F.min("x").alias("x"), F.max("y").alias("y"))
+    shares = direct.unionByName(shared_windows(array, compared.where("window IS NOT NULL")))
+    widest = shares.groupBy("hash", "place").agg(
+        F.max("before").alias("before"), F.max("behind").alias("behind"), F.min("x").alias("x"), F.max("y").alias("y"), F.max("salts").alias("salts")
+    )
+    parted = widest.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1) = 1)")))
     # a document of the two that the row is not itself, NULL if that is the document without id
     other = F.when(F.col("doc").isNull() | (F.col("x") != F.col("doc")), F.col("x")).when(F.col("y") != F.col("doc"), F.col("y"))
-    matches = sparse.select("hash", "place", "doc", "at").join(widest, ["hash", "place"]).select(
+    matches = sparse.select("hash", "place", "doc", "at", salt.alias("salt")).join(parted, ["hash", "place", "salt"]).select(
         "doc", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("behind")).alias("end"), other.alias("other")
     )
     in_order = Window.partitionBy("doc").orderBy("start", "end")      # the passages of one document
