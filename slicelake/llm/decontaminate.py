@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased (A-Z) and freed of punctuation at their ends. Of every ``SPAN`` neighbouring n-grams of an item the
-one that the fewest documents hold, if any, is a seed, so every unedited run of ``GRAM + SPAN - 1`` words has
-one, and an item that very many documents copy keeps its seeds. Document counts come from the whole corpus.
+Words are lower-cased (A-Z) and freed of punctuation at their ends. Every n-gram of an item is a seed, whatever number of
+documents hold it. A choice by document counts would let copies hide each other: n-grams that one edited copy has broken are
+rarer, as soon as the item has another copy, than those it still shares.
 
-Documents are scanned twice against a bitmap of fixed size: once to count the items' n-grams, once to find the seeds. A
-find is a passage (the words around it, as far as the longest item reaches); passages meet items
-by an ordinary join on the seed's hash. Each (passage, item) pair is aligned with matches +2, other words and gaps -1; the score
+Documents are scanned once against a bitmap of fixed size. A find is a passage (the words around seeds, as far as the longest
+item reaches); passages meet items by an ordinary join on the seed's hash. A (passage, item) pair is aligned with
+matches +2, other words and gaps -1, unless an upper bound of its score is too low already; the score
 is the best local alignment over that of a full copy. Texts themselves are never shuffled.
 
+Common n-grams bring many pairs: their number is that of the documents that hold an n-gram times the items that do. The bound
+spares these pairs the alignment, not the join.
+
 Defined cases: NULL texts have no words. Items with fewer than ``GRAM`` words have no seed and are never found. NULL ids
 are kept as ids (one document, or item, of that name); repeated rows report once, with their best score.
 Empty tables give empty results. Extra columns are not read, or are carried along by ``drop_leaks``.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from slicelake.llm.byte_bpe import Pieces
 from slicelake.llm.common import bitmap, column, marked, stored, whole_row
 
-GRAM, SPAN = 3, 4
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 MIN_SCORE = 0.4           # of a full copy's score; chance alignments stay under 0.25
 ENDS = b".,;:!?\"'()[]{}*#$%&|<>"
@@ -87,38 +90,6 @@ def item_grams(items: DataFrame, id: str, text: str) -> DataFrame:
     return staged.mapInArrow(run, "item bigint, n_words bigint, words binary, grams array<bigint>")
 
 
-def rare_seeds(docs: DataFrame, grams: DataFrame, id: str, text: str) -> DataFrame:
-    """``hash``, ``item`` of the chosen n-grams, by the number of documents that hold them."""
-    import pyarrow as pa
-
-    placed = grams.select("item", F.posexplode("grams").alias("at", "hash"))
-    bits = bitmap(placed.select("hash"))
-
-    def run(batches):
-        cut, filter_ = shared_words(), bits.value
-        for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for t in batch.column("text"):
-                hashes = cut.grams(t.as_py() or "")[1]
-                found.append(np.unique(hashes[marked(hashes, filter_)]))
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts, pa.int64())], names=["hash", "n"])
-
-    held = docs.select(column(text).alias("text")).mapInArrow(run, "hash bigint, n bigint")
-    frequency = held.groupBy("hash").agg(F.sum("n").alias("n"))
-    known = placed.join(frequency, "hash").select("item", "at", "hash", "n")
-    # every window of SPAN n-grams gives its rarest that occurs at all; an item shorter than that is one window
-    windows = known.join(grams.select(F.col("item").alias("i"), F.size("grams").alias("m")).distinct(), F.col("item").eqNullSafe(F.col("i")))
-    last = F.greatest(F.col("m") - SPAN, F.lit(0))
-    first = F.greatest(F.col("at") - SPAN + 1, F.lit(0))
-    return (
-        windows.where(first <= F.least("at", last))
-        .select("item", "hash", "n", "at", F.explode(F.sequence(first, F.least(F.col("at"), last))).alias("window"))
-        .groupBy("item", "window").agg(F.min(F.struct("n", "hash")).alias("best"))
-        .select("item", F.col("best.hash").alias("hash")).distinct()
-    )
-
-
 def passages(docs: DataFrame, seeds: DataFrame, reach: int, id: str, text: str) -> DataFrame:
     """``doc``, ``start`` (word), ``words`` and ``hashes`` (seeds inside) of every passage around seeds."""
     import pyarrow as pa
@@ -162,8 +133,14 @@ def align(items: np.ndarray, passages: np.ndarray) -> np.ndarray:
     return best
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Add ``score`` to rows of ``words`` (passage) and ``item_words``; both are dropped."""
+def bound(item: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment scores more: the best run of words, each a match if the item has it at all, else -1."""
+    sums = np.concatenate([[0], np.cumsum(np.where(np.isin(passage, item), MATCH, -1))])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
+def score_pairs(pairs: DataFrame, min_score: float) -> DataFrame:
+    """Add ``score`` to rows of ``words`` (passage) and ``item_words``, both dropped, that reach ``min_score``."""
     import pyarrow as pa
 
     def run(batches):
@@ -171,11 +148,12 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
             numbers: dict = {}
 
             def coded(cell):
-                return [numbers.setdefault(bare(w), len(numbers)) for w in cell.as_py().split(b" ")]
+                return np.array([numbers.setdefault(bare(w), len(numbers)) for w in cell.as_py().split(b" ")], np.int32)
 
             long, short = [coded(x) for x in batch.column("words")], [coded(x) for x in batch.column("item_words")]
-            order = sorted(range(len(long)), key=lambda i: len(long[i]))
-            scores = np.zeros(len(long))
+            hopeful = [i for i in range(len(long)) if bound(short[i], long[i]) / (MATCH * len(short[i])) >= min_score]
+            order = sorted(hopeful, key=lambda i: len(long[i]))
+            scores = np.full(len(long), -1.0)
             while order:
                 width = len(long[order[-1]])
                 some, order = order[-max(1, ALIGN_CELLS // width) :], order[: -max(1, ALIGN_CELLS // width)]
@@ -184,10 +162,11 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
                 for row, i in enumerate(some):
                     a[row, : len(short[i])], b[row, : len(long[i])] = short[i], long[i]
                 scores[some] = align(a, b) / [MATCH * len(short[i]) for i in some]
+            keep = np.isin(np.arange(len(long)), hopeful) & (scores >= min_score)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("item"), batch.column("start"), pa.array(scores)],
                 names=["doc", "item", "start", "score"],
-            )
+            ).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "doc bigint, item bigint, start bigint, score double")
 
@@ -199,7 +178,7 @@ def find_leaks(
     """``doc``, ``item``, ``score`` (0 to 1) of every document and item that align well enough."""
     grams = stored(item_grams(items, item_id, item_text), "items")
     reach = 2 * (grams.agg(F.max("n_words")).first()[0] or 0)
-    seeds = stored(rare_seeds(docs, grams, id, text), "seeds")
+    seeds = grams.select("item", F.explode("grams").alias("hash")).distinct()
     found = stored(passages(docs, seeds, reach, id, text), "passages")
     met = (
         found.select("doc", "start", F.xxhash64("words").alias("version"), F.explode("hashes").alias("hash"))
@@ -214,8 +193,7 @@ def find_leaks(
         .join(texts, F.col("item").eqNullSafe(F.col("i")))
         .select("doc", "item", "start", "words", "item_words")
     )
-    scored = score_pairs(pairs).where(F.col("score") >= min_score)
-    return scored.groupBy("doc", "item").agg(F.max("score").alias("score"))
+    return score_pairs(pairs, min_score).groupBy("doc", "item").agg(F.max("score").alias("score"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

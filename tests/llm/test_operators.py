@@ -256,6 +256,36 @@ def test_leaks(spark, documents):
     assert decontaminate.find_leaks(documents(rows), bench.where("item_id < 0")).count() == 0
 
 
+def plain_score(a, b):
+    """Best local alignment of two texts over that of a full copy, cell by cell."""
+    a, b = a.lower().split(), b.lower().split()
+    above, best = [0] * (len(b) + 1), 0
+    for x in a:
+        here = [0]
+        for j, y in enumerate(b):
+            here.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, here[j] - 1))
+        above, best = here, max(best, *here)
+    return best / (2 * len(a))
+
+
+@pytest.mark.parametrize("exact", [0, 1, 40])
+def test_copies_do_not_hide_other_copies(spark, documents, exact):
+    items = [(k, words(1000 * k, 40)) for k in (1, 2, 3)]
+
+    def edited(k, step, tag):
+        return " ".join(f"{tag}{i}" if i % step == step - 1 else w for i, w in enumerate(items[k - 1][1].split()))
+
+    rows = [(i, words(20_000 + 500 * i, 30) + " " + items[0][1] + " " + words(21_000 + 500 * i, 30)) for i in range(exact)]
+    rows += [(200, edited(1, 5, "y")), (201, words(50_000, 200) + " " + edited(1, 4, "z") + " " + words(51_000, 200))]
+    rows += [(300 + i, words(60_000 + 500 * i, 20) + " " + edited(2, 4, "x")) for i in range(30)]     # one edited version, often
+    rows += [(400, edited(2, 5, "v")), (401, edited(3, 5, "u")), (500, words(90_000, 300) + " " + words(3000, 5))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc"], r["item"]): r["score"] for r in decontaminate.find_leaks(documents(rows), bench).collect()}
+    plain = {(d, i): plain_score(item, text) for d, text in rows for i, item in items}
+    assert got == {k: v for k, v in plain.items() if v >= decontaminate.MIN_SCORE}
+    assert {(200, 1), (201, 1), (400, 2), (401, 3)} <= set(got)
+
+
 def test_alignment_against_a_plain_table():
     random.seed(7)
     for _ in range(30):
