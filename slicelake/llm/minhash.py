@@ -4,7 +4,7 @@ A signature has ``MINIMA`` minima of 16 bits; four neighbours make a coordinate,
 ``COORDINATES`` of them. Every distinct shingle set is posted under each (coordinate, value). A pair is looked at in the
 list of its first shared coordinate only (later ones skip it), its collisions are counted over all minima, and pairs
 with at least ``matches(percent)`` are candidates. A pair at the threshold is missed with a probability of about 2 in a
-million: 1 for the count (4.8 standard deviations), under 1 for sharing no coordinate or, in deep lists, only one.
+million: 1 for the count (4.8 standard deviations), under 1 for sharing no coordinate.
 
 No list emits all its pairs:
 
@@ -13,9 +13,10 @@ No list emits all its pairs:
    components; only rows of such pairs get their full sets, and the task that holds them confirms
    what is not yet connected. The components of all links together are the result.
 
-Lists over ``BLOCK`` rows are cut into blocks and done block pair by block pair; lists over ``DEEP`` rows (a passage that very many
-documents share) are first posted again under every second coordinate. Equal sets are one row from the
-start. Only candidate documents' sets are ever shuffled.
+Lists over ``BLOCK`` rows are cut into blocks and done block pair by block pair. Lists over ``DEEP`` rows (a passage that very many
+documents share) are posted again under every second coordinate for step 1; step 2 also takes them whole, for the pairs
+that share no second coordinate, unless all their rows are one component by then. That costs the square of a list
+with several components. Equal sets are one row from the start. Only candidate documents' sets are ever shuffled.
 
 Defined cases: a NULL, empty or wordless text has no shingles, is linked with nothing and its own component; a text with
 fewer words than a shingle is one shingle. Rows with NULL ids have no component and stay. Rows with equal ids
@@ -38,6 +39,7 @@ MINIMA, ROWS = 128, 4
 COORDINATES = MINIMA // ROWS
 BLOCK = 1024              # rows of a list that meet in one task, twice
 DEEP = 20_000             # rows of a list that are posted again
+NO_SECOND = -2            # c2 of a deep list taken whole
 MAX_WORDS = 1_000_000     # distinct words whose hashes a worker remembers
 
 
@@ -119,7 +121,10 @@ def signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, deep: int) -> DataFrame:
-    """Rows of all lists with two members or more: ``list``, ``c``, ``c2``, ``size``, ``rep``, ``n``, ``sig``."""
+    """Rows of all lists with two members or more: ``list``, ``c``, ``c2``, ``size``, ``rep``, ``n``, ``sig``.
+
+    ``c2`` is the second coordinate, -1 without one and ``NO_SECOND`` where pairs are to share no second one.
+    """
 
     def shared(postings: DataFrame) -> DataFrame:
         sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -140,7 +145,8 @@ def _lists(sets: DataFrame, deep: int) -> DataFrame:
         .where("second > c")
         .select(F.xxhash64("list", "second", "v").alias("list"), "c", F.col("second").alias("c2"), "rep", "key")
     )
-    return plain.unionByName(shared(again)).join(sets, ["rep", "key"]).select(
+    whole = first.where(F.col("size") > deep).withColumn("c2", F.lit(NO_SECOND))
+    return plain.unionByName(shared(again)).unionByName(whole).join(sets, ["rep", "key"]).select(
         "list", "c", "c2", "size", "rep", "key", "n", "sig"
     )
 
@@ -230,6 +236,8 @@ def _candidates(g: dict, need: int, percent: int):
         if c2 >= 0:
             same[:, c] = False
             mine &= same.argmax(1) == c2
+        elif c2 == NO_SECOND:
+            mine &= same.sum(1) == 1
         for hit, j in zip(hits[mine].tolist(), far[mine].tolist()):
             yield hit, i, j
 
@@ -273,7 +281,8 @@ def links(docs: DataFrame, sets: DataFrame, id: str, text: str, words: int, perc
             for _, i, j in best if union.join(i, j)
         ]
 
-    pairs = stored(_grouped(lists, forest, "a bigint, ka binary, b bigint, kb binary", block).distinct(), "pairs")
+    shallow = lists.where(F.col("c2") != NO_SECOND)
+    pairs = stored(_grouped(shallow, forest, "a bigint, ka binary, b bigint, kb binary", block).distinct(), "pairs")
 
     named = lists.select("rep", "key").distinct()
     wanted = docs.select(column(id).cast("bigint").alias("rep"), column(text).alias("text")).join(

@@ -182,6 +182,22 @@ def test_minhash_against_brute_force(documents):
     assert minhash.drop_near_duplicates(documents(rows)).columns == ["doc_id", "text", "row", "doc", "n_chars"]
 
 
+def test_pairs_of_deep_lists_that_share_one_coordinate(documents):
+    rows, want, single = [], {}, 0
+    for k in range(0, 120, 2):
+        rows += [(k, words(1000 * k, 60)), (k + 1, words(1000 * k + 19, 60))]
+        a, b = (minhash.Shingler(1).of(t) for _, t in rows[-2:])
+        shared = minhash.signature(a) == minhash.signature(b)
+        hits = (minhash.signature(a).view("<u2") == minhash.signature(b).view("<u2")).sum()
+        linked = shared.any() and hits >= minhash.matches(50) and minhash.similar(a, b, 50)
+        want |= {k: k, k + 1: k if linked else k + 1}
+        single += int(linked and shared.sum() == 1)
+    assert single > 3
+    for deep in (20_000, 1):
+        got = minhash.near_duplicates(documents(rows), words=1, percent=50, deep=deep).collect()
+        assert {r["doc"]: r["component"] for r in got} == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (5, 5)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
