@@ -12,8 +12,8 @@ is the best local alignment over that of a full copy. Texts themselves are never
 Common n-grams bring many pairs: their number is that of the documents that hold an n-gram times the items that do. The bound
 spares these pairs the alignment, not the join.
 
-Defined cases: NULL texts have no words. Items with fewer than ``GRAM`` words have no seed and are never found. NULL ids
-are kept as ids (one document, or item, of that name); repeated rows report once, with their best score.
+Defined cases: NULL texts have no words. Items with fewer than ``GRAM`` words have their whole word sequence as
+seed, so they are found where it occurs, not by a part of it. NULL ids are kept as ids (one document, or item, of that name); repeated rows report once, with their best score.
 Empty tables give empty results. Extra columns are not read, or are carried along by ``drop_leaks``.
 """
 
@@ -34,12 +34,12 @@ MAX_WORDS = 1_000_000     # distinct words whose hashes a worker remembers
 
 
 class Words:
-    """Words of a text and the hashes of its n-grams."""
+    """Words of a text and their hashes."""
 
     def __init__(self):
         self.cache, self.hashes = Pieces(), np.zeros(1 << 14, np.uint64)
 
-    def grams(self, text: str) -> tuple[list[bytes], np.ndarray]:
+    def hashed(self, text: str) -> tuple[list[bytes], np.ndarray]:
         import xxhash
 
         words = text.encode().lower().split()
@@ -53,11 +53,16 @@ class Words:
         h = self.hashes[numbers]
         if len(self.cache) > MAX_WORDS:
             self.cache = Pieces()
-        out = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
-        for k in range(GRAM if len(out) else 0):
-            out = (out ^ h[k : len(h) - GRAM + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return words, out.view(np.int64)
+        return words, h
+
+
+def chained(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words."""
+    out = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for k in range(width if len(out) else 0):
+        out = (out ^ h[k : len(h) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def bare(word: bytes) -> bytes:
@@ -80,17 +85,17 @@ def item_grams(items: DataFrame, id: str, text: str) -> DataFrame:
     def run(batches):
         cut = shared_words()
         for batch in batches:
-            cells = [cut.grams(t.as_py() or "") for t in batch.column("text")]
+            cells = [cut.hashed(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([
                 batch.column("item"), pa.array([len(w) for w, _ in cells], pa.int64()),
-                pa.array([b" ".join(w) for w, _ in cells], pa.binary()), pa.array([g for _, g in cells], pa.list_(pa.int64())),
+                pa.array([b" ".join(w) for w, _ in cells], pa.binary()), pa.array([chained(h, min(GRAM, max(1, len(h)))) for _, h in cells], pa.list_(pa.int64())),
             ], names=["item", "n_words", "words", "grams"])
 
     staged = items.select(column(id).cast("bigint").alias("item"), column(text).alias("text"))
     return staged.mapInArrow(run, "item bigint, n_words bigint, words binary, grams array<bigint>")
 
 
-def passages(docs: DataFrame, seeds: DataFrame, reach: int, id: str, text: str) -> DataFrame:
+def passages(docs: DataFrame, seeds: DataFrame, reach: int, widths: list[int], id: str, text: str) -> DataFrame:
     """``doc``, ``start`` (word), ``words`` and ``hashes`` (seeds inside) of every passage around seeds."""
     import pyarrow as pa
 
@@ -102,15 +107,17 @@ def passages(docs: DataFrame, seeds: DataFrame, reach: int, id: str, text: str)
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                words, hashes = cut.grams(t.as_py() or "")
-                at = marked(hashes, filter_)
+                words, h = cut.hashed(t.as_py() or "")
+                runs = [chained(h, w) for w in widths]
+                places = [marked(x, filter_) for x in runs]
+                at = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
                 if not len(at):
                     continue
                 breaks = np.flatnonzero(np.diff(at) > 2 * reach + GRAM) + 1      # windows that do not touch
                 for some in np.split(at, breaks):
                     start = max(0, int(some[0]) - reach)
                     inside = words[start : int(some[-1]) + GRAM + reach]
-                    rows.append({"doc": doc, "start": start, "words": b" ".join(inside), "hashes": np.unique(hashes[some])})
+                    rows.append({"doc": doc, "start": start, "words": b" ".join(inside), "hashes": np.unique(np.concatenate([x[p[(p >= some[0]) & (p <= some[-1])]] for x, p in zip(runs, places)]))})
             yield pa.RecordBatch.from_pylist(rows, shape)
 
     staged = docs.select(column(id).cast("bigint").alias("doc"), column(text).alias("text"))
@@ -179,7 +186,8 @@ def find_leaks(
     grams = stored(item_grams(items, item_id, item_text), "items")
     reach = 2 * (grams.agg(F.max("n_words")).first()[0] or 0)
     seeds = grams.select("item", F.explode("grams").alias("hash")).distinct()
-    found = stored(passages(docs, seeds, reach, id, text), "passages")
+    sizes = grams.where("n_words > 0").select(F.least("n_words", F.lit(GRAM))).distinct().collect()     # at most GRAM
+    found = stored(passages(docs, seeds, reach, sorted(r[0] for r in sizes), id, text), "passages")
     met = (
         found.select("doc", "start", F.xxhash64("words").alias("version"), F.explode("hashes").alias("hash"))
         .join(seeds, "hash").select("doc", "start", "version", "item").distinct()

@@ -302,6 +302,13 @@ def test_copies_do_not_hide_other_copies(spark, documents, exact):
     assert {(200, 1), (201, 1), (400, 2), (401, 3)} <= set(got)
 
 
+def test_items_of_one_or_two_words_leak(spark, documents):
+    bench = spark.createDataFrame([(1, "Solo!"), (2, "two words"), (3, "now three words"), (4, " "), (5, None)], "item_id bigint, text string")
+    rows = [(10, words(0, 30) + " solo, " + words(50, 30)), (11, "TWO words."), (12, "words two"), (13, words(0, 9) + " now three words"), (14, "solo two words"), (15, "soloist"), (16, None)]
+    got = {(r["doc"], r["item"], r["score"]) for r in decontaminate.find_leaks(documents(rows), bench).collect()}
+    assert got == {(10, 1, 1.0), (11, 2, 1.0), (13, 3, 1.0), (14, 1, 1.0), (14, 2, 1.0)}
+
+
 def test_alignment_against_a_plain_table():
     random.seed(7)
     for _ in range(30):
