@@ -8,6 +8,7 @@ from slicelake.operators import skew
 from slicelake.operators.metrics import exact_percentile
 
 IDEMPOTENCY = ["event_id", "version", "action"]
+ENTRY_ORDER = ["event_time", "received_at", "id"]
 
 
 def lane_key(scope: str = "table") -> Column:
@@ -18,20 +19,19 @@ def lane_key(scope: str = "table") -> Column:
     raise ValueError("Lane scope must be table or mapping.")
 
 
-def lane_order(df: DataFrame) -> DataFrame:
+def lane_order(df: DataFrame, block_rows: int = skew.BLOCK_ROWS) -> DataFrame:
     """Position of each entry in its lane by event time, arrival, id.
 
-    A lane can hold most of the entries, so positions are counted per minute and carried on.
+    A lane can hold most of the entries, and most of them can have one time: blocks are cut by position in
+    the whole order, so that they are of equal size.
     """
-    order = [F.col("event_time"), F.col("received_at"), F.col("id")]
-    return skew.rank_rows(df, ["lane"], order, skew.minute_block("event_time"), "lane_position")
+    return skew.rank_numbered(df, ["lane"], ENTRY_ORDER, "lane_position", block_rows)
 
 
-def grace_flags(df: DataFrame, seconds: int) -> DataFrame:
+def grace_flags(df: DataFrame, seconds: int, block_rows: int = skew.BLOCK_ROWS) -> DataFrame:
     """When an entry may run, and whether a later event had already arrived before it."""
-    order = [F.col("received_at"), F.col("id")]
-    seen = skew.running(
-        df, ["lane"], order, skew.minute_block("received_at"), {"_seen": ("max", F.col("event_time"))}, inclusive=False
+    seen = skew.running_numbered(
+        df, ["lane"], ["received_at", "id"], {"_seen": ("max", F.col("event_time"))}, block_rows, inclusive=False
     )
     return seen.withColumns(
         {
@@ -41,11 +41,12 @@ def grace_flags(df: DataFrame, seconds: int) -> DataFrame:
     ).drop("_seen")
 
 
-def head_of_line(df: DataFrame, terminal: tuple[str, ...] = ("SUCCESS",)) -> DataFrame:
+def head_of_line(
+    df: DataFrame, terminal: tuple[str, ...] = ("SUCCESS",), block_rows: int = skew.BLOCK_ROWS
+) -> DataFrame:
     """Entries behind an earlier one of their lane that has not ended are blocked."""
     open_ = F.when(~F.col("status").isin(*terminal), F.lit(1)).otherwise(F.lit(0))
-    order = [F.col("event_time"), F.col("received_at"), F.col("id")]
-    marked = skew.running(df, ["lane"], order, skew.minute_block("event_time"), {"_open": ("max", open_)}, inclusive=False)
+    marked = skew.running_numbered(df, ["lane"], ENTRY_ORDER, {"_open": ("max", open_)}, block_rows, inclusive=False)
     return marked.withColumn("blocked", F.coalesce(F.col("_open") == 1, F.lit(False))).drop("_open")
 
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from slicelake.session import stored
+
 PARTS = 1024            # a key is hot above 1/PARTS of all rows, so there are at most PARTS hot keys
 MIN_HOT_ROWS = 2_000_000  # below this one task copes whatever the share
 BLOCK_ROWS = 1 << 20    # rows of a block when the order is a dense unique number
@@ -72,9 +74,30 @@ def seq_block(seq: str, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(seq) / F.lit(block_rows)).cast("bigint")
 
 
-def minute_block(column: str) -> Column:
-    """Block number of a time order: the minute. Ties in time stay in one block."""
-    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
+def numbered(df: DataFrame, order: list[Column], name: str, purpose: str = "numbered") -> DataFrame:
+    """Add the gapless position, from 0, of every row in the whole order.
+
+    Ranges of the order tuple go to tasks, whatever its types and however close its values are; each range
+    counts its rows, the sums of the ranges before are added. The rows are written once, so that
+    counts and positions come from the same ranges also when a task is repeated.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        purpose,
+    )
+    # the id holds the number of the range in its upper bits, the place inside the range in the lower ones
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        ranged.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")  # as many rows as shuffle partitions
+        .withColumn(name, F.col("_before") + place)
+        .drop("_part", "_before", "_at")
+    )
 
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -134,6 +157,23 @@ def rank_rows(
     return ranked.withColumn(name, F.col(name).cast("bigint"))
 
 
+def running_numbered(
+    df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, tuple[str, Column]],
+    block_rows: int = BLOCK_ROWS, inclusive: bool = True,
+) -> DataFrame:
+    """:func:`running` for any order: blocks are cut by position in it, so none holds more than ``block_rows`` rows."""
+    placed = numbered(df, [F.col(c) for c in order], "_number")
+    return running(placed, keys, [F.col("_number")], seq_block("_number", block_rows), outputs, inclusive).drop("_number")
+
+
+def rank_numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rank", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """:func:`rank_rows` for any order."""
+    ranked = running_numbered(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, block_rows)
+    return ranked.withColumn(name, F.col(name).cast("bigint"))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, as an aggregate with map-side combine.
 

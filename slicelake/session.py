@@ -86,3 +86,10 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         shared = tempfile.mkdtemp(prefix="slicelake-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write once to the shared folder and read back: later steps all see the same rows in the same files."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -163,7 +163,7 @@ class Ingest:
             first = skew.latest_per_key(keyed.where(complete), ordering.IDEMPOTENCY, ["event_message"])
             parsed = first.unionByName(keyed.where(~complete)).drop("version")
         order = [F.col("event_time"), F.col("event_id"), F.col("event_message")]
-        numbered = skew.rank_rows(parsed, [], order, skew.minute_block("event_time"), "id").withColumn("id", F.col("id") - 1 + next_seq)
+        numbered = skew.numbered(parsed, order, "id").withColumn("id", F.col("id") + next_seq)
         routed = routing.route(
             numbered, self.mappings, key="id", **self.routing
         )
