@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, warc
+from slicelake.llm import byte_bpe, conversations, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, warc
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
         (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_doc_id"),
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults of known kinds, by a hash of each row; ``present`` is false for rows that are dropped."""
+    blank = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn"))
+    code = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    copies = F.when(code == 0, F.array(F.lit(False))).when(code == 3, F.array(F.lit(True), F.lit(True))).otherwise(F.array(F.lit(True)))
+    role, text = (F.coalesce(F.col(c), blank) for c in ("role", "text"))
+    return rows.select(
+        "conv_id", "turn",
+        F.when(code == 4, "user").otherwise(role).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(copies).alias("present"),
+    )
+
+
+@query("op11_conversations")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(damaged(table(spark, sf_dir, "conversations")), present="present")
