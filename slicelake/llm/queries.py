@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import byte_bpe, conversations, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, warc
+from slicelake.llm import byte_bpe, conversations, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, toxicity, warc
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,12 @@ def damaged(rows: DataFrame) -> DataFrame:
 @query("op11_conversations")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, sf_dir, "labels").where(remainder != 0).select("doc_id", "toxic")
+    scored = toxicity.score_documents(docs, labels).select("row.doc_id", "score", "predicted")
+    return scored.withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
