@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slicelake.llm import byte_bpe, conversations, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, toxicity, warc
+from slicelake.llm import alignment, byte_bpe, conversations, decontaminate, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files, toxicity, warc
 from slicelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(remainder != 0).select("doc_id", "toxic")
     scored = toxicity.score_documents(docs, labels).select("row.doc_id", "score", "predicted")
     return scored.withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return alignment.align_corpus(docs, *paths, with_groups=False).select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )

@@ -26,7 +26,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from slicelake.llm.common import column, ready, stored, whole_row
+from slicelake.llm.common import column, frequent, ready, stored, whole_row
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -163,8 +163,8 @@ def evidence(docs: DataFrame, known: DataFrame, text: str = "text", hot: int = H
     import pyarrow as pa
 
     spark = docs.sparkSession
-    most = known.orderBy(F.desc("n"), "key").limit(hot).select("key", "ratio").toArrow()  # at most ``hot`` rows
-    complete = most.num_rows < hot
+    most, complete = frequent(known, "n", hot)
+    most = most.select("key", "ratio").toArrow()  # at most ``hot`` rows
     kept = spark.sparkContext.broadcast((most.column("key").to_pylist(), most.column("ratio").to_pylist()))
     others = [c for c in docs.columns if c != text]
     staged = docs.select(whole_row(docs.select(*[column(c) for c in others])), column(text).alias("text"))
