@@ -107,6 +107,7 @@ def fold_lifecycle(
     registry: DataFrame | None = None,
     hot: skew.HotKeys | None = None,
     min_hot_rows: int = skew.MIN_HOT_ROWS,
+    block_rows: int = skew.BLOCK_ROWS,
 ) -> DataFrame:
     """State of each source before and after each of its events, and its visible version.
 
@@ -115,12 +116,12 @@ def fold_lifecycle(
     Adds ``prev_state``, ``state``, ``success``, ``visible_seq`` (NULL: slice is empty).
 
     All running values are maxima, so the fold is a set of windows. Sources holding
-    more rows than one task should take are folded block by block: a block is first
+    more than ``min_hot_rows`` rows are folded in blocks of ``block_rows``: a block is first
     summarised for each state it could start from, then the right one is carried in.
     """
     if hot is None:
-        hot = skew.find_hot(events, SOURCE, "seq", min_hot_rows)
-    rows = skew.with_block(events, hot, "seq")
+        hot = skew.find_hot(events, SOURCE, min_hot_rows)
+    rows = skew.with_block(events, hot, "seq", block_rows)
     action, ok, seq = F.col("action"), F.col("ok"), F.col("seq").cast("bigint")
     own = _own(action, ok, seq)
     inside = Window.partitionBy(*SOURCE, "_block").orderBy("seq")

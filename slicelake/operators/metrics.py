@@ -131,22 +131,18 @@ def compare_runs(old: DataFrame, new: DataFrame, keys: list[str], measures: list
     return a.join(b, keys).withColumns({f"{m}_change_pct": change(m) for m in measures})
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float, name: str) -> DataFrame:
+def exact_percentile(
+    df: DataFrame, keys: list[str], value: str, fraction: float, name: str, block_rows: int = skew.BLOCK_ROWS
+) -> DataFrame:
     """Exact interpolated percentile per key without gathering a key's values in one place.
 
-    Equal values are counted first; the counts are summed along the value order block by
-    block (block edges from an approximate percentile, which only affects balance); the
-    one or two values at the wanted position remain.
+    Equal values are counted first; the counts are summed along the values in blocks of equal size;
+    the one or two values at the wanted position remain.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = [i / 64 for i in range(1, 64)]
-    bounds = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 1000).alias("_cuts"), F.sum("_n").alias("_total")
-    )
-    placed = counted.join(bounds, keys)
-    # the cuts ascend, so this never decreases along the values
-    block = F.size(F.filter("_cuts", lambda c: c <= F.col(value))).cast("bigint")
-    summed = skew.running(placed, keys, [F.col(value)], block, {"_end": ("sum", F.col("_n"))})
+    summed = skew.running_numbered(counted, keys, [*keys, value], {"_end": ("sum", F.col("_n"))}, block_rows)
+    totals = summed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("_end").alias("_total"))
+    summed = summed.join(totals, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     at = (F.col("_total") - 1) * F.lit(float(fraction))
     low, high = F.floor(at), F.ceil(at)
     begin = F.col("_end") - F.col("_n")

@@ -8,65 +8,50 @@ is joined back. The results equal those of the plain window.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slicelake.session import stored
 
-PARTS = 1024            # a key is hot above 1/PARTS of all rows, so there are at most PARTS hot keys
-MIN_HOT_ROWS = 2_000_000  # below this one task copes whatever the share
-BLOCK_ROWS = 1 << 20    # rows of a block when the order is a dense unique number
+MIN_HOT_ROWS = 2_000_000  # rows of a key that one task copes with
+BLOCK_ROWS = 1 << 20      # rows of a block
 FIRST_BLOCK = -(1 << 63)  # the block of rows whose order is NULL; they sort first
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys whose groups are too large for one task, and the block width for them."""
+    """Keys whose groups are too large for one task, as a table; there can be as many as the data have."""
 
     keys: tuple[str, ...]
-    rows: list[tuple] = field(default_factory=list)
-    low: int = 0
-    width: int = 1
+    frame: DataFrame | None = None
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.frame is not None
 
+    def same(self) -> list[Column]:
+        return [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in self.keys]
+
+
+def find_hot(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> HotKeys:
+    """One counting job; a second one writes the keys if there are any."""
+    counts = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.where(F.col("_n") >= min_rows).drop("_n")
+    return HotKeys(tuple(keys), None if found.isEmpty() else stored(found, "hot-keys"))
 
-def find_hot(
-    df: DataFrame, keys: list[str], seq: str, min_rows: int = MIN_HOT_ROWS, parts: int = PARTS
-) -> HotKeys:
-    """One counting job; at most PARTS keys come back, whatever the data. ``parts``: blocks to cut."""
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_lo"), F.max(seq).alias("_hi")
-    )
-    top = counts.where(F.col("_n") >= min_rows).orderBy(F.desc("_n")).limit(PARTS).collect()
-    if not top:
-        return HotKeys(tuple(keys))
-    low, high = min(r["_lo"] for r in top), max(r["_hi"] for r in top)
-    return HotKeys(
-        tuple(keys), [tuple(r[k] for k in keys) for r in top], low, max(1, -(-(high - low + 1) // parts))
-    )
 
+def with_block(df: DataFrame, hot: HotKeys, seq: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block``: 0 for ordinary keys, 1.. for consecutive pieces of hot keys.
 
-def with_block(df: DataFrame, hot: HotKeys, seq: str) -> DataFrame:
-    """Add ``_block``: 0 for ordinary keys, 1.. for consecutive pieces of a hot key."""
+    Rows of hot keys are numbered by key and ``seq``, so a piece holds at most ``block_rows`` rows, however the
+    values of ``seq`` lie. The rows are written once, as both halves and the numbering read them.
+    """
     if not hot:
         return df.withColumn("_block", F.lit(0).cast("bigint"))
-    types = {f.name: f.dataType for f in df.schema}
-    schema = ", ".join(f"`{k}` {types[k].simpleString()}" for k in hot.keys)
-    marked = df.sparkSession.createDataFrame(hot.rows, schema).withColumn("_hot", F.lit(True))
-    # at most PARTS rows, see find_hot
-    return (
-        df.join(F.broadcast(marked), list(hot.keys), "left")
-        .withColumn(
-            "_block",
-            F.when(
-                F.col("_hot"), F.floor((F.col(seq) - F.lit(hot.low)) / F.lit(hot.width)) + 1
-            ).otherwise(F.lit(0)).cast("bigint"),
-        )
-        .drop("_hot")
-    )
+    rows = stored(df, "hot-rows")
+    ordinary = rows.join(hot.frame, hot.same(), "left_anti").withColumn("_block", F.lit(0).cast("bigint"))
+    many = numbered(rows.join(hot.frame, hot.same(), "left_semi"), [F.col(c) for c in (*hot.keys, seq)], "_number")
+    return ordinary.unionByName(many.withColumn("_block", seq_block("_number", block_rows) + 1).drop("_number"))
 
 
 def seq_block(seq: str, block_rows: int = BLOCK_ROWS) -> Column:

@@ -144,24 +144,19 @@ def registered_tables(spark, sf_dir):
 @query(
     "J4_target_activity",
     v.sql(
-        """SELECT m.target_database, m.target_table, count(DISTINCT t.id) AS event_count FROM customer_mapping m
-           LEFT JOIN t ON t.target_table = m.target_table GROUP BY ALL""",
-        "customer_mapping",
-        t="SELECT o_orderkey AS id, lower(c_mktsegment) AS target_table FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING'",
+        """SELECT 'mart' AS target_database, concat('c', c_custkey) AS target_table, count(o_orderkey) AS event_count
+           FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL"""
     ),
 )
 def target_activity(spark, sf_dir):
-    """Orders stand for transactions, their customers' segments for targets; one segment has none."""
-    customers = v.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") != "BUILDING")
-    log = (
-        v.table(spark, sf_dir, "orders")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("o_orderkey").alias("id"), F.lit("mart").alias("target_database"),
-            F.lower("c_mktsegment").alias("target_table"), F.col("o_orderdate").alias("created_at"),
-        )
+    """Customers stand for targets, their orders for transactions; many customers have none."""
+    database, name = F.lit("mart").alias("target_database"), "target_table"
+    targets = v.table(spark, sf_dir, "customer").select(database, F.concat(F.lit("c"), "c_custkey").alias(name))
+    log = v.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), database, F.concat(F.lit("c"), "o_custkey").alias(name),
+        F.col("o_orderdate").alias("created_at"),
     )
-    return audit.registered_tables(v.customer_mappings(spark, sf_dir), log).select(*TARGET, "event_count")
+    return audit.registered_tables(targets, log).select(*TARGET, "event_count")
 
 
 LINKED = """SELECT r.id, coalesce(d.event_status, f.event_status, CASE WHEN r.completed_at IS NULL THEN 'RECEIVED' ELSE 'COMPLETED' END) AS lifecycle_status,
@@ -219,18 +214,18 @@ def visible_target(spark, sf_dir):
 @query(
     "J7_registered_target",
     v.sql(
-        """SELECT f.id, f.target_database, f.target_table FROM (SELECT id, target_database, trim(target_table, '.') AS target_table FROM forms) f
-           SEMI JOIN (SELECT target_database, concat('Segment_', upper(target_table)) AS target_table FROM customer_mapping WHERE id % 3 = 0) m
-           ON m.target_database = f.target_database AND m.target_table = f.target_table""",
-        "forms", "customer_mapping",
+        """SELECT c_custkey AS id, 'mart' AS target_database, concat('c', c_custkey) AS target_table
+           FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"""
     ),
 )
 def registered_target(spark, sf_dir):
-    forms = v.mapping_forms(spark, sf_dir).withColumn("target_table", F.regexp_replace("target_table", r"^\.+", ""))
-    known = v.customer_mappings(spark, sf_dir).where(F.col("id") % 3 == 0).withColumn(
-        "target_table", F.concat(F.lit("Segment_"), F.upper("target_table"))
+    """Of the customers' targets, those that a mapping names; the orders stand for mappings."""
+    database, name = F.lit("mart").alias("target_database"), "target_table"
+    events = v.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), database, F.concat(F.lit("c"), "c_custkey").alias(name)
     )
-    return audit.registered_only(forms, known).select("id", *TARGET)
+    known = v.table(spark, sf_dir, "orders").select(database, F.concat(F.lit("c"), "o_custkey").alias(name))
+    return audit.registered_only(events, known).select("id", *TARGET)
 
 
 @query(
@@ -341,7 +336,7 @@ def lifecycle_fold(spark, sf_dir):
 )
 def lifecycle_fold_hot(spark, sf_dir):
     """The same fold with every busier source treated as hot: scanned in blocks and chained."""
-    rows = lifecycle.fold_lifecycle(v.lifecycle_events(spark, sf_dir), min_hot_rows=40)
+    rows = lifecycle.fold_lifecycle(v.lifecycle_events(spark, sf_dir), min_hot_rows=40, block_rows=256)
     return rows.select("object_event_id", "prev_state", "state", "success", "visible_seq")
 
 

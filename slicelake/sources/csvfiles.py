@@ -6,16 +6,15 @@ import csv
 import io
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from slicelake.functions import names
 from slicelake.operators import quality
 from slicelake.paths import filesystem
-from slicelake.session import local_frame
+from slicelake.session import local_frame, stored
+from slicelake.sources import records
 
 PROBE_LINES = 50
 HEADER_SCHEMA = "file string, size bigint, header array<string>, lines array<string>, error string"
@@ -66,94 +65,45 @@ def _keep(text, kept: list[str]):
         yield line
 
 
-def path_key(path: Column) -> Column:
-    """Paths as Spark reports them and as users write them, brought to one form."""
-    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
+path_key = records.path_key
 
 
-def _scan(spark: SparkSession, paths: list[str], width: int, escape: str, delimiter: str, splittable: bool) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField("_record", T.StringType())]
+def _cells(records: DataFrame, width: int, delimiter: str, escape: str) -> DataFrame:
+    """``file``, ``block_start``, ``place`` and the cells ``c0``.. of records; ``_record`` is the text of those that are too short or long."""
+    schema = ", ".join([*[f"c{i} string" for i in range(width)], "_record string"])
+    options = dict(
+        sep=delimiter, quote='"', escape=escape, mode="PERMISSIVE", columnNameOfCorruptRecord="_record",
+        # a pruned parse would not see how many cells a row has
+        columnPruning="false",
     )
-    return (
-        spark.read.schema(schema)
-        .options(
-            header=True, sep=delimiter, quote='"', escape=escape, multiLine=not splittable, encoding="UTF-8",
-            mode="PERMISSIVE", columnNameOfCorruptRecord="_record", enforceSchema=True,
-            # a pruned scan would not see how many cells a row has
-            columnPruning=False,
-        )
-        .csv(paths)
-        .withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
-    )
-
-
-def _with_file(scan: DataFrame) -> DataFrame:
-    """Add ``file``, the plain form of each row's path.
-
-    The forms are worked out once per file, not per row. Catalyst knows the table's size and
-    broadcasts it while it is small.
-    """
-    plain = {}
-    for found in scan.inputFiles():
-        for form in (found, unquote(found)):
-            plain[form] = plain_path(found)
-    table = local_frame(scan.sparkSession, sorted(plain.items()), {"_file": "string", "file": "string"})
-    joined = scan.join(table, "_file", "left")
-    return joined.withColumn("file", F.coalesce("file", path_key(F.col("_file"))))
-
-
-def signatures(headers: DataFrame) -> list[tuple[list[str], bool, list[str]]]:
-    """Distinct headers of ``checked_headers`` and the files having each, those that must be read whole apart."""
-    rows = (
-        headers.where(F.col("error").isNull())
-        .groupBy("header", "whole")
-        .agg(F.collect_list("file").alias("files"))
-        .collect()
-    )
-    return [(list(r["header"]), r["whole"], sorted(r["files"])) for r in rows]
+    parsed = records.withColumn("_cells", F.from_csv("value", schema, options))
+    return parsed.select("file", "block_start", "place", "_cells.*")
 
 
-def plain_path(path: str) -> str:
-    return re.sub(r"^file:/+", "/", unquote(path) if path.startswith("file:") else path)
+def signatures(headers: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """Distinct headers of files without an error, and the files having each."""
+    rows = headers.where(F.col("error").isNull()).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    return [(list(r["header"]), sorted(r["files"])) for r in rows]
 
 
-def inspect_files(spark: SparkSession, paths: list[str], escape: str = '"') -> dict[str, tuple[bool, bool]]:
-    """(must be read whole, is not UTF-8) of the files (plain paths) of which either holds; the text is read in splits.
-
-    Cut at line ends or parsed whole, a file gives the same rows unless a line has an odd number of
-    quotes (up to a line break inside quotes a record has), a quote that neither opens nor closes a cell,
-    an escape character before one, only white space (the line parser skips such a row), or a bare
-    carriage return.
-    """
-    line = F.regexp_replace("value", r"\r$", "")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    whole = (quotes % 2 == 1) | line.rlike(r'^[\x00-\x20]+$|[\w ]"[\w ]') | line.contains("\r")
-    if escape != '"':
-        whole = whole | line.contains(f'{escape}"')
-    marks = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("file"), whole.alias("whole"), (~F.is_valid_utf8("value")).alias("invalid")
+def check_files(spark: SparkSession, headers: DataFrame) -> tuple[DataFrame, records.Splits]:
+    """Read the text of the files without an error once: ``headers`` with an error for those that are not UTF-8, and how splits begin."""
+    good = [r["file"] for r in headers.where(F.col("error").isNull()).select("file").collect()]
+    if not good:
+        return headers, records.Splits({})
+    states = stored(records.split_states(spark, good), "csv-splits")   # one row for each split
+    invalid = states.where("invalid > 0").select("_file").distinct().join(records.path_table(spark, good), "_file")
+    marks = invalid.select(F.col("file").alias("_plain"), F.lit("UnicodeDecodeError: the file is not valid UTF-8").alias("_invalid"))
+    checked = headers.join(marks, path_key(F.col("file")) == F.col("_plain"), "left")
+    return (
+        checked.withColumn("error", F.coalesce("error", "_invalid")).drop("_plain", "_invalid"),
+        records.Splits.read(states),
     )
-    found = marks.where("whole OR invalid").groupBy("file").agg(F.bool_or("whole"), F.bool_or("invalid"))
-    out = {}
-    for file, *flags in found.collect():  # of the paths given, so no more than came from the driver
-        for form in (plain_path(file), re.sub(r"^file:/+", "/", file), unquote(file)):
-            out[form] = tuple(flags)
-    return out
 
 
 def checked_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``probe_headers``, with an error for files that are not UTF-8 anywhere, and ``whole`` (see ``inspect_files``)."""
-    probed = probe_headers(file_frame(spark, paths))
-    good = [r["file"] for r in probed.where(F.col("error").isNull()).select("file").collect()]
-    found = inspect_files(spark, good) if good else {}
-    marks = [(path, *found[plain_path(path)]) for path in good if plain_path(path) in found]
-    flags = local_frame(spark, marks, {"file": "string", "whole": "boolean", "invalid": "boolean"})
-    invalid = F.when(F.col("invalid"), F.lit("UnicodeDecodeError: the file is not valid UTF-8"))
-    return probed.join(flags, "file", "left").select(
-        "file", "size", "header", "lines", F.coalesce("error", invalid).alias("error"),
-        F.coalesce("whole", F.lit(False)).alias("whole"),
-    )
+    """``probe_headers``, with an error for files that are not UTF-8 anywhere."""
+    return check_files(spark, probe_headers(file_frame(spark, paths)))[0]
 
 
 def bind_columns(header: list[str], columns: list[str]) -> dict[str, int] | None:
@@ -170,26 +120,28 @@ def read_object_csv(
     paths: list[str],
     columns: list[str],
     headers: DataFrame | None = None,
+    splits: records.Splits | None = None,
 ) -> DataFrame:
     """Rows of loader CSVs as text columns plus ``file``; files with other headers are left out.
 
     Columns are found by name in any letter case and order, cells are stripped, missing cells
-    are ``''``, surplus cells are ignored. Files sharing a header are one scan, split at line ends; files
-    that would then give other rows (line breaks inside quotes, rows of white space) are one task each. ``headers``:
-    what ``checked_headers`` gives; files with an error there, such as invalid UTF-8, are left out, too.
+    are ``''``, surplus cells are ignored. Files sharing a header are one scan in splits, whatever line breaks their
+    cells have (see ``records``). ``headers``: what ``probe_headers`` or ``check_files`` gives; files with an error there are left
+    out, too. ``splits``: what ``check_files`` gives, or ``Splits()`` to read the text only once, with the guess
+    that no record goes over a split's end; ``splits.held()`` tells afterwards whether it was right.
     """
     if headers is None:
-        headers = checked_headers(spark, paths)
+        headers, splits = check_files(spark, probe_headers(file_frame(spark, paths)))
     parts = []
-    for header, whole, files in signatures(headers):
+    for header, files in signatures(headers):
         position = bind_columns(header, columns)
         if position is None:
             continue
         cells = [names.strip(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(c) for c, i in position.items()]
-        raw = _with_file(_scan(spark, files, len(header), '"', ",", not whole))
-        parts.append(raw.select("file", F.col("_start").alias("block_start"), *cells))
+        raw = _cells(records.cut(spark, files, splits=splits), len(header), ",", '"')
+        parts.append(raw.select("file", "block_start", "place", *cells))
     if not parts:
-        fields = ", ".join(["file string", "block_start bigint", *[f"`{c}` string" for c in columns]])
+        fields = ", ".join(["file string", "block_start bigint", "place bigint", *[f"`{c}` string" for c in columns]])
         return spark.createDataFrame([], fields)
     out = parts[0]
     for part in parts[1:]:
@@ -204,16 +156,14 @@ def read_import_csv(spark: SparkSession, path: str, header: list[str], delimiter
     """
     if delimiter not in quality.DELIMITERS:
         raise ValueError("Unsupported CSV delimiter.")
-    found = inspect_files(spark, [path], "\\").values()
-    if any(invalid for _, invalid in found):
+    states = stored(records.split_states(spark, [path], delimiter, "\\"), "csv-splits")
+    if not states.where("invalid > 0").isEmpty():
         raise ValueError("CSV must be valid UTF-8.")
-    raw = _with_file(_scan(spark, [path], len(header), "\\", delimiter, not any(whole for whole, _ in found)))
+    raw = _cells(records.cut(spark, [path], delimiter, "\\", records.Splits.read(states)), len(header), delimiter, "\\")
     return raw.select(
-        "file",
-        F.col("_start").alias("block_start"),
+        "file", "block_start", "place",
         *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(h) for i, h in enumerate(header)],
-        # Spark refuses to read the raw text alone, so it is tied to a cell
-        F.concat(F.left(F.coalesce("c0", F.lit("")), F.lit(0)), "_record").alias("_record"),
+        "_record",
     )
 
 
@@ -233,19 +183,12 @@ def profile_csv(spark: SparkSession, path: str) -> dict:
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_no", first: int = 2) -> DataFrame:
-    """Number the rows of each file in file order; call it right on a CSV scan.
-
-    The generated id rises within a split, so a row's number is its distance from the split's
-    first row plus the rows of earlier splits. No rows are sorted.
-    """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    splits = tagged.groupBy("file", "block_start").agg(F.min("_id").alias("_begin"), F.count(F.lit(1)).alias("_n"))
+    """Number the rows of each file in file order: a row's place in its split plus the rows of earlier splits. No rows are sorted."""
+    splits = df.groupBy("file", "block_start").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     return (
-        tagged.join(placed, ["file", "block_start"])
-        .withColumn(name, F.col("_id") - F.col("_begin") + F.col("_before") + first)
-        .drop("_id", "_begin", "_before")
+        df.join(placed, ["file", "block_start"]).withColumn(name, F.col("place") + F.col("_before") + first).drop("_before")
     )
 
 

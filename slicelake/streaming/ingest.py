@@ -29,7 +29,7 @@ from slicelake.operators import audit, lifecycle, ordering, quality, routing, sk
 from slicelake.operators.lifecycle import SOURCE, TARGET
 from slicelake.session import local_frame
 from slicelake.sinks.lake import Lake
-from slicelake.sources import csvfiles, messages
+from slicelake.sources import csvfiles, messages, records
 
 PARALLEL_TARGETS = 8
 MAX_FILES = 1000  # message files of one micro-batch
@@ -257,18 +257,16 @@ class Ingest:
     def _load_target(self, loads: DataFrame, target: Target, paths: list[str], folder: int) -> DataFrame:
         mine = loads.where((F.col("target_database") == target.database) & (F.col("target_table") == target.table))
         # headers are looked at twice: to check them, and to group the files by shape
-        headers = csvfiles.checked_headers(self.spark, paths).persist()
+        headers = csvfiles.probe_headers(csvfiles.file_frame(self.spark, paths)).persist()
         try:
-            columns = list(target.columns)
-            rows = csvfiles.read_object_csv(self.spark, paths, columns, headers)
-            tagged = rows.join(
-                mine.select(csvfiles.path_key(F.col("file")).alias("file"), "batch_num", "attempt"), "file"
-            )
-            typed = [F.col(c).try_cast(t).alias(c) for c, t in target.columns.items()]
-            self.lake.stage(
-                tagged.select(*typed, "batch_num", "attempt", _cell_error(target).alias("_error")),
-                target.database, target.table, folder,
-            )
+            guess = records.Splits()
+            self._stage(mine, target, paths, headers, guess, folder)
+            if not guess.held():
+                # some record goes over a split's end, or some text is not UTF-8: look first, then read again
+                checked, splits = csvfiles.check_files(self.spark, headers)
+                headers.unpersist()
+                headers = checked.persist()
+                self._stage(mine, target, paths, headers, splits, folder)
             shape = T.StructType(
                 [
                     *target.schema.fields,
@@ -288,6 +286,18 @@ class Ingest:
             f"{self.lake.root}/checks/{target.database}.{target.table}/batch_id={folder}"
         )
 
+    def _stage(
+        self, mine: DataFrame, target: Target, paths: list[str], headers: DataFrame, splits: records.Splits, folder: int
+    ) -> None:
+        """Write the rows of the objects, tagged with their slices, where no reader looks yet."""
+        rows = csvfiles.read_object_csv(self.spark, paths, list(target.columns), headers, splits)
+        tagged = rows.join(mine.select(csvfiles.path_key(F.col("file")).alias("file"), "batch_num", "attempt"), "file")
+        typed = [F.col(c).try_cast(t).alias(c) for c, t in target.columns.items()]
+        self.lake.stage(
+            tagged.select(*typed, "batch_num", "attempt", _cell_error(target).alias("_error")),
+            target.database, target.table, folder,
+        )
+
     def _checks(
         self, mine: DataFrame, headers: DataFrame, staged: DataFrame, manifest: DataFrame, target: Target
     ) -> DataFrame:

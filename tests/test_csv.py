@@ -1,15 +1,18 @@
 """CSV readers, checks and imports on edge files, against Python's csv module."""
 
+import contextlib
 import csv
 import io
+import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from slicelake.operators import quality
 from slicelake.sinks import imports
-from slicelake.sources import csvfiles, generated
+from slicelake.sources import csvfiles, generated, records
 
 EDGE = (
     'ID,Name,Note\r\n1,"Smith, J","says ""hi"""\r\n2," two\nlines ",plain\r\n\r\n   \r\n3,short\r\n4,a,b,c\r\n'
@@ -87,25 +90,103 @@ def test_row_numbers_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_files_are_split_unless_lines_break(spark, tmp_path, rows, monkeypatch):
+def test_all_files_are_split(spark, tmp_path, rows):
+    """Quoted line breaks do not keep a file in one task, and one read is enough unless a record goes over a split's end."""
     text = "id,note\n" + "".join(f'{i},"say ""{i}"", ok"\n' for i in range(3000))
-    plain = put(tmp_path, "pl ain%20.csv", text)
-    broken = put(tmp_path, "broken.csv", text + '3000,"two\nlines"\n')
-    small = put(tmp_path, "small.csv", "id,note\n1,x\n")
-    monkeypatch.setattr(csvfiles, "_with_file", lambda scan, f=csvfiles._with_file: seen.append(scan) or f(scan))
-    seen = []
+    texts = {"pl ain%20": text, "broken": text + '3000,"two\nlines"\n', "small": "id,note\n1,x\n"}
+    paths = [put(tmp_path, f"{name}.csv", body) for name, body in texts.items()]
+    with splits_of(spark, "16384"):
+        guess = records.Splits()
+        headers = csvfiles.probe_headers(csvfiles.file_frame(spark, paths))
+        frame = csvfiles.read_object_csv(spark, paths, ["id", "note"], headers, guess)
+        got = rows(frame.select("file", "id", "note"))
+        assert guess.held()
+        assert frame.select("file", "block_start").distinct().groupBy("file").count().where("count > 3").count() == 2
+    want = [(p, *r) for p, body in zip(paths, texts.values()) for r in loader_rows(body, ["id", "note"])]
+    assert got == sorted(want, key=repr)
+
+
+@contextlib.contextmanager
+def splits_of(spark, size):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     try:
-        frame = csvfiles.read_object_csv(spark, [plain, broken, small], ["id", "note"])
-        assert sorted(len(s.inputFiles()) for s in seen) == [1, 2]
-        assert [s.rdd.getNumPartitions() > 3 for s in seen if len(s.inputFiles()) == 2] == [True]
-        got = rows(frame.select("file", "id", "note"))
+        yield
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    want = [(plain, str(i), f'say "{i}", ok') for i in range(3000)]
-    want += [(broken, str(i), f'say "{i}", ok') for i in range(3000)] + [(broken, "3000", "two\nlines"), (small, "1", "x")]
-    assert got == sorted(want, key=repr)
+
+
+def odd_text(seed, count):
+    """Records of all kinds of cells, quoted line breaks longer than a split among them."""
+    random.seed(seed)
+    end = random.choice(["\n", "\r\n", "\r"])
+    cells = ["x", "", "a b", '"q"', '"a,b"', '"say ""hi"""', '"two\nlines"', 'st"ray', '"x\r\ny"', '"' + "long\n" * 300 + '"', '"a""\n""b"', "é", '""']
+    lines = [",".join(random.choices(cells, k=random.choice([1, 2, 2, 2, 3]))) for _ in range(count)]
+    lines += ["", "   ", 'last,"no\nend"']
+    return "id,note" + end + end.join(lines) + random.choice(["", end])
+
+
+@pytest.mark.parametrize("split", ["300", "4096", "1g"])
+def test_records_equal_python_for_all_splits(spark, tmp_path, split):
+    texts = {f"f{i}": odd_text(i, 40) for i in range(6)}
+    texts["head"] = '"i\nd","no\nte"\n1,2\n"3\n",4\n'
+    texts["open"] = 'id,note\n1,"never\nends\n' + "x,y\n" * 100
+    texts["none"] = "id,note"
+    paths = {name: put(tmp_path, f"{name}.csv", text) for name, text in texts.items()}
+    with splits_of(spark, split):
+        rows = records.cut(spark, list(paths.values())).select("file", "block_start", "place", "value")
+        found = csvfiles.with_row_numbers(rows, first=0).select("file", "row_no", "value").collect()
+    for name, text in texts.items():
+        # a cell that never closes ends before the file's last line end
+        want = [r for r in csv.reader(io.StringIO(text.removesuffix("\n"), newline="")) if r][1:]
+        got = [r["value"] for r in sorted(found, key=lambda r: r["row_no"]) if r["file"] == paths[name]]
+        assert [next(csv.reader([v])) for v in got] == want, name
+
+
+def cut_by_hand(text, size):
+    """Splits of ``size`` bytes as Spark makes them, their states composed one after the other, and cut on their own."""
+    lines, at, splits = text.encode().removesuffix(b"\n").split(b"\n"), 0, {}
+    for line in lines:
+        splits.setdefault(0 if at == 0 else (at - 1) // size * size, []).append(line)
+        at += len(line) + 1
+    quotes, opener, whole, pieces = records.Quotes(",", '"'), None, [], {}
+    for start, some in sorted(splits.items()):
+        cutter = records.Cutter(quotes, 1, start, opener)
+        cutter.lines(b"".join(some), [0, *itertools.accumulate(map(len, some))])
+        began = start if cutter.inside and cutter.opener is None else cutter.opener
+        cutter.close()
+        opener = began if cutter.inside else None
+        for place, edge, first, value in cutter.out:
+            if edge == records.RECORD:
+                whole.append(((start, place), value))
+            else:
+                pieces.setdefault(first, [None, []])[1].append(value)
+                if edge == records.TAIL:
+                    pieces[first][0] = place
+    whole += [((first, place), b"\n".join(some)) for first, (place, some) in pieces.items() if place is not None]
+    return [v.decode() for _, v in sorted(whole)]
+
+
+@pytest.mark.parametrize("size", [16, 64, 500, 1 << 30])
+def test_cutter_equals_python(size):
+    for seed in range(30):
+        text = odd_text(seed, 60)
+        want = [r for r in csv.reader(io.StringIO(text, newline="")) if r][1:]
+        assert [next(csv.reader([v])) for v in cut_by_hand(text, size)] == want, seed
+
+
+def test_guess_is_refuted(spark, tmp_path):
+    crossing = put(tmp_path, "crossing.csv", "id,note\n1,\"" + "line\n" * 2000 + '"\n2,x\n')
+    wrong = tmp_path / "wrong.csv"
+    wrong.write_bytes(b"id,note\n" + b"1,x\n" * 20_000 + b"1,\xff\n")  # far behind what the probe of the header reads
+    for path, size in ((crossing, "1024"), (str(wrong), "1g")):
+        with splits_of(spark, size):
+            guess = records.Splits()
+            headers = csvfiles.probe_headers(csvfiles.file_frame(spark, [path]))
+            csvfiles.read_object_csv(spark, [path], ["id", "note"], headers, guess).count()
+            assert not guess.held()
+            checked, splits = csvfiles.check_files(spark, headers)
+            assert csvfiles.read_object_csv(spark, [path], ["id", "note"], checked, splits).count() == (2 if path == crossing else 0)
 
 
 @pytest.mark.parametrize("split", ["4096", "1g"])

@@ -51,15 +51,27 @@ def test_fold_matches_model(spark):
         want = model(events)
         assert folded(lifecycle.fold_lifecycle(frame)) == want
         # every source above 20 events in blocks
-        assert folded(lifecycle.fold_lifecycle(frame, min_hot_rows=20)) == want
+        assert folded(lifecycle.fold_lifecycle(frame, min_hot_rows=20, block_rows=16)) == want
 
 
-def test_fold_in_coarse_blocks(spark):
-    events = history(11, sources=5, events=900)
+def test_fold_of_bursts_in_blocks_of_equal_size(spark):
+    """Numbers with a gap of 10^12 in the middle, all sources hot: no block holds more rows than asked."""
+    events = [(*e[:5], e[5] if e[5] < 450 else e[5] + 10**12, *e[6:]) for e in history(11, sources=5, events=900)]
     frame = spark.createDataFrame(events, EVENT)
-    hot = skew.find_hot(frame, SOURCE, "seq", min_rows=50, parts=7)
-    assert len(hot.rows) >= 4
-    assert folded(lifecycle.fold_lifecycle(frame, hot=hot)) == model(events)
+    hot = skew.find_hot(frame, SOURCE, min_rows=50)
+    assert hot.frame.count() >= 4
+    sizes = skew.with_block(frame, hot, "seq", 64).where("_block > 0").groupBy("_block").count().collect()
+    assert max(r["count"] for r in sizes) == 64 and len(sizes) >= 10
+    assert folded(lifecycle.fold_lifecycle(frame, hot=hot, block_rows=64)) == model(events)
+
+
+def test_more_hot_keys_than_a_driver_should_hold(spark):
+    frame = spark.range(12_000).select((F.col("id") % 3000).alias("k"), "id")
+    hot = skew.find_hot(frame, ["k"], min_rows=4)
+    assert hot.frame.count() == 3000
+    placed = skew.with_block(frame, hot, "id", 500)
+    assert placed.count() == 12_000 and placed.where("_block = 0").isEmpty()
+    assert not skew.find_hot(frame, ["k"], min_rows=5)
 
 
 def registry_rows(spark, frame, batches):
@@ -83,7 +95,7 @@ def test_batches_split_anywhere_give_the_same_result(spark):
     got = {}
     for low, high in ((0, 90), (90, 250), (250, 400)):
         part = spark.createDataFrame(events[low:high], EVENT)
-        for options in ({}, {"min_hot_rows": 10}):
+        for options in ({}, {"min_hot_rows": 10, "block_rows": 8}):
             frame = lifecycle.fold_lifecycle(part, registry, **options)
             got.update(folded(frame))
             assert {k: got[k] for k in range(low, high)} == {k: want[k] for k in range(low, high)}
