@@ -5,9 +5,10 @@ encode a space and the text (B adds the space itself). The libraries' spans are
 offsets, and the spans of the pieces in B's protobuf result. Where several tokens share a character (A) or
 a piece is a byte (B), the coarse span is refined by the length of the decoded bytes. Where tokens of both end, the text is cut into groups.
 
-Both tokenizers cut before a single blank or line feed between two other characters, whatever stands around: A's
-pattern starts a match there, and no piece of B goes over it (checked when the vocabulary is loaded). So texts are
-cut into such units, each worker encodes and aligns a unit once, and a document is the sequence of its units.
+Both tokenizers cut before a single blank or line feed between two other characters, and between a letter or digit and
+one of ``POINTS``, whatever stands around: A's pattern starts a match there, and no piece of B goes over it (checked when the
+vocabulary is loaded). So texts are cut into such units, a worker encodes and aligns a unit once, thousands in
+one numpy pass, and a document is the sequence of its units.
 
 The count of an id pair (in how many documents it is linked) is taken over the whole corpus: tasks count distinct pairs, Spark
 sums them and finds the highest of each A id. A worker keeps the most frequent pairs, at most ``HOT``; the pairs of a document that are not
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -33,22 +34,17 @@ from slicelake.llm.common import column, frequent, ready, stored, whole_row
 from slicelake.llm.token_counts import quiet_tokenizer
 
 HOT = 1 << 20             # pairs a worker keeps
-MAX_UNITS = 300_000       # distinct units a worker remembers
+MAX_UNITS = 700_000       # distinct units a worker remembers
 MAX_KNOWN = 1 << 23       # pairs of remembered units
+LARGE = 1 << 12           # links of a group whose pairs are counted by distinct ids
+POINTS = ",.;:!?"
 FLUSH = 1 << 22           # pairs a task counts before it passes them on
 BLANK = "▁"
 
 ODD = re.compile(r"\s\s|[^\S \n]|\s\Z")       # white space that does not just separate two words
-UNIT = re.compile(r"\s\S+")
 BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
-def units_of(text: str) -> list[str]:
-    """A space and the text, cut where neither tokenizer looks across."""
-    spaced = " " + text
-    return BREAK.split(spaced) if ODD.search(spaced) else UNIT.findall(spaced)
-
-
 class BytesOfIds:
     """Byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 256 on."""
 
@@ -60,6 +56,35 @@ class BytesOfIds:
         self.tokens = [bytes(byte[c] for c in tokenizer.id_to_token(i)) if all(c in byte for c in tokenizer.id_to_token(i)) else b"" for i in range(size)]
 
 
+class Runs(IdStore):
+    """Numbers of units, many units added at once."""
+
+    def __init__(self):
+        super().__init__()
+        self.flat = self.flat.astype(np.int64)
+
+    def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(lengths)
+        self.flat = self._room(self.flat, self.used + len(values))
+        self.starts, self.lengths = self._room(self.starts, self.count + n), self._room(self.lengths, self.count + n)
+        self.flat[self.used : self.used + len(values)] = values
+        self.starts[self.count : self.count + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.count : self.count + n] = lengths
+        self.used, self.count = self.used + len(values), self.count + n
+
+
+class Flat:
+    """Byte strings of ids, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return gather(self.bytes, self.starts[ids], self.lengths[ids])
+
+
 class Aligner:
     """Both tokenizers and the units a worker knows."""
 
@@ -73,107 +98,156 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         if any(re.search(f"[^{BLANK}]{BLANK}|\n", p) for p in pieces):
             raise ValueError(f"{path_b} has pieces that go over the end of a word")
-        self.bytes_a = BytesOfIds(self.a).tokens
-        self.is_byte = [self.b.is_byte(i) for i in range(size)]
-        self.bytes_b = [
+        over = "".join({m for p in pieces for m in re.findall(rf"([^\W_])[{POINTS}]", p)})
+        self.unit = re.compile(rf"\s[^\s{POINTS}]*[^\W_{re.escape(over)}](?=[{POINTS}])|\s?\S+")
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(size)])
+        self.bytes_a = Flat(BytesOfIds(self.a).tokens)
+        self.bytes_b = Flat([
             bytes([int(p[1:-1], 16)]) if byte else p.replace(BLANK, " ").encode() for p, byte in zip(pieces, self.is_byte)
-        ]
+        ])
+        # how an id is written: A's before another one and at its group's end, then B's
+        numbers_a, numbers_b = [b"%d" % i for i in range(len(self.bytes_a.lengths))], [b"%d" % i for i in range(size)]
+        self.written = [n + end for some, ends in ((numbers_a, b",|"), (numbers_b, b",;")) for end in (ends[:1], ends[1:]) for n in some]
+        self.written_lengths = np.fromiter(map(len, self.written), np.int64, len(self.written))
         self.width = size
         self._forget()
 
     def _forget(self) -> None:
         self.units = Pieces()
-        self.texts: list[bytes] = []                                # groups of a unit, as they are written
-        # n_a, n_b, n_groups, n_links, whether the bytes are right; distinct pairs and how often each is linked
-        self.numbers, self.pairs, self.times = IdStore(), IdStore(), IdStore()
-        for store in (self.numbers, self.pairs, self.times):
-            store.flat = store.flat.astype(np.int64)
-
-    def ends_a(self, unit: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
-        """Byte offsets of the tokens' ends."""
-        if unit.isascii():
-            return [end for _, end in offsets]
-        at, before, out = np.cumsum([0] + [len(c.encode()) for c in unit]).tolist(), 0, []
-        for i, (_, end) in enumerate(offsets):
-            shared = i + 1 < len(offsets) and offsets[i + 1][0] < end     # the next token has a part of the last character
-            before = before + len(self.bytes_a[ids[i]]) if shared else at[end]
-            out.append(before)
-        return out
-
-    def ends_b(self, pieces: list[tuple[int, int]], start: int) -> list[int]:
-        """The same from (id, end of the span in bytes); ``start`` bytes of the unit are not in the spans."""
-        before, out = 0, []
-        for id, end in pieces:
-            before = before + 1 if self.is_byte[id] else end + start
-            out.append(before)
-        return out
-
-    def _pieces(self, some: list[str]) -> list[list[tuple[int, int]]]:
-        """B's pieces; a unit that begins with a line feed loses the blank that B puts before it."""
-        protos = self.b.encode([u[1:] if u[0] == " " else u for u in some], return_type="proto", num_threads=1)
-        return [[(p.id, p.end) for p in list(proto.pieces)[u[0] != " " :]] for u, proto in zip(some, protos)]
+        self.texts: list[bytes] = []                                # groups of a unit as they are written, each with its end
+        # n_a, n_b, n_groups, n_links, whether the bytes are right; linked pairs and how often each is
+        self.numbers, self.pairs, self.times = Runs(), Runs(), Runs()
+
+    def cut(self, text: str) -> list[str]:
+        """A space and the text, in units."""
+        spaced = " " + text
+        return BREAK.split(spaced) if ODD.search(spaced) else self.unit.findall(spaced)
+
+    def _tokens_a(self, some: list[str], bases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit, id and byte offset of the end of every token."""
+        found = self.a.encode_batch(some, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in found)), np.int64)
+        unit = np.repeat(np.arange(len(some)), [len(e.ids) for e in found])
+        spans = np.array(list(chain.from_iterable(chain.from_iterable(e.offsets for e in found))), np.int64).reshape(-1, 2)
+        exact = within(self.bytes_a.lengths[ids], unit) + bases[unit]
+        # character offsets are byte offsets behind what is ASCII; elsewhere characters are turned into bytes
+        wide = np.flatnonzero([not u.isascii() for u in some])
+        chars = np.array([len(u) for u in some])
+        firsts = np.cumsum(chars + 1) - chars - 1
+        at = np.arange(int((chars + 1).sum())) - np.repeat(firsts, chars + 1)
+        for i in wide.tolist():
+            at[firsts[i] : firsts[i] + chars[i] + 1] = np.cumsum([0] + [len(c.encode()) for c in some[i]])
+        coarse = at[firsts[unit] + spans[:, 1]] + bases[unit]
+        # where the next token has a part of the last character, the decoded bytes say where this one ends
+        shared = np.zeros(len(ids), bool)
+        shared[:-1] = (unit[1:] == unit[:-1]) & (spans[1:, 0] < spans[:-1, 1])
+        return unit, ids, np.where(shared, exact, coarse)
+
+    def _tokens_b(self, some: list[str], bases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of B, which puts a blank before a text: the unit's own, or one in front of a line feed that no piece goes over."""
+        own = [u[0] == " " for u in some]
+        asked = [u[1:] if mine else u if u[0] == "\n" else "\n" + u for u, mine in zip(some, own)]
+        skipped = [0 if mine else 1 if u[0] == "\n" else 2 for u, mine in zip(some, own)]
+        protos = self.b.encode(asked, return_type="proto", num_threads=1)
+        rows = [[(p.id, p.end) for p in list(proto.pieces)[skip:]] for proto, skip in zip(protos, skipped)]
+        unit = np.repeat(np.arange(len(some)), [len(r) for r in rows])
+        found = np.array(list(chain.from_iterable(chain.from_iterable(rows))), np.int64).reshape(-1, 2)
+        ids = found[:, 0]
+        before = np.array([1 if mine else 0 if u[0] == "\n" else -1 for u, mine in zip(some, own)])
+        exact = within(self.bytes_b.lengths[ids], unit)
+        # the spans of a character's bytes all end with it
+        return unit, ids, np.where(self.is_byte[ids], exact, found[:, 1] + before[unit]) + bases[unit]
 
     def learn(self, some: list[str]) -> None:
         """Encode and align units."""
-        numbers, pairs, times = [], [], []
-        for unit, a, b in zip(some, self.a.encode_batch(some, add_special_tokens=False), self._pieces(some)):
-            ids_a, ids_b, raw = a.ids, [i for i, _ in b], unit.encode()
-            right = b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw == b"".join(map(self.bytes_a.__getitem__, ids_a))
-            if not right:
-                self.texts.append(b"")
-                numbers.append([0, 0, 0, 0, 0]), pairs.append([]), times.append([])
-                continue
-            groups = cut(ids_a, self.ends_a(unit, ids_a, a.offsets), ids_b, self.ends_b(b, unit[0] == " "))
-            linked: Counter = Counter()
-            for some_a, some_b in groups:
-                if len(some_a) == len(some_b) == 1:
-                    linked[some_a[0] * self.width + some_b[0]] += 1
-                else:
-                    for x, n in Counter(some_a).items():
-                        for y, m in Counter(some_b).items():
-                            linked[x * self.width + y] += n * m
-            self.texts.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            numbers.append([len(ids_a), len(ids_b), len(groups), sum(linked.values()), 1])
-            pairs.append(list(linked)), times.append(list(linked.values()))
-        for store, rows in ((self.numbers, numbers), (self.pairs, pairs), (self.times, times)):
-            store.add([np.array(x, np.int64) for x in rows])
+        raw = [u.encode() for u in some]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bases = np.cumsum(sizes) - sizes
+        a, b = self._tokens_a(some, bases), self._tokens_b(some, bases)
+        right = np.ones(len(some), bool)
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        for (unit, ids, _), known in ((a, self.bytes_a), (b, self.bytes_b)):
+            lengths = np.bincount(unit, known.lengths[ids], len(some)).astype(np.int64)
+            right &= lengths == sizes
+            same = lengths == sizes
+            decoded, own = known.of(ids[same[unit]]), text[np.repeat(same, sizes)]
+            wrong = np.repeat(np.flatnonzero(same), sizes[same])[decoded != own]
+            right[wrong] = False
+        (unit_a, ids_a, ends_a), (unit_b, ids_b, ends_b) = ([x[right[t[0]]] for x in t] for t in (a, b))
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        links = in_a * in_b
+        group_unit = unit_a[first_a]
+        n = len(some)
+        table = np.stack([
+            np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n), np.bincount(group_unit, minlength=n),
+            np.zeros(n, np.int64), right,
+        ], axis=1).astype(np.int64)
+        np.add.at(table[:, 3], group_unit, links)
+        # every token of A with every one of B in its group; large groups by distinct ids
+        small = links <= LARGE
+        of_a = small[group_a]
+        repeats = in_b[group_a[of_a]]
+        left = np.repeat(ids_a[of_a], repeats)
+        group = np.repeat(group_a[of_a], repeats)
+        place = np.arange(len(left)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+        pairs, times, owner = left * self.width + ids_b[first_b[group] + place], np.ones(len(left), np.int64), group_unit[group]
+        for g in np.flatnonzero(~small).tolist():
+            x, count_x = np.unique(ids_a[first_a[g] : first_a[g] + in_a[g]], return_counts=True)
+            y, count_y = np.unique(ids_b[first_b[g] : first_b[g] + in_b[g]], return_counts=True)
+            pairs = np.concatenate([pairs, (x[:, None] * self.width + y).ravel()])
+            times = np.concatenate([times, (count_x[:, None] * count_y).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), group_unit[g])])
+        order = np.argsort(owner, kind="stable")
+        counts = np.bincount(owner, minlength=n)
+        self.numbers.extend(table.ravel(), np.full(n, 5))
+        self.pairs.extend(pairs[order], counts)
+        self.times.extend(times[order], counts)
+        # written by group, A's tokens before B's
+        size_a = len(self.bytes_a.lengths)
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        kinds = np.concatenate([ids_a + size_a * last_a, ids_b + 2 * size_a + self.width * last_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        owner = np.concatenate([unit_a, unit_b])[order]
+        lengths = np.bincount(owner, self.written_lengths[kinds[order]], n).astype(np.int64)
+        flat, at = b"".join(map(self.written.__getitem__, kinds[order].tolist())), np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        self.texts += [flat[i:j] for i, j in zip(at, at[1:])]
 
     def align(self, texts: list[str]):
         """For every text: its numbers, its groups as written, its distinct pairs in order and how often each occurs."""
-        cuts = [units_of(t) if t else [] for t in texts]
+        cuts = [self.cut(t) if t else [] for t in texts]
         found = [np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)) for units in cuts]
         for part in range(0, len(self.units.new), 4096):
             self.learn(self.units.new[part : part + 4096])
         self.units.new.clear()
         table = self.numbers.flat[: 5 * len(self.texts)].reshape(-1, 5)
         for numbers in found:
-            sums = table[numbers].sum(0, dtype=np.int64)
+            sums = table[numbers].sum(0)
             if not len(numbers) or sums[4] != len(numbers):
                 yield np.zeros(4, np.int64), None, np.zeros(0, np.int64), np.zeros(0, np.int64)
                 continue
-            groups = b";".join(map(self.texts.__getitem__, numbers.tolist()))
+            groups = b"".join(map(self.texts.__getitem__, numbers.tolist()))[:-1]
             units, counts = np.unique(numbers, return_counts=True)
             starts, lengths = self.pairs.starts[units], self.pairs.lengths[units]
             times = gather(self.times.flat, starts, lengths) * np.repeat(counts, lengths)
-            pairs, at = np.unique(gather(self.pairs.flat, starts, lengths), return_inverse=True)
-            yield sums[:4], groups, pairs, np.bincount(at, times).astype(np.int64)
+            pairs = gather(self.pairs.flat, starts, lengths)
+            order = np.argsort(pairs)
+            pairs = pairs[order]
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            yield sums[:4], groups, pairs[first], np.add.reduceat(times[order], first)
         if len(self.units) > MAX_UNITS or self.pairs.used > MAX_KNOWN:
             self._forget()
 
 
-def cut(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups between places where tokens of both end."""
-    groups, i, j, a, b = [], 0, 0, 0, 0
-    while i < len(ids_a):
-        if ends_a[i] == ends_b[j]:
-            groups.append((ids_a[a : i + 1], ids_b[b : j + 1]))
-            i, j = i + 1, j + 1
-            a, b = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return groups
+def within(lengths: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Running sums that start anew in every unit."""
+    ends = np.cumsum(lengths)
+    first = np.flatnonzero(np.diff(unit, prepend=-1))
+    before = np.zeros(int(unit[-1]) + 1 if len(unit) else 0, np.int64)
+    before[unit[first]] = ends[first] - lengths[first]
+    return ends - before[unit]
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
