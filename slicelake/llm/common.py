@@ -85,7 +85,7 @@ class HashedPairs:
 
     @staticmethod
     def key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return (first.astype(np.int64) << 16) | second
+        return (first.astype(np.int64) << 32) | second
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of ``keys``, -1 where there is none."""

@@ -49,11 +49,25 @@ def quiet_tokenizer(path: str):
     return tokenizer
 
 
+def word_tokenizer(path: str):
+    """The library's tokenizer, refused if its tokens of a text are not those of the words between white space."""
+    tokenizer = quiet_tokenizer(path)
+    words = ["a", "The", "été", "x1.", "don't", "字"]
+
+    def ids(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    for space in (" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n"):
+        if ids(space + space.join(words) + space) != [i for w in words for i in ids(w)]:
+            raise ValueError(f"{path} does not drop white space between words")
+    return tokenizer
+
+
 class Transducer:
     """States are prefixes of words; ``emits`` is the number of tokens of the word that ends there."""
 
     def __init__(self, path: str):
-        self.tokenizer = quiet_tokenizer(path)
+        self.tokenizer = word_tokenizer(path)
         self._restart()
 
     def _restart(self) -> None:
