@@ -19,6 +19,7 @@ ABSENT_DELETE = "Object batch already absent."
 TRUNCATED = "Truncated mapped batch partition."
 NO_MAPPING = "No Resource Mappings entry matches this compartment, bucket, and resource name."
 UNSUPPORTED = "Unsupported Object Storage event type."
+IMPURE = "Stage table contains a row with an unexpected batch number."
 IN_PROGRESS = "This source object already has a load in progress."
 DELETE_IN_PROGRESS = (
     "This source object has a load in progress; retry the delete after it completes or is recovered."

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from slicelake.operators.skew import BLOCK_ROWS
 
 MAX_RECENT = 500
+SAMPLE = 4096   # rows, as expected, that splitters are taken from
+RANGES = 64     # ranges counted in one pass
 
 
 def recent(df: DataFrame, limit: int = 10, target: tuple[str, str] | None = None) -> DataFrame:
@@ -29,54 +34,66 @@ def page(
     descending: bool = True,
     tie: str = "id",
     clamp: bool = True,
+    block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, int]:
-    """One page in sort order, and the total.
-
-    The total needs a pass anyway; for time and number columns the same pass counts rows
-    per coarse bucket, so that a page deep in the table sorts only the buckets it
-    touches instead of everything before it.
-    """
+    """One page in sort order, and the total. However deep it lies, about ``block_rows`` rows are sorted for it."""
     size = max(size, 1)
-    bucket = _bucket(df, sort_column)
-    if bucket is None:
-        total = df.count()
-        number = clamp_page(page_number, total, size) if clamp else max(page_number, 1)
-        chosen, offset = df, (number - 1) * size
-    else:
-        order = F.col("_bucket").desc_nulls_last() if descending else F.col("_bucket").asc_nulls_first()
-        # one row per bucket: an hour, or a fixed stretch of numbers
-        counts = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-        # summing in sort order yields NULL-safe positions of every bucket
-        placed = counts.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_n"))
-        total = int(placed.agg(F.max("_end")).first()[0] or 0)
-        number = clamp_page(page_number, total, size) if clamp else max(page_number, 1)
-        first = (number - 1) * size
-        edge = (
-            placed.where((F.col("_end") > first) & (F.col("_start") < first + size))
-            .agg(F.min(F.struct("_start", "_bucket")).alias("a"), F.max(F.struct("_start", "_bucket")).alias("b"))
-            .first()
+    total = df.count()
+    number = clamp_page(page_number, total, size) if clamp else max(page_number, 1)
+    first = (number - 1) * size
+    if first >= total:
+        return df.limit(0), total
+    last = min(first + size, total)
+    low, high = (total - last, total - first) if descending else (first, last)
+    chosen, before, rows = narrow(df, [sort_column, tie], low, high, total, block_rows)
+    offset = before + rows - high if descending else low - before
+    order = [F.desc(c) if descending else F.asc(c) for c in (sort_column, tie)]
+    return chosen.orderBy(*order).offset(int(offset)).limit(last - first), total
+
+
+def narrow(
+    df: DataFrame, order: list[str], low: int, high: int, total: int, block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, int, int]:
+    """Rows around the positions ``low`` to ``high`` (0-based, ascending, NULLs first), how many rows come before them, and their number.
+
+    For columns of any type that can be ordered and written as text: a sample gives splitters, one pass counts the rows
+    between them, and the ranges with the wanted positions are looked at again until they are small. Each round
+    divides the rows by some ``RANGES``; sample and counts have a few thousand rows whatever the table's size.
+    """
+    kinds = [df.schema[c].dataType for c in order]
+    key = F.struct(*[F.col(c) for c in order])
+    rest, before, rows = df, 0, total
+    while rows > block_rows:
+        step = max(rows // SAMPLE, 1)
+        # equal keys are sampled together and counted, so that a frequent one is one row
+        sample = (
+            rest.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+            .orderBy(*[F.asc(c) for c in order])
+            .select(*[F.col(c).cast("string") for c in order], "_n").collect()
         )
-        if edge["a"] is None:
-            return df.limit(0), total
-        ends = [edge["a"]["_bucket"], edge["b"]["_bucket"]]
-        if None in ends:
-            chosen, offset = df, first
-        else:
-            low, high = min(ends), max(ends)
-            chosen, offset = df.where(bucket.between(F.lit(low), F.lit(high))), first - edge["a"]["_start"]
-    rest = F.desc(tie) if descending else F.asc(tie)
-    sort = F.desc(sort_column) if descending else F.asc(sort_column)
-    return chosen.orderBy(sort, rest).offset(int(offset)).limit(size), total
-
-
-def _bucket(df: DataFrame, column: str) -> Column | None:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        return F.date_trunc("hour", F.col(column)).cast(kind)
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
-        return F.floor(F.col(column) / F.lit(65536)).cast("bigint")
-    return None
+        weight = list(itertools.accumulate(r["_n"] for r in sample))
+        places = {bisect.bisect_right(weight, weight[-1] * i // RANGES) for i in range(1, RANGES)} if sample else set()
+        splitters = [
+            F.struct(*[F.lit(sample[i][c]).cast(kind).alias(c) for c, kind in zip(order, kinds)]) for i in sorted(places) if i < len(sample)
+        ]
+
+        def place(a: int, b: int) -> Column:
+            """The number of splitters up to the key, known to lie between a and b, by halving."""
+            if a == b:
+                return F.lit(a)
+            middle = (a + b) // 2
+            return F.when(key < splitters[middle], place(a, middle)).otherwise(place(middle + 1, b))
+
+        counts = dict(rest.groupBy(place(0, len(splitters)).alias("_range")).count().collect())
+        ends = list(itertools.accumulate(counts.get(i, 0) for i in range(len(splitters) + 1)))
+        a = bisect.bisect_right(ends, low - before)
+        b = bisect.bisect_left(ends, high - before)
+        start = ends[a - 1] if a else 0
+        if ends[b] - start == rows:
+            break       # one key has more rows than a block
+        rest = rest.where((key >= splitters[a - 1] if a else F.lit(True)) & (key < splitters[b] if b < len(splitters) else F.lit(True)))
+        before, rows = before + start, ends[b] - start
+    return rest, before, rows
 
 
 def event_page(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from slicelake import schemas
 from slicelake.operators import quality
+from slicelake.session import stored
 from slicelake.sources import csvfiles
 
 _IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_]{0,63}")
@@ -38,7 +39,7 @@ class ImportSpec:
         if self.add_row_id:
             self.primary_key = ["ROW_ID"]
         elif not set(self.primary_key) <= set(self.columns):
-            raise ValueError("Primary key contains an unknown column.")
+            raise ValueError(f"The key names columns that are not declared: {sorted(set(self.primary_key) - set(self.columns))}.")
         self.spark_types = {c: spark_type(t) for c, t in self.columns.items()}
 
     @property
@@ -62,7 +63,7 @@ def spark_type(declared: str) -> str:
     size = _VARCHAR.fullmatch(name)
     if size and 1 <= int(size.group(1)) <= 65535:
         return "string"
-    raise ValueError("Use a supported type (VARCHAR(n), TEXT, TINYINT, INT, BIGINT, DECIMAL(38, 10), DATE, or DATETIME).")
+    raise ValueError(f"Columns cannot be declared {declared}; known are VARCHAR with a length and {', '.join(schemas.IMPORT_TYPES)}.")
 
 
 def create_target(spark: SparkSession, spec: ImportSpec) -> str:
@@ -113,7 +114,7 @@ def import_findings(rows: DataFrame, spec: ImportSpec) -> DataFrame:
             )
         )
     needed = [c for c in spec.columns if c not in spec.nullable and c not in spec.primary_key]
-    blank = {c: F.coalesce(F.trim(c) == "", F.lit(True)) for c in needed}
+    blank = {c: F.col(c).isNull() for c in needed}    # the scan has made empty cells NULL; blanks are text
     found = found.unionByName(
         quality._per_column(rows, keep, blank).select(*keep, F.concat(F.lit("no value in "), "column").alias("finding"))
     )
@@ -139,18 +140,19 @@ def import_csv(spark: SparkSession, path: str, spec: ImportSpec) -> int:
 
     The first finding, in row order, fails the import before anything is written; so does a key that the target has.
     """
-    scan = csvfiles.read_import_csv(spark, path, list(spec.columns), spec.delimiter)
+    # the text is looked through once for its quotes and once for its cells; all checks read what was stored
+    scan = stored(csvfiles.read_import_csv(spark, path, list(spec.columns), spec.delimiter), "import-rows")
     rows = csvfiles.with_row_numbers(scan)
     worst = import_findings(rows, spec).orderBy(F.asc_nulls_last("row_no"), "finding").limit(1).collect()
     if worst:
         raise ValueError(f"Import failed: {worst[0]['finding']} (row {worst[0]['row_no']}).")
     name = create_target(spark, spec)
-    stored = spark.table(name)
+    target = spark.table(name)
     last_id = 0
     if spec.add_row_id:
-        last_id = stored.agg(F.max("ROW_ID")).first()[0] or 0
+        last_id = target.agg(F.max("ROW_ID")).first()[0] or 0
     elif spec.primary_key:
-        if not import_rows(rows, spec).join(stored.select(*spec.primary_key), spec.primary_key, "left_semi").isEmpty():
+        if not import_rows(rows, spec).join(target.select(*spec.primary_key), spec.primary_key, "left_semi").isEmpty():
             raise ValueError("Import failed: a primary-key value is in the target already.")
     out = import_rows(rows, spec, last_id)
     from pyspark.sql import Observation

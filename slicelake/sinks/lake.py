@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from slicelake import schemas
+from slicelake.functions import events as ev
 from slicelake.operators import skew
 from slicelake.operators.lifecycle import SOURCE, TARGET
 from slicelake.paths import exists, filesystem
@@ -223,6 +224,14 @@ class Lake:
         """One folder per micro-batch; writing it again replaces it."""
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
 
+    def events(self) -> DataFrame:
+        """The event log with completion times, merged when it is read.
+
+        An event's row is written before it is loaded and never changed; when it ended stands in the
+        transaction log, where the last row of an event counts.
+        """
+        return completed_events(self.log("object_event"), self.log("event_tx_log"))
+
     def log(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """Rows of committed micro-batches; those of one under way, or of a writer that died, are not read.
 
@@ -235,3 +244,14 @@ class Lake:
         detached = (number % 2 == 1) & (number <= 2 * ids.get("detached", -1) + 1)
         folders = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
         return self._read(name, folders).where(intake | detached).select(*schema.names)
+
+
+def completed_events(raw: DataFrame, tx: DataFrame) -> DataFrame:
+    """Raw events with completion time and duration of their last transaction."""
+    ends = tx.groupBy(F.col("object_event_id").alias("id")).agg(F.max("created_at").alias("_end"))
+    return (
+        raw.join(ends, "id", "left")
+        .withColumn("completed_at", F.coalesce("_end", "completed_at"))
+        .withColumn("duration_ms", ev.duration_ms(F.col("received_at"), F.col("completed_at")))
+        .select(*raw.columns)
+    )

@@ -8,7 +8,7 @@ from slicelake import schemas
 from slicelake.operators.mappings import upgrade_schema
 
 
-def control(spark: SparkSession, name: str, database: str = "fndb") -> DataFrame:
+def control(spark: SparkSession, name: str, database: str) -> DataFrame:
     """The table in today's schema: absent columns are added, an absent table is empty."""
     schema = schemas.CONTROL[name]
     if not spark.catalog.tableExists(f"{database}.{name}"):

@@ -155,7 +155,7 @@ def read_import_csv(spark: SparkSession, path: str, header: list[str], delimiter
     ``_record`` keeps the raw text of rows with too many or too few cells. Text that is not UTF-8 is refused.
     """
     if delimiter not in quality.DELIMITERS:
-        raise ValueError("Unsupported CSV delimiter.")
+        raise ValueError(f"{delimiter!r} does not separate cells; these do: {', '.join(map(repr, quality.DELIMITERS))}.")
     states = stored(records.split_states(spark, [path], delimiter, "\\"), "csv-splits")
     if not states.where("invalid > 0").isEmpty():
         raise ValueError("CSV must be valid UTF-8.")

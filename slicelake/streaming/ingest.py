@@ -301,17 +301,21 @@ class Ingest:
     def _checks(
         self, mine: DataFrame, headers: DataFrame, staged: DataFrame, manifest: DataFrame, target: Target
     ) -> DataFrame:
-        """Rows loaded per attempt, or why the load failed: unreadable file, header, cell, repeated key."""
+        """Rows loaded per attempt, or why the load failed: unreadable file, header, cell, repeated key, rows of another slice."""
         columns = F.array(*[F.lit(c) for c in target.columns])
+        expected = mine.select("attempt", F.col("batch_num").alias("expected_batch"))
+        counted = manifest.join(expected, "attempt")
+        impure = counted.where(F.col("batch_num") != F.col("expected_batch")).select("attempt", F.lit(lifecycle.IMPURE).alias("_impure")).distinct()
         wrong = quality.header_findings(headers.where(F.col("error").isNull()), columns)
         files = headers.select("file", "error").join(wrong, "file", "left")
-        counts = manifest.select("attempt", "rows")
+        counts = counted.where(F.col("batch_num") == F.col("expected_batch")).select("attempt", "rows")
         # parquet statistics skip everything where no cell failed
         broken = staged.where(F.col("_error").isNotNull()).groupBy("attempt").agg(F.min("_error").alias("_error"))
         found = (
             mine.join(files, "file", "left")
             .join(counts, "attempt", "left")
             .join(broken, "attempt", "left")
+            .join(impure, "attempt", "left")
             .withColumn("_double", F.lit(None).cast("bigint"))
         )
         if target.keys:
@@ -322,12 +326,13 @@ class Ingest:
             )
             found = found.drop("_double").join(repeats, "attempt", "left")
         repeated = F.when(F.col("_double").isNotNull(), "Duplicate entry for a unique key.")
-        failure = F.coalesce("error", "message", "_error", repeated)
+        failure = F.coalesce("error", "message", "_error", repeated, "_impure")
         kind = (
             F.when(F.col("error").isNotNull(), "ServiceError")
             .when(F.col("message").isNotNull(), "ValueError")
             .when(F.col("_error").isNotNull(), "DataError")
             .when(F.col("_double").isNotNull(), "IntegrityError")
+            .when(F.col("_impure").isNotNull(), "ValueError")
         )
         return found.select(
             *SOURCE, "attempt", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
@@ -420,17 +425,6 @@ def _first_deliveries(stream: DataFrame) -> DataFrame:
     return ordering.dedup_events(keyed, ("arrived", REMEMBER)).select("event_message")
 
 
-def completed_events(raw: DataFrame, tx: DataFrame) -> DataFrame:
-    """Raw events with completion time and duration of their last transaction."""
-    ends = tx.groupBy(F.col("object_event_id").alias("id")).agg(F.max("created_at").alias("_end"))
-    return (
-        raw.join(ends, "id", "left")
-        .withColumn("completed_at", F.coalesce("_end", "completed_at"))
-        .withColumn("duration_ms", ev.duration_ms(F.col("received_at"), F.col("completed_at")))
-        .select(*raw.columns)
-    )
-
-
 def _cell_error(target: Target) -> Column:
     """The first cell a strict insert would refuse, as text."""
     tests = []

@@ -315,6 +315,8 @@ def test_import_keeps_the_constraints(spark, tmp_path, rows):
     with pytest.raises(ValueError, match="in the target already"):
         imports.import_csv(spark, put(tmp_path, "more.csv", "id,name\n3,C\n2,B\n"), keyed)
     assert spark.table(f"{database}.keyed").count() == 2
+    blank = imports.ImportSpec(database, "blanks", {"id": "BIGINT", "name": "TEXT"}, ["id"])
+    assert imports.import_csv(spark, put(tmp_path, "blank.csv", "id,name\n1,  \n"), blank) == 1   # blanks are a value
     numbered = imports.ImportSpec(database, "numbered", {"name": "TEXT"}, add_row_id=True)
     for _ in range(2):
         assert imports.import_csv(spark, put(tmp_path, "text.csv", "name\nx\ny\n"), numbered) == 2

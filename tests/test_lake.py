@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slicelake.operators import audit
 from slicelake.sinks.lake import REGISTRY, Lake
-from slicelake.streaming.ingest import Ingest, Target, completed_events
+from slicelake.streaming.ingest import Ingest, Target
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
 MAPPING = (
@@ -163,7 +164,7 @@ def test_ingest(spark, world, rows):
     assert ("Mapped t", "TARGET_TABLE_NOT_FOUND") in codes and ("Incorrec", "DATAERROR") in codes and ("CSV colu", "VALUEERROR") in codes
     raw = world.lake.log("object_event")
     assert raw.count() == 15  # messages that cannot be processed are kept too
-    done = completed_events(raw, world.lake.log("event_tx_log"))
+    done = world.lake.events()
     assert done.where("completed_at IS NULL").count() == 2 and done.where("duration_ms < 0").count() == 0
 
     # a failed update keeps the old rows; a good one without rows empties the slice; delete retires
@@ -181,6 +182,34 @@ def test_ingest(spark, world, rows):
     assert seen() == [(78, "E", "8.00")] and world.audit()[-1][3] == 7
 
 
+def test_foreign_rows_fail_the_load(spark, world, rows, monkeypatch):
+    """Rows of another slice in a staged load: the load fails, and the slice keeps what it showed."""
+    world.put("feed/a.csv", "id,name,amount\n1,A,1\n")
+    world.send(("create", "feed/a.csv", 1))
+    world.run()
+    stage = Lake.stage
+    slip = F.when(F.col("id") == 3, 99).otherwise(F.col("batch_num")).cast("bigint")
+    monkeypatch.setattr(Lake, "stage", lambda self, df, *rest: stage(self, df.withColumn("batch_num", slip), *rest))
+    world.put("feed/a.csv", "id,name,amount\n2,B,2\n3,C,3\n")
+    world.send(("update", "feed/a.csv", 2))
+    world.run()
+    assert world.audit()[-1][2:] == ("ERROR", 1, "Stage table contains a row with an unexpected batch number.")
+    assert rows(world.ingest.table("mart", "t").select("id")) == [(1,)]
+
+
+def test_durations_over_the_lake(spark, world):
+    """Completion and duration of events are seen on the lake's own logs, also of detached ones."""
+    world.put("feed/a.csv", "id,name,amount\n1,A,1\n")
+    world.put("det/b.csv", "id,name,amount\n2,B,2\n")
+    world.send(("create", "feed/a.csv", 1), ("create", "det/b.csv", 2))
+    world.run()
+    assert world.lake.log("object_event").where("completed_at IS NOT NULL").count() == 0
+    done = world.lake.events().select("resource_name", "received_at", "completed_at", "duration_ms").collect()
+    assert len(done) == 2 and all(r["completed_at"] >= r["received_at"] and r["duration_ms"] > 0 for r in done)
+    timed = audit.with_timing(world.lake.log("event_tx_log"), world.lake.events()).collect()
+    assert len(timed) == 2 and all(r["event_duration_ms"] > 0 for r in timed)
+
+
 def test_replayed_batch_is_skipped(spark, world, rows):
     world.put("feed/a.csv", "id,name,amount\n1,A,1\n")
     world.send(("create", "feed/a.csv", 1))

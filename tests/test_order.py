@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import Window, functions as F
 
-from slicelake.operators import ordering, skew
+from slicelake.operators import ordering, paging, skew
 
 
 @pytest.mark.parametrize("kind", ["bigint", "string", "decimal(20,4)", "double"])
@@ -58,3 +58,31 @@ def test_blocks_hold_no_more_rows_than_asked(spark):
     placed = skew.numbered(frame, [F.col("v"), F.col("i")], "n")
     sizes = placed.groupBy(skew.seq_block("n", 64).alias("b")).count().collect()
     assert max(r["count"] for r in sizes) == 64 and len(sizes) == 16
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,4)", "bigint", "timestamp_ntz", "double"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_deep_pages_sort_few_rows(spark, kind, descending):
+    """Text, decimals, sparse numbers and times, with NULLs and a value that many rows have."""
+    random.seed(9)
+    made = {"bigint": "v * 1000000007", "timestamp_ntz": "timestamp_micros(v * 977)", "string": "concat('x', v % 700)"}
+    values = [random.choice([None, 5, 5, random.randrange(10**6), random.randrange(10**6)]) for _ in range(3000)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id bigint, v bigint").select(
+        "id", F.expr(made.get(kind, "v / 7")).cast(kind).alias("v")
+    )
+    order = [F.desc("v"), F.desc("id")] if descending else [F.asc("v"), F.asc("id")]
+    want = [r["id"] for r in frame.orderBy(*order).collect()]
+    for number in (1, 40, 75, 1000):
+        got, total = paging.page(frame, number, 40, "v", descending, block_rows=100)
+        first = (min(number, 75) - 1) * 40
+        assert total == 3000 and [r["id"] for r in got.collect()] == want[first : first + 40]
+    for low in (0, 1500, 2960):
+        rest, before, rows = paging.narrow(frame, ["v", "id"], low, low + 40, 3000, 100)
+        assert rest.count() == rows <= 300 and before <= low and low + 40 <= before + rows
+
+
+def test_pages_of_equal_keys(spark):
+    frame = spark.range(500).select(F.lit(1).alias("v"), F.lit(1).alias("id"))
+    got, total = paging.page(frame, 3, 7, "v", block_rows=10)
+    assert total == 500 and got.count() == 7
+    assert paging.page(frame.limit(0), 3, 7, "v")[0].count() == 0
