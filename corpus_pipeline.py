@@ -9,7 +9,7 @@ from public_tokenizers import PATTERN, path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slicelake.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules
-from slicelake.llm.common import column, ready, stored, table
+from slicelake.llm.common import SPACES, column, ready, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents hold stay in the smallest id; ``n_chars`` follows the text."""
+    """Lines that several documents hold stay in the smallest id; ``n_chars`` follows the text. Documents left without words go."""
     ready(spark)
-    cleaned = line_dedup.drop_repeated_lines(docs)
+    cleaned = line_dedup.drop_repeated_lines(docs).where(F.trim("text", F.lit(SPACES)) != "")
     length = F.length("text").cast("bigint").alias("n_chars")
     return cleaned.select(*[length if c == "n_chars" else column(c) for c in docs.columns])
 
