@@ -360,3 +360,50 @@ def test_repeats_beyond_the_neighbours(documents):
     found = suffix_dedup.find_repeats(documents(rows)).collect()
     assert {(r["doc"], k) for r in found for k in range(r["start"], r["end"])} == want
     assert all(r["doc"] != r["other"] for r in found) and len(found) > 250
+
+
+def test_byte_bpe_with_ids_above_16_bits(tmp_path):
+    """All pairs of bytes and some longer tokens: more ids than 16 bits hold."""
+    random.seed(12)
+    tokens = [bytes([b]) for b in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    known = set(tokens)
+    while len(tokens) < 80_000:
+        word = bytes(random.choices(b"abcdefgh", k=random.randrange(3, 6)))
+        if word not in known:
+            known.add(word), tokens.append(word)
+        if len(known) > 256 + 65536 + 30_000:
+            break
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    library = tiktoken.Encoding("wide", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    texts = [" ".join("".join(random.choices("abcdefghxyz", k=random.randrange(1, 12))) for _ in range(200)) for _ in range(5)]
+    bpe = byte_bpe.ByteBpe(str(path), public_tokenizers.PATTERN)
+    got = {}
+    for i, ids in bpe.encode(texts):
+        got.setdefault(i, []).extend(ids.tolist())
+    assert [got[i] for i in range(5)] == [library.encode_ordinary(t) for t in texts]
+    assert max(max(ids) for ids in got.values()) > 65_535
+
+
+def test_tokenizers_that_look_across_words_are_refused():
+    assert token_counts.word_tokenizer(WORDS)
+    with pytest.raises(ValueError, match="white space"):
+        token_counts.word_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_are_shared_only_where_tokens_stay_the_same():
+    """Capitals, points, marks that join letters and special strings, against the library on whole texts."""
+    random.seed(21)
+    parts = ["Word", "word", "H", "h", "I", "É", "E", "\u0301", "\u0331", "\u0307", ",", ".", "..", "!?", " ", "\n", "'S", "'s", "5", "²", "<|endoftext|>", "<|ENDOFTEXT|>", "漢", "K", "ſ", ";x", "A.B,C"]
+    library = Tokenizer.from_file(WORDS)
+    encoder = token_files.WordEncoder(WORDS)
+    assert encoder.shares
+    for special in (True, False):
+        some = [p for p in parts if special or "<" not in p]
+        texts = ["".join(random.choices(some, k=random.randrange(0, 30))) for _ in range(400)]
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        ids, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        ends = np.cumsum(counts)
+        got = [ids[a:b].tolist() for a, b in zip(np.concatenate([[0], ends]), ends)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
