@@ -21,6 +21,7 @@ are not read.
 from __future__ import annotations
 
 import struct
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from slicelake.llm import files
 from slicelake.llm.byte_bpe import IdStore, Pieces
 from slicelake.llm.common import column, slices, stored, texts_of
-from slicelake.llm.token_counts import quiet_tokenizer
+from slicelake.llm.token_counts import quiet_tokenizer, word_tokenizer
 from slicelake.session import work_dir
 
 MAGIC = b"TOKIDS1\n"
@@ -63,11 +64,30 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+# what a tokenizer file must say, so that words may be lower-cased and cut between a letter and a point
+SPLIT, LOWER = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", '"Lowercase"'
+POINT, LETTER, CAPITAL = (np.isin(np.arange(256), list(x)) for x in (b",.;:!?", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def shared_words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with the same tokens but fewer distinct words: A-Z lower-cased, a blank between a letter and a point.
+
+    A capital before a character beyond ASCII stays, as that may be a mark that joins it; all stay where a special string may be.
+    """
+    after = np.append(text[1:], 0)
+    special = ((text == ord("<")) & (after == ord("|"))).any()
+    text = text if special else np.where(CAPITAL[text] & (after < 128), text | 32, text).astype(np.uint8)
+    places = np.flatnonzero(POINT[text[1:]] & LETTER[text[:-1]]) + 1
+    return np.insert(text, places, ord(" ")), offsets + np.searchsorted(places, offsets)
+
+
 class WordEncoder:
     """The library's ids, asked once for each distinct word."""
 
     def __init__(self, path: str):
-        self.tokenizer = quiet_tokenizer(path)
+        self.tokenizer = word_tokenizer(path)
+        file = self.tokenizer.to_str()
+        self.shares = SPLIT in file and LOWER in file
         self._forget()
 
     def _forget(self) -> None:
@@ -75,11 +95,13 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts between the offsets, and the number of ids of each."""
-        raw = data[offsets[0] : offsets[-1]].tobytes()
-        cuts = (offsets - offsets[0]).tolist()
+        text, cuts = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if self.shares and len(text):
+            text, cuts = shared_words(text, cuts)
+        raw, cuts = text.tobytes(), cuts.tolist()
         words = [raw[a:b].split() for a, b in zip(cuts, cuts[1:])]     # bytes split at ASCII white space
         per_text = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter((self.words[w] for some in words for w in some), np.int64, int(per_text.sum()))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
         for part in range(0, len(self.words.new), 4096):
             some = [w.decode() for w in self.words.new[part : part + 4096]]
             done = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
