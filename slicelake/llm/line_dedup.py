@@ -5,7 +5,7 @@ least ``min_chars`` code points that ``min_documents`` or more documents hold ke
 smallest document id only.
 
 Only hashes, ids and positions are shuffled by key; hot keys are combined before the shuffle
-and their join side is split by AQE. Texts move once, by document.
+and their join side is split by AQE. Texts move once, by document, in one copy.
 
 Defined cases: a NULL or empty text is one empty line. Rows with equal ids are one document. NULL ids
 together are one document, the last in order. An empty table gives an empty result. Extra columns
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slicelake.llm.common import SPACES, column, hash128, let, whole_row
+from slicelake.llm.common import SPACES, column, hash128, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,12 +35,14 @@ def mark_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 10, min_documents: int = 2
 ) -> DataFrame:
     """``row`` (the document), ``n_lines``, ``n_dropped`` and ``kept`` (the text that stays)."""
-    base = docs.select(
-        whole_row(docs), column(id).alias("doc"), F.coalesce(column(text), F.lit("")).alias("text")
-    ).withColumn("version", F.xxhash64("text"))
+    # columns go by place, whatever their names, so that the text is in a row once; ``row`` is put together at the end
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    place = {name.lower(): at for name, at in zip(docs.columns, places)} | dict(zip(docs.columns, places))
+    doc, whole = F.col(place.get(id) or place[id.lower()]), F.coalesce(place.get(text) or place[text.lower()], F.lit(""))
+    base = docs.select(*[column(c).alias(at) for c, at in zip(docs.columns, places)]).withColumn("version", F.xxhash64(whole))
     # a row is found again by its id and its text: equal rows have equal lines
     lines = (
-        base.select("doc", "version", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        base.select(doc.alias("doc"), "version", F.posexplode(_lines(whole)).alias("pos", "line"))
         .withColumn("line", line_key(F.col("line")))
         .where(F.length("line") >= min_chars)
         .select("doc", "version", "pos", hash128(F.col("line")).alias("key"))
@@ -59,7 +61,8 @@ def mark_lines(
         .agg(F.collect_set("pos").alias("drop"))  # at most the lines of one document
         .select(F.col("doc").alias("d"), F.col("version").alias("v"), "drop")
     )
-    joined = base.join(drops, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    joined = base.join(drops, doc.eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    row = F.struct(*[F.col(at).alias(c) for c, at in zip(docs.columns, places)]).alias("row")
     everything = F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1)
     kept = let(
         _lines(F.col("text")),
@@ -68,7 +71,8 @@ def mark_lines(
         ),
     )
     return (
-        joined.withColumn("n_lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint"))
+        joined.select(row, whole.alias("text"), "drop")
+        .withColumn("n_lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint"))
         .withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("bigint"))
         .select("row", "n_lines", "n_dropped", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"))
     )

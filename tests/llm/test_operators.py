@@ -84,6 +84,18 @@ def test_line_dedup(documents):
     assert line_dedup.drop_repeated_lines(documents([])).count() == 0
 
 
+def test_line_dedup_ships_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "a line of words\nmore of them"), (2, "A line of words "), (3, None)], "Doc bigint, Body string")
+    marked = line_dedup.mark_lines(docs, "doc", "body")
+    left = {r["Doc"]: (r["Body"], r["kept"]) for r in marked.select("row.*", "kept").collect()}
+    assert left == {1: ("a line of words\nmore of them",) * 2, 2: ("A line of words ", ""), 3: (None, "")}
+    plan = marked.select("row.Doc", "kept")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    carried = [plan.left().output().apply(i).dataType().simpleString() for i in range(plan.left().output().size())]
+    assert sorted(carried) == ["bigint", "bigint", "string"]      # id, hash of the text, text
+
+
 @pytest.fixture(scope="module")
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
