@@ -10,15 +10,31 @@ from slicelake.functions import names
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def header_diff(header: Column, expected: Column) -> Column:
-    """struct(missing, unknown): names compared without regard to case."""
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _compared(header: Column, expected: Column, body) -> Column:
+    """``body`` of a struct with both lists and their folded names (``folded``, ``wanted``)."""
     fold = lambda names_: F.transform(names_, names.fold)
+    return _let(header, lambda h: _let(expected, lambda e: _let(
+        F.struct(h.alias("header"), e.alias("expected"), fold(h).alias("folded"), fold(e).alias("wanted")), body
+    )))
+
+
+def _diff(lists: Column) -> Column:
     return F.struct(
-        F.filter(expected, lambda e: ~F.array_contains(fold(header), names.fold(e))).alias("missing"),
-        F.filter(header, lambda h: ~F.array_contains(fold(expected), names.fold(h))).alias("unknown"),
+        F.filter(lists["expected"], lambda e, i: ~F.array_contains(lists["folded"], F.get(lists["wanted"], i))).alias("missing"),
+        F.filter(lists["header"], lambda h, i: ~F.array_contains(lists["wanted"], F.get(lists["folded"], i))).alias("unknown"),
     )
 
 
+def header_diff(header: Column, expected: Column) -> Column:
+    """struct(missing, unknown): names compared without regard to case."""
+    return _compared(header, expected, _diff)
+
+
 def first_repeat(folded: Column) -> Column:
     """1-based position of the first name that occurred before, NULL if none."""
     return F.get(
@@ -31,28 +47,34 @@ def first_repeat(folded: Column) -> Column:
 
 
 def header_findings(headers: DataFrame, expected: Column) -> DataFrame:
-    """Loader headers (``file``, ``header``): repeated names, else missing and unknown ones."""
-    folded = F.transform("header", names.fold)
-    diff = header_diff(F.col("header"), expected)
-    checked = headers.withColumns({"_repeat": first_repeat(folded), "_diff": diff})
-    earlier = F.array_position(folded, F.try_element_at(folded, F.col("_repeat"))).cast("int")
-    listed = lambda label, part: F.when(
-        F.size(F.col(f"_diff.{part}")) > 0, F.concat(F.lit(label), F.array_join(f"_diff.{part}", ", "))
-    )
-    details = F.concat_ws("; ", listed("missing: ", "missing"), listed("unknown: ", "unknown"))
-    message = F.when(
-        F.col("_repeat").isNotNull(),
-        F.concat(
+    """Loader headers (``file``, ``header``): repeated names, else missing and unknown ones.
+
+    Names are folded once for each header.
+    """
+    listed = lambda label, part: F.when(F.size(part) > 0, F.concat(F.lit(label), F.array_join(part, ", ")))
+
+    def repeated(lists: Column, at: Column) -> Column:
+        earlier = F.array_position(lists["folded"], F.try_element_at(lists["folded"], at)).cast("int")
+        return F.concat(
             F.lit("CSV has duplicate column names when compared case-insensitively: "),
-            F.try_element_at(F.col("header"), earlier),
+            F.try_element_at(lists["header"], earlier),
             F.lit(", "),
-            F.try_element_at(F.col("header"), F.col("_repeat")),
+            F.try_element_at(lists["header"], at),
             F.lit("."),
-        ),
-    ).when(
-        details != "", F.concat(F.lit("CSV columns do not match target table ("), details, F.lit(")."))
+        )
+
+    def different(lists: Column) -> Column:
+        details = _let(_diff(lists), lambda d: F.concat_ws("; ", listed("missing: ", d["missing"]), listed("unknown: ", d["unknown"])))
+        text = lambda d: F.when(d != "", F.concat(F.lit("CSV columns do not match target table ("), d, F.lit(").")))
+        return _let(details, text)
+
+    message = _compared(
+        F.col("header"), expected,
+        lambda lists: _let(first_repeat(lists["folded"]), lambda at: F.when(at.isNotNull(), repeated(lists, at)).otherwise(different(lists))),
     )
-    return checked.withColumn("message", message).where(F.col("message").isNotNull()).select("file", "message")
+    # a generated column: a filter on it is not worked out a second time before it
+    found = headers.select("file", F.explode(F.array(message)).alias("message"))
+    return found.where(F.col("message").isNotNull())
 
 
 def import_header_findings(headers: DataFrame) -> DataFrame:

@@ -68,6 +68,20 @@ def test_header_findings(spark, tmp_path):
     }
 
 
+def test_headers_are_folded_once(spark):
+    headers = spark.createDataFrame(
+        [(1, ["ID", "n"]), (2, ["id", "Id"]), (3, ["name", "iD"]), (4, None), (5, []), (6, ["id", None, "name"])], "file int, header array<string>"
+    )
+    found = quality.header_findings(headers, F.array(F.lit("id"), F.lit("Name")))
+    assert {r["file"]: r["message"] for r in found.collect()} == {
+        1: "CSV columns do not match target table (missing: Name; unknown: n).",
+        2: "CSV has duplicate column names when compared case-insensitively: id, Id.",
+        5: "CSV columns do not match target table (missing: id, Name).",
+    }
+    # the header's names and the expected ones
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
+
+
 def test_row_arity(spark, tmp_path):
     path = put(tmp_path, "a.csv", 'a,b,c\n1,2,3\n1,2\n1,2,3,4\n1,"x,""y""",3\n1,2,3,\n"p\nq",2,3,4\n,,\n')
     rows = csvfiles.with_row_numbers(csvfiles.read_import_csv(spark, path, ["a", "b", "c"]))
