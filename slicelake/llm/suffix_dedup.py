@@ -17,6 +17,8 @@ A suffix is compared with ``NEIGHBOURS`` suffixes on either side. Those further
 as the last one compared, but may share more to the left. So where more follow, every window of ``MIN_WORDS`` words
 round the place that could still be shared and lies outside what was found is looked up by its hash among the windows of all
 documents: no match is lost to the number of neighbours, and a window that many documents hold is one row after map-side combine.
+A window is looked up at one place only, the least of its first ``WINDOW`` n-grams (the leftmost of equal ones), which is the same
+place in every document that holds the window.
 
 Defined cases: words are compared with A-Z lower-cased; NULL texts have none. NULL ids count as one document.
 Repeated rows with one id are no repeat (a passage must occur in two documents). Empty tables give empty
@@ -25,13 +27,15 @@ results. Extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate, chain
 from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from slicelake.llm.common import bitmap, column, marked, stored
+from slicelake.llm.common import bitmap, column, marked, slices, stored
 from slicelake.llm.byte_bpe import Pieces
 
 MIN_WORDS, GRAM, WINDOW = 50, 10, 36
@@ -39,20 +43,23 @@ RUN = MIN_WORDS - WINDOW + 1      # words behind the first place of a passage
 LEFT, RIGHT = WINDOW, MIN_WORDS    # a passage's first place lies WINDOW - 1 words behind its start at most
 NEIGHBOURS = 8                    # suffixes compared directly on either side; the rest by window hashes
 MAX_WORDS = 1_000_000             # distinct words whose hashes a worker remembers
+CHUNK = 300_000                   # characters of texts that are cut in one pass, or one longer text
 SALTS = 64                        # parts into which the rows of one place are dealt when results are joined back
 
 
 class Places:
-    """Words of a text, the chosen places, and the hash of the RUN words behind each."""
+    """Words of texts, the chosen places, and the hash of the RUN words behind each."""
 
     def __init__(self):
         self.cache, self.hashes = Pieces(), np.zeros(1 << 14, np.uint64)
 
-    def of(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def of(self, texts: list[str]) -> tuple[list[list[bytes]], "Found"]:
+        """All texts in one pass: their words one after the other, windows over the end of a text left out."""
         import xxhash
 
-        words = text.encode().lower().split()
-        numbers = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        words = [t.encode().lower().split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
         if self.cache.new:
             if len(self.cache) > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.zeros(2 * len(self.cache), np.uint64)])
@@ -62,16 +69,49 @@ class Places:
         h = self.hashes[numbers]
         if len(self.cache) > MAX_WORDS:
             self.cache = Pieces()
-        none = np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
         if len(h) < MIN_WORDS:
-            return words, none, none
+            none = np.zeros(0, np.int64)
+            return words, Found(none, none, none, ends, np.zeros(0, np.uint64))
         grams = rolled(h, GRAM)
         # a place is chosen if it is the least of any window it lies in (equal hashes all are)
         least = sliding(grams, np.minimum)
+        left = np.repeat(np.where(sizes < MIN_WORDS, 0, ends), sizes) - np.arange(len(h))
+        least[left[: len(least)] < WINDOW + GRAM - 1] = 0
         edge = np.zeros(WINDOW - 1, np.uint64)
         at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), np.maximum) == grams)
-        at = at[at + RUN <= len(h)]
-        return words, at, rolled(h, RUN)[at].view(np.int64)
+        at = at[left[at] >= RUN]
+        return words, Found(np.searchsorted(ends, at, "right"), at, rolled(h, RUN, at).view(np.int64), ends, grams)
+
+
+class Found:
+    """The places of some texts: ``text`` (its number), ``at`` (in the words of all), ``hashes``."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, hashes: np.ndarray, ends: np.ndarray, grams: np.ndarray):
+        self.text, self.at, self.hashes, self.ends, self.grams = text, at, hashes, ends, grams
+
+    def inside(self, some: np.ndarray) -> np.ndarray:
+        """The place in its text."""
+        return self.at[some] - np.where(self.text[some] > 0, self.ends[self.text[some] - 1], 0)
+
+    def spans(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most words before the place in those windows of which it is the first least n-gram among the first WINDOW."""
+        at, own = self.at[some], self.grams[self.at[some]]
+        start, last = at - self.inside(some), self.ends[self.text[some]] - GRAM
+        before, behind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for far in range(1, WINDOW):
+            more = (before == far - 1) & (at - far >= start)
+            before += more & (self.grams[np.where(more, at - far, 0)] > own)
+            more = (behind == far - 1) & (at + far <= last)
+            behind += more & (self.grams[np.where(more, at + far, 0)] >= own)
+        return WINDOW - 1 - behind, before
+
+
+def chunks(column) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow column, those of some CHUNK characters at a time, and the number of the first."""
+    texts = [t or "" for t in column.to_pylist()]
+    for part in slices(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK):
+        yield part.start, texts[part]
 
 
 def sliding(values: np.ndarray, best) -> np.ndarray:
@@ -83,11 +123,12 @@ def sliding(values: np.ndarray, best) -> np.ndarray:
     return best(values[: len(values) - rest], values[rest:])
 
 
-def rolled(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every ``width`` neighbouring values."""
-    out = np.zeros(len(h) - width + 1, np.uint64)
+def rolled(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of every ``width`` neighbouring values, or of those that begin ``at`` some places."""
+    out = np.zeros(len(h) - width + 1 if at is None else len(at), np.uint64)
     for k in range(width):
-        out = (out ^ h[k : len(h) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= h[k : len(h) - width + 1 + k] if at is None else h[at + k]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
@@ -108,9 +149,10 @@ def repeated_runs(staged: DataFrame) -> DataFrame:
     def run(batches):
         cut = places()
         for batch in batches:
-            found = [np.unique(cut.of(t.as_py() or "")[2]) for t in batch.column("text")]
-            docs = batch.column("doc").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), docs], names=["hash", "doc"])
+            for first, texts in chunks(batch.column("text")):
+                found = cut.of(texts)[1]
+                docs = batch.column("doc").take(pa.array(first + found.text))
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes), docs], names=["hash", "doc"])
 
     held = staged.mapInArrow(run, "hash bigint, doc bigint")
     sides = held.groupBy("hash").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count_if(F.col("doc").isNull()).alias("z"))
@@ -118,34 +160,35 @@ def repeated_runs(staged: DataFrame) -> DataFrame:
 
 
 def suffixes(staged: DataFrame, runs: DataFrame) -> DataFrame:
-    """``hash``, ``suffix``, ``before`` (nearest word first), ``doc``, ``at`` of the places whose run may repeat.
+    """``hash``, ``suffix``, ``before`` (nearest word first), ``doc``, ``at``, ``least``, ``most`` of the places whose run may repeat.
 
-    Every word ends in a blank, so sorting puts those that begin with the same words next to each other.
+    ``least`` and ``most`` are the words before the place in the windows that are looked up there, if they are. Every word ends in a blank, so sorting puts those that begin with the same words next to each other.
     """
     import pyarrow as pa
 
     bits = bitmap(runs)
-    shape = pa.schema([("hash", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("doc", pa.int64()), ("at", pa.int64())])
+    shape = pa.schema([("hash", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("least", pa.int8()), ("most", pa.int8())])
 
     def run(batches):
         cut, filter_ = places(), bits.value
         for batch in batches:
-            columns: dict = {name: [] for name in shape.names}
-            for doc, t in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                words, at, hashes = cut.of(t.as_py() or "")
-                chosen = marked(hashes, filter_)
-                starts = at[chosen].tolist()
-                columns["hash"] += hashes[chosen].tolist()
-                columns["suffix"] += [b" ".join([*words[p : p + RIGHT], b""]) for p in starts]
-                columns["before"] += [b" ".join([*words[max(0, p - LEFT) : p][::-1], b""]) for p in starts]
-                columns["doc"] += [doc] * len(starts)
-                columns["at"] += starts
-                if len(columns["at"]) >= 20_000:
-                    yield pa.RecordBatch.from_pydict(columns, shape)
-                    columns = {name: [] for name in shape.names}
-            yield pa.RecordBatch.from_pydict(columns, shape)
-
-    return staged.mapInArrow(run, "hash bigint, suffix binary, before binary, doc bigint, at bigint")
+            for first, texts in chunks(batch.column("text")):
+                words, found = cut.of(texts)
+                chosen = marked(found.hashes, filter_)
+                text, starts = found.text[chosen], found.inside(chosen)
+                suffix, before = [], []
+                for n, p in zip(text.tolist(), starts.tolist()):
+                    own = words[n]
+                    suffix.append(b" ".join([*own[p : p + RIGHT], b""]))
+                    before.append(b" ".join([*own[max(0, p - LEFT) : p][::-1], b""]))
+                least, most = found.spans(chosen)
+                docs = batch.column("doc").take(pa.array(first + text))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.hashes[chosen]), pa.array(suffix, pa.binary()), pa.array(before, pa.binary()), docs, pa.array(starts),
+                     pa.array(least, pa.int8()), pa.array(most, pa.int8())], schema=shape,
+                )
+
+    return staged.mapInArrow(run, "hash bigint, suffix binary, before binary, doc bigint, at bigint, least tinyint, most tinyint")
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
@@ -196,24 +239,27 @@ def compare(rows: list[dict], own: range) -> list[dict]:
         if other:
             out.append(found | {"before": before, "behind": behind, "x": other["x"], "y": other["y"]})
         if bound and (before < len(left[i]) or behind < len(right[i])):
-            for k in range(max(0, MIN_WORDS - bound), min(WINDOW - 1, len(left[i])) + 1):
+            for k, window in windows(left[i], right[i], max(row["least"], MIN_WORDS - bound), row["most"]):
                 if k > before or MIN_WORDS - k > behind:
-                    words = left[i][:k][::-1] + right[i][: MIN_WORDS - k]
-                    out.append(found | {"before": k, "behind": MIN_WORDS - k, "x": row["x"], "window": window_hash(words)})
+                    out.append(found | {"before": k, "behind": MIN_WORDS - k, "x": row["x"], "window": window})
     return out
 
 
-def window_hash(words: list[bytes]) -> int:
+def windows(left: list[bytes], right: list[bytes], least: int, most: int) -> list[tuple[int, int]]:
+    """(words before the place, hash) of the windows of MIN_WORDS words with ``least`` to ``most`` words before the place."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+    words = [*left[::-1], *right]
+    text, at = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+    starts = ((k, len(left) - k) for k in range(max(least, MIN_WORDS - len(right)), min(most, len(left)) + 1))
+    return [(k, xxhash.xxh3_64_intdigest(text[at[a] : at[a + MIN_WORDS] - 1]) - (1 << 63)) for k, a in starts]
 
 
 def shared_windows(array: DataFrame, wanted: DataFrame) -> DataFrame:
     """``hash``, ``place``, ``salts``, ``before``, ``behind``, ``x``, ``y`` of the ``wanted`` windows that another document has, too."""
     import pyarrow as pa
 
-    places_, windows = bitmap(wanted.select("hash")), bitmap(wanted.select(F.col("window").alias("hash")))
+    places_, sought = bitmap(wanted.select("hash")), bitmap(wanted.select(F.col("window").alias("hash")))
     shape = pa.schema([("window", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("many", pa.bool_())])
 
     def run(batches):
@@ -222,20 +268,21 @@ def shared_windows(array: DataFrame, wanted: DataFrame) -> DataFrame:
             for some in np.array_split(chosen, max(1, len(chosen) // 500)):      # at most 18,000 windows or so a time
                 part = batch.take(pa.array(some))
                 hashes, owner = [], []
-                for n, (suffix, left) in enumerate(zip(part.column("suffix").to_pylist(), part.column("left").to_pylist())):
-                    lead, words = left.split(b" ")[:-1][::-1], suffix.split(b" ")[:-1]
-                    for k in range(max(0, MIN_WORDS - len(words)), min(WINDOW - 1, len(lead)) + 1):
-                        hashes.append(window_hash(lead[len(lead) - k :] + words[: MIN_WORDS - k]))
-                        owner.append(n)
+                rows = zip(*(part.column(c).to_pylist() for c in ("left", "suffix", "least", "most")))
+                for n, (left, suffix, least, most) in enumerate(rows):
+                    found = windows(left.split(b" ")[:-1], suffix.split(b" ")[:-1], least, most)
+                    hashes += [window for _, window in found]
+                    owner += [n] * len(found)
                 held = np.array(hashes, np.int64)
-                at = marked(held, windows.value)
+                at = marked(held, sought.value)
                 own = part.select(["x", "y", "many"]).take(pa.array(np.array(owner, np.int64)[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(held[at]), *own.columns], schema=shape)
 
     kinds = "window bigint, x bigint, y bigint, many boolean"
-    held = array.select("hash", "suffix", "left", "x", "y", "many").mapInArrow(run, kinds)
+    held = array.select("hash", "suffix", "left", "least", "most", "x", "y", "many").mapInArrow(run, kinds)
     two = held.groupBy("window").agg(*documents_of(F.min("x"), F.max("y"), F.count_if(F.col("x").isNull()), F.max("many"))).where("many")
-    return wanted.drop("x", "y").join(two, "window").select("hash", "place", "salts", "before", "behind", "x", "y")
+    found = wanted.select("hash", "place", "salts", "before", "window").join(two, "window")
+    return found.select("hash", "place", "salts", "before", (MIN_WORDS - F.col("before")).alias("behind"), "x", "y")
 
 
 def documents_of(x, y, without_id, *many) -> list:
@@ -259,11 +306,14 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     # the parts that hold rows of the place, as bits: a place of few rows is not copied to all parts
     salt = F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")
     salts = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), salt)).alias("salts")
-    array = stored(alike.agg(*documents_of(F.min("doc"), F.max("doc"), F.count_if(F.col("doc").isNull())), salts), "array")
+    holders = documents_of(F.min("doc"), F.max("doc"), F.count_if(F.col("doc").isNull()))
+    # the same for all rows of a place
+    span = [F.max(c).cast("bigint").alias(c) for c in ("least", "most")]
+    array = stored(alike.agg(*holders, salts, *span), "array")
     order = ["hash", "suffix", "left"]
-    kinds = "hash bigint, place bigint, before bigint, behind bigint, x bigint, y bigint, window bigint, salts bigint, suffix binary, left binary, many boolean"
+    kinds = "hash bigint, place bigint, before bigint, behind bigint, x bigint, y bigint, window bigint, salts bigint, least bigint, most bigint, suffix binary, left binary, many boolean"
     shape = pa.schema(
-        [(n, pa.int64()) for n in ("hash", "place", "before", "behind", "x", "y", "window", "salts")]
+        [(n, pa.int64()) for n in ("hash", "place", "before", "behind", "x", "y", "window", "salts", "least", "most")]
         + [("suffix", pa.binary()), ("left", pa.binary()), ("many", pa.bool_())]
     )
     near = 2 * NEIGHBOURS
@@ -289,7 +339,7 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     compared = stored(sorted_.mapInArrow(run, kinds), "matches")
     # a few rows of each range, so as many as there are ranges
     edges = compared.where("suffix IS NOT NULL").distinct().repartition(1).sortWithinPartitions(*order)
-    compared = compared.where("suffix IS NULL").union(stored(edges.mapInArrow(again, kinds), "edges")).drop("suffix", "left", "many")
+    compared = compared.where("suffix IS NULL").union(stored(edges.mapInArrow(again, kinds), "edges")).drop("suffix", "left", "many", "least", "most")
     direct = compared.where("window IS NULL").drop("window")
     shares = direct.unionByName(shared_windows(array, compared.where("window IS NOT NULL")))
     widest = shares.groupBy("hash", "place").agg(

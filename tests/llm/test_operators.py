@@ -374,6 +374,23 @@ def test_repeats_beyond_the_neighbours(documents):
     assert all(r["doc"] != r["other"] for r in found) and len(found) > 250
 
 
+def test_every_window_is_looked_up_at_one_place():
+    """Also in texts of equal words, and whatever texts are cut in the same pass."""
+    random.seed(5)
+    texts = [" ".join(random.choices("abcdefgh", k=n)) for n in (700, 49, 0, 50, 3, 300)] + ["x " * 120, "a b c " * 40]
+    cut = suffix_dedup.Places()
+    split, found = cut.of(texts)
+    least, most = found.spans(np.arange(len(found.at)))
+    inside = found.inside(np.arange(len(found.at)))
+    seen = [(n, p - k) for n, p, a, b in zip(found.text, inside, least, most) for k in range(a, b + 1)]
+    seen = sorted((n, s) for n, s in seen if 0 <= s <= len(split[n]) - 50)
+    assert seen == [(n, s) for n, w in enumerate(split) for s in range(len(w) - 49)]
+    for n, t in enumerate(texts):
+        alone = cut.of([t])[1]
+        assert alone.at.tolist() == inside[found.text == n].tolist()
+        assert alone.hashes.tolist() == found.hashes[found.text == n].tolist()
+
+
 def test_byte_bpe_with_ids_above_16_bits(tmp_path):
     """All pairs of bytes and some longer tokens: more ids than 16 bits hold."""
     random.seed(12)
