@@ -40,7 +40,8 @@ def write_objects(rows: DataFrame, path: str, columns: list[str]) -> int:
                     stream.write((",".join(columns) + "\n").encode())
                     done.append(name)
                 stream.write(part[columns].to_csv(header=False, index=False).encode())
-            yield pd.DataFrame({"path": done})
+            if done:      # none if an object goes on through the whole batch; Spark takes no frame without rows
+                yield pd.DataFrame({"path": done})
         if stream is not None:
             stream.close()
 

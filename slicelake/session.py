@@ -17,6 +17,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+# Tasks that list the paths of a read: Spark takes up to 10,000 of a path or two, which cost more than their listing.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,6 +43,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (UTC, ANSI, AQE) on an existing session."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    spark.conf.set(LISTING, str(max(64, 4 * spark.sparkContext.defaultParallelism)))
     ship(spark)
     return spark
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slicelake.operators import lifecycle, metrics, ordering
 from slicelake.operators.lifecycle import SOURCE
+from slicelake.sources import records
 from slicelake.streaming.state import lifecycle_stream
 from test_lifecycle import EVENT, history
 
@@ -63,3 +64,31 @@ def test_streamed_rates(spark, tmp_path, rows):
     want = rows(metrics.event_rates(frame, "1 hour"))
     got = rows(spark.table("rates"))
     assert set(got) <= set(want) and len(got) >= len(want) - 2  # the last window is still open
+
+
+def test_an_object_may_fill_whole_batches(spark, tmp_path):
+    """Batches of 10,000 rows: the second and the last begin no object."""
+    from slicelake.plans.streams import write_objects
+
+    path = f"{tmp_path}/objects/long.csv"
+    rows = spark.range(25_000).select(F.lit(path).alias("path"), F.col("id").cast("string").alias("a"))
+    assert write_objects(rows, "path", ["a"]) == 1
+    with open(path) as file:
+        assert sorted(file.read().split()) == sorted(["a", *map(str, range(25_000))])
+
+
+def test_paths_are_listed_by_few_tasks(spark, tmp_path):
+    """Not by one task for each, of which an ingest of many objects had 10,000 for every read."""
+    paths = [f"{tmp_path}/{i}.csv" for i in range(150)]
+    for path in paths:
+        with open(path, "w") as file:
+            file.write("a\n1\n")
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        assert records.path_table(spark, paths).count() == 150
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = spark.sparkContext.statusTracker()
+    stages = [s for job in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(job).stageIds]
+    tasks = [seen.getStageInfo(s).numTasks for s in stages if seen.getStageInfo(s)]
+    assert len(tasks) > 1 and max(tasks) <= 64
