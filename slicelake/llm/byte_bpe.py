@@ -60,11 +60,14 @@ class IdStore:
         return np.concatenate([array, np.zeros(max(needed, 2 * len(array)) - len(array), array.dtype)])
 
     def add(self, rows: list[np.ndarray]) -> None:
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        total, n = int(lengths.sum()), len(rows)
+        self.extend(np.concatenate(rows) if rows else np.zeros(0, np.int32), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add rows that follow each other in ``ids``."""
+        total, n = len(ids), len(lengths)
         self.flat = self._room(self.flat, self.used + total)
         self.starts, self.lengths = self._room(self.starts, self.count + n), self._room(self.lengths, self.count + n)
-        self.flat[self.used : self.used + total] = np.concatenate(rows) if n else 0
+        self.flat[self.used : self.used + total] = ids
         self.starts[self.count : self.count + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[self.count : self.count + n] = lengths
         self.used, self.count = self.used + total, self.count + n

@@ -10,7 +10,7 @@ bytes. A file holds a range of document ids in ascending order, the files togeth
 The ranks (one number for each id of the vocabulary) are a file of their own.
 
 Texts are encoded once, word by word: white space separates words whose tokens do not depend on each
-other, so each worker asks the library for words it has not seen. Only ids are shuffled, by ranges of document id.
+other, so each worker asks the library for words it has not seen; words of small letters only are asked many in one call. Only ids are shuffled, by ranges of document id.
 What passes the driver is bounded by the vocabulary; file names stay in a manifest table.
 
 Defined cases: NULL counts as empty (only the end id). NULL ids come first; rows with equal ids
@@ -20,15 +20,18 @@ are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
-from itertools import chain
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slicelake.llm import files
-from slicelake.llm.byte_bpe import IdStore, Pieces
+from slicelake.llm.byte_bpe import IdStore, gather
 from slicelake.llm.common import column, slices, stored, texts_of
 from slicelake.llm.token_counts import quiet_tokenizer, word_tokenizer
 from slicelake.session import work_dir
@@ -38,6 +41,7 @@ HEADER = "<8s5q"
 BLOCK_TOKENS = 1 << 20
 RUN_BYTES = 4 << 20       # text bytes cut into words at once; a longer text is one run
 MAX_WORDS = 1_000_000     # distinct words a worker remembers
+ASKED = 1024              # words the library is asked at once
 
 LENGTHS = np.array([[(control >> 2 * i & 3) + 1 for i in range(4)] for control in range(256)], np.int64)
 
@@ -66,7 +70,18 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 # what a tokenizer file must say, so that words may be lower-cased and cut between a letter and a point
 SPLIT, LOWER = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", '"Lowercase"'
-POINT, LETTER, CAPITAL = (np.isin(np.arange(256), list(x)) for x in (b",.;:!?", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+CAPITAL = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+LETTER, POINT = 1, 2      # the sum tells that one is beside the other
+KIND = sum(kind * np.isin(np.arange(256), list(x)) for kind, x in ((LETTER, b"abcdefghijklmnopqrstuvwxyz"), (POINT, b",.;:!?"))).astype(np.uint8)
+LATIN, SIGNS = 0xC3, (0x97, 0xB7)     # first byte of U+00C0 to U+00FF, and second bytes of those that are no letters
+
+# what it must say besides, so that the model alone gives the ids of words of small letters
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|" + SPLIT.replace("\\\\", "\\")}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u044f]+")      # Latin and Cyrillic
 
 
 def shared_words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +92,33 @@ def shared_words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     after = np.append(text[1:], 0)
     special = ((text == ord("<")) & (after == ord("|"))).any()
     text = text if special else np.where(CAPITAL[text] & (after < 128), text | 32, text).astype(np.uint8)
-    places = np.flatnonzero(POINT[text[1:]] & LETTER[text[:-1]]) + 1
+    kind = KIND[text]
+    latin = np.flatnonzero(text == LATIN)
+    latin = latin[~np.isin(text[latin + 1], SIGNS)]
+    kind[latin] = kind[latin + 1] = LETTER
+    places = np.flatnonzero(kind[1:] + kind[:-1] == LETTER + POINT) + 1
     return np.insert(text, places, ord(" ")), offsets + np.searchsorted(places, offsets)
 
 
+def plain_tokenizer(tokenizer):
+    """The same model without the steps that leave words of ``PLAIN`` as they are, and the ids words end with; None if the file has other steps."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    file = json.loads(tokenizer.to_str())
+    model, suffix = file["model"], file["model"].get("end_of_word_suffix")
+    steps = [(file[part] or {}).get(part + "s" if part == "normalizer" else "pretokenizers") for part in ("normalizer", "pre_tokenizer")]
+    known = steps == [NORMALIZERS, PRETOKENIZERS] and model["type"] == "BPE" and suffix and not model.get("dropout")
+    if not known or file["post_processor"] or any(PLAIN.fullmatch(t["content"]) for t in file["added_tokens"]):
+        return None
+    plain = Tokenizer(tokenizer.model)
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), level])
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return plain, last
+
+
 class WordEncoder:
     """The library's ids, asked once for each distinct word."""
 
@@ -88,25 +126,56 @@ class WordEncoder:
         self.tokenizer = word_tokenizer(path)
         file = self.tokenizer.to_str()
         self.shares = SPLIT in file and LOWER in file
+        self.plain = plain_tokenizer(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.store = Pieces(), IdStore()
+        self.words: dict[str, int] = {}
+        self.store = IdStore()
+
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of these words, one after the other, and the number of ids of each."""
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)] if self.plain else []
+        others = sorted(set(range(len(words))).difference(plain))
+        done = self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)
+        ids = [np.array(e.ids, np.int32) for e in done]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        if plain:
+            tokenizer, last = self.plain
+            joined = tokenizer.encode_batch_fast([" ".join([words[i] for i in plain])], add_special_tokens=False)[0]
+            ids.insert(0, np.array(joined.ids, np.int32))
+            ends = np.flatnonzero(last[ids[0]]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the ids of a word do not end where it ends")
+            lengths = np.concatenate([np.diff(ends, prepend=0), lengths])
+        order = np.argsort(plain + others)
+        starts = np.cumsum(lengths) - lengths
+        return gather(np.concatenate(ids), starts[order], lengths[order]), lengths[order]
+
+    def _numbers(self, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, and how many words each text has. Arrow finds the distinct words of a run."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(text)])
+        split = pc.ascii_split_whitespace(texts)     # may give words of no length, which have no ids
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(numbers < 0)
+        numbers[fresh] = np.arange(len(self.words), len(self.words) + len(fresh))
+        new = distinct[fresh].tolist()
+        self.words.update(zip(new, numbers[fresh].tolist()))
+        for part in range(0, len(new), ASKED):
+            self.store.extend(*self.ask(new[part : part + ASKED]))
+        return numbers[coded.indices.to_numpy()], np.diff(split.offsets.to_numpy())
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts between the offsets, and the number of ids of each."""
         text, cuts = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         if self.shares and len(text):
             text, cuts = shared_words(text, cuts)
-        raw, cuts = text.tobytes(), cuts.tolist()
-        words = [raw[a:b].split() for a, b in zip(cuts, cuts[1:])]     # bytes split at ASCII white space
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
-        for part in range(0, len(self.words.new), 4096):
-            some = [w.decode() for w in self.words.new[part : part + 4096]]
-            done = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.store.add([np.array(e.ids, np.int32) for e in done])
-        self.words.new.clear()
+        numbers, per_text = self._numbers(text, cuts)
         ends = np.concatenate([[0], np.cumsum(self.store.lengths[numbers])])
         ids = self.store.of(numbers)
         if len(self.words) > MAX_WORDS:
@@ -124,14 +193,18 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc`` and ``ids``: little-endian 16-bit numbers where the vocabulary allows, else 32-bit."""
+    """``doc`` and ``ids``: little-endian 16-bit numbers where the vocabulary allows, else 32-bit.
+
+    One more row for each task has only ``tally``: how often each id of the vocabulary occurs in its rows, as 64-bit numbers.
+    """
     import pyarrow as pa
 
-    wide = _width(path, end_id)
+    wide, vocabulary = _width(path, end_id), _vocabulary(path, end_id)
     staged = docs.select(column(id).cast("bigint").alias("doc"), column(text).alias("text"))
 
     def run(batches):
-        encoder = _encoder(path)
+        encoder, tally = _encoder(path), np.zeros(vocabulary, np.int64)
+        names = ["doc", "ids", "tally"]
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             cells = []
@@ -139,30 +212,38 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", text
                 ids, counts = encoder.encode(data, offsets[part.start : part.stop + 1])
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype(wide)
+                tally += np.bincount(ids, minlength=vocabulary)
                 ends = ends + np.arange(1, len(ends) + 1)
                 cells += [ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends]), ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(cells, pa.binary())], names=["doc", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(cells, pa.binary()), pa.nulls(len(cells), pa.binary())], names=names)
+        if tally.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([tally.astype("<i8").tobytes()])], names=names)
+
+    return staged.mapInArrow(run, "doc bigint, ids binary, tally binary")
+
 
-    return staged.mapInArrow(run, "doc bigint, ids binary")
+@cache
+def _vocabulary(path: str, end_id: int) -> int:
+    return max(quiet_tokenizer(path).get_vocab_size(), end_id + 1)
 
 
 def _width(path: str, end_id: int) -> str:
-    return "<u2" if max(quiet_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    return "<u2" if _vocabulary(path, end_id) <= 1 << 16 else "<u4"
 
 
-def rank_ids(encoded: DataFrame, vocabulary: int, width: str) -> np.ndarray:
+def rank_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     """Ids by descending frequency over all documents; ids that never occur follow. One number for each id."""
     import pyarrow as pa
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            joined = b"".join(cell.as_py() for cell in batch.column("ids"))
-            total += np.bincount(np.frombuffer(joined, width), minlength=vocabulary)
+            for cell in batch.column("tally"):
+                total += np.frombuffer(cell.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where(F.col("tally").isNotNull()).select("tally").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     frequency = np.zeros(vocabulary, np.int64)
     for row in counts.collect():  # bounded by the vocabulary
         frequency[row["id"]] = row["n"]
@@ -202,7 +283,8 @@ def write_files(encoded: DataFrame, ranked: np.ndarray, width: str, folder: str)
             )
 
     parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(parts, "doc").sortWithinPartitions("doc", "ids")
+    rows = encoded.where(F.col("tally").isNull()).select("doc", "ids")
+    ordered = rows.repartitionByRange(parts, "doc").sortWithinPartitions("doc", "ids")
     return files.manifest(ordered.mapInArrow(run, files_schema), "token-files")
 
 
@@ -241,9 +323,8 @@ def token_files(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", tex
     """Encode, write, read back: ``doc``, ``start``, ``ids`` (little-endian unsigned 32-bit numbers)."""
     spark = docs.sparkSession
     width = _width(path, end_id)
-    vocabulary = max(quiet_tokenizer(path).get_vocab_size(), end_id + 1)
     encoded = stored(encode_ids(docs, path, end_id, id, text), "token-ids")
-    ranked = rank_ids(encoded, vocabulary, width)
+    ranked = rank_ids(encoded, _vocabulary(path, end_id))
     folder = work_dir(spark, "tokens")
     ranked_path = f"{folder}/ranks.u32"
     with files.open_new(ranked_path) as out:

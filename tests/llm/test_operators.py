@@ -436,3 +436,37 @@ def test_words_are_shared_only_where_tokens_stay_the_same():
         ends = np.cumsum(counts)
         got = [ids[a:b].tolist() for a, b in zip(np.concatenate([[0], ends]), ends)]
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_small_letters_are_asked_together():
+    """Ids equal the library's on whole texts; the full tokenizer is asked only for words that the model alone does not settle."""
+    random.seed(22)
+    parts = ["wort", "straße", "é", "È", "ÿ", "×", "÷", "слово", "й", "Й", "ё", "ſ", "\u0301", ".", ",", "...", "'s", "'", " ", " ", "\n", "7", "Q", "ŉ", "σ", "<|endoftext|>"]
+    texts = ["".join(random.choices(parts, k=random.randrange(0, 40))) for _ in range(600)] + ["", " ", "q" * 5000, ".a", "a."]
+    library, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, some, **options):
+            asked.extend(some)
+            return library.encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Spy()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    for _ in range(2):       # new words, then known ones
+        ids, counts = encoder.encode(data, offsets)
+        ends = np.cumsum(counts)
+        got = [ids[a:b].tolist() for a, b in zip(np.concatenate([[0], ends]), ends)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not {"wort", "straße", "слово", "q" * 5000} & set(asked)
+    assert len(asked) == len(set(asked))
+
+
+def test_ids_are_counted_while_texts_are_encoded(documents):
+    rows = ODD + [(i, words(i, i)) for i in range(20, 60)]
+    encoded = token_files.encode_ids(documents(rows), WORDS, 2)
+    ranked = token_files.rank_ids(encoded, Tokenizer.from_file(WORDS).get_vocab_size())
+    counts = Counter(i for x in library_counts([t for _, t in rows]) for i in [*x, 2])
+    assert [counts[int(i)] for i in ranked[: len(counts)]] == sorted(counts.values(), reverse=True)
+    assert encoded.where("tally is null").count() == len(rows) and set(encoded.columns) == {"doc", "ids", "tally"}
