@@ -14,6 +14,9 @@ are carried along unchanged, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slicelake.llm.common import SPACES, column, hash128, let
@@ -21,16 +24,26 @@ from slicelake.llm.common import SPACES, column, hash128, let
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    bare = F.trim(line, F.lit(SPACES))
-    ascii_only = F.length(bare) == F.octet_length(bare)
-    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def _bare(line: Column) -> Column:
+    """Without white space at its ends; ``trim`` fills arrays as long as the line, so only lines that need it pay for it."""
+    ends = reduce(or_, [F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c)) for c in SPACES])
+    return F.when(ends, F.trim(line, F.lit(SPACES))).otherwise(line)
+
+
+def _lowered(line: Column) -> Column:
+    ascii_only = F.length(line) == F.octet_length(line)
+    return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def line_keys(text: Column) -> Column:
+    """The keys of all lines, each made once: as columns behind ``posexplode`` they would be made again for every use."""
+    return F.transform(F.transform(_lines(text), _bare), _lowered)
+
+
 def mark_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 10, min_documents: int = 2
 ) -> DataFrame:
@@ -42,8 +55,7 @@ def mark_lines(
     base = docs.select(*[column(c).alias(at) for c, at in zip(docs.columns, places)]).withColumn("version", F.xxhash64(whole))
     # a row is found again by its id and its text: equal rows have equal lines
     lines = (
-        base.select(doc.alias("doc"), "version", F.posexplode(_lines(whole)).alias("pos", "line"))
-        .withColumn("line", line_key(F.col("line")))
+        base.select(doc.alias("doc"), "version", F.posexplode(line_keys(whole)).alias("pos", "line"))
         .where(F.length("line") >= min_chars)
         .select("doc", "version", "pos", hash128(F.col("line")).alias("key"))
     )
@@ -72,7 +84,7 @@ def mark_lines(
     )
     return (
         joined.select(row, whole.alias("text"), "drop")
-        .withColumn("n_lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint"))
+        .withColumn("n_lines", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint"))
         .withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("bigint"))
         .select("row", "n_lines", "n_dropped", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"))
     )

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from conftest import words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from slicelake.llm import (
@@ -96,6 +97,19 @@ def test_line_dedup_ships_a_text_once(spark):
     assert sorted(carried) == ["bigint", "bigint", "string"]      # id, hash of the text, text
 
 
+def test_line_keys_are_made_once(spark):
+    ends = ["", " ", "\t", "\x0b", "\x0c", "\r", " \t\r", "\u00a0", "\u2003", "\x1f"]
+    lines = [a + body + b for a in ends for b in ends for body in ("", "A b\tC", "ÉA é Z", "x")]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "\n")], "doc_id bigint, text string")
+    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", line_dedup.line_keys(F.col("text")).alias("k")).collect()}
+    lower = str.maketrans(line_dedup.UPPER, line_dedup.LOWER)
+    assert keys == {1: [x.strip(" \t\n\x0b\x0c\r").translate(lower) for x in lines], 2: [""], 3: ["", ""]}
+    plan = line_dedup.mark_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.split("\n") if "trim(" in x]
+    assert made and all("posexplode" in x or "Filter" not in x and "Project" not in x for x in made)     # not behind it
+
+
 @pytest.fixture(scope="module")
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
